@@ -360,17 +360,12 @@ def primary_reason(scores: Column, reasons: Column) -> Column:
             S.contribution(e["key"], e["value"]).alias("value"),
         ),
     )
-    best = {
-        reason: F.coalesce(
-            F.array_max(
-                F.transform(
-                    F.filter(entries, lambda e, r=reason: e["reason"] == r), lambda e: e["value"]
-                )
-            ),
-            F.lit(-1.0),
-        )
-        for reason in C.PRIMARY_REASON_ORDER
-    }
+
+    def strongest_of(reason: str) -> Column:
+        own = F.filter(entries, lambda e: e["reason"] == reason)
+        return F.coalesce(F.array_max(F.transform(own, lambda e: e["value"])), F.lit(-1.0))
+
+    best = {reason: strongest_of(reason) for reason in C.PRIMARY_REASON_ORDER}
     top = F.greatest(*best.values())
     chosen = F.lit("vector_match")
     for reason in reversed(C.PRIMARY_REASON_ORDER):
@@ -382,7 +377,7 @@ def scored(merged: DataFrame) -> DataFrame:
     ids = F.transform(F.array_sort("members"), lambda m: m["asset_id"])
     return merged.withColumns(
         {
-            "score": F.round(hybrid_score(F.col("source_scores"), F.col("reasons")), 9),
+            "score": F.round(hybrid_score(F.col("source_scores"), F.col("reasons")), 12),
             "score_kind": F.lit("hybrid_score"),
             "primary_reason": primary_reason(F.col("source_scores"), F.col("reasons")),
             "confidence": F.lit("high"),

@@ -318,7 +318,9 @@ def pick_frames(ordered_frames: DataFrame, most: int = C.CAPTION_MAX_FRAMES) ->
             )
         )
         spots = F.when(n <= most, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(spaced)
-    wanted = sizes.select("scene_id", (F.explode(spots) + 1).cast("bigint").alias("frame_no"))
+    wanted = sizes.select("scene_id", F.explode(spots).alias("spot")).select(
+        "scene_id", (F.col("spot") + 1).cast("bigint").alias("frame_no")
+    )
     return ordered_frames.join(wanted, ["scene_id", "frame_no"])
 
 

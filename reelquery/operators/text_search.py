@@ -169,6 +169,7 @@ def text_search(
     live_libraries = libraries.filter(~F.col("is_deleted")).select("library_id")
     live = (
         chunks.filter(F.col("asset_type") == "text_chunk")
+        .select("asset_id", "file_id", "scene_id", "start_s", "end_s", "text_content")
         .join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
         .join(live_libraries, "library_id", "left_semi")
     )

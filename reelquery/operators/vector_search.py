@@ -124,16 +124,18 @@ def _query_rows(queries: DataFrame) -> DataFrame:
 
 
 def query_matrix(queries: DataFrame, limit: int | None = None):
-    """The query table as a matrix, or None when it is over the bound."""
-    rows = _query_rows(queries)
-    first = rows.select(F.size("query_embedding")).first()
-    if first is None:
-        return pd.DataFrame(columns=["query_id", "variant_order", "weight"]), np.zeros((0, 0))
-    allowed = max(1, (MAX_BROADCAST_VALUES if limit is None else limit) // first[0])
-    if rows.limit(allowed + 1).count() > allowed:
+    """The query table as (keys, matrix), or None when it has more values than the bound.
+
+    One job: at most one row over the bound for the widest registered model is fetched.
+    """
+    widest = max(config["model"][2] for config in C.COLLECTION_REGISTRY.values())
+    allowed = max(1, (MAX_BROADCAST_VALUES if limit is None else limit) // widest)
+    frame = _query_rows(queries).limit(allowed + 1).toPandas()
+    if len(frame) > allowed:
         return None
-    frame = rows.toPandas().sort_values(["query_id", "variant_order"], ignore_index=True)
-    return frame.drop(columns="query_embedding"), np.vstack(frame["query_embedding"].to_numpy())
+    frame = frame.sort_values(["query_id", "variant_order"], ignore_index=True)
+    vectors = frame["query_embedding"].to_list()
+    return frame.drop(columns="query_embedding"), np.array(vectors, ndmin=2, dtype=np.float64)
 
 
 def variant_hits(
@@ -165,7 +167,7 @@ def _broadcast_hits(source: DataFrame, known, depth: int) -> DataFrame:
         queries, matrix = shared.value
         best = _Best(depth)
         for batch in batches:
-            if matrix.shape[0]:
+            if len(queries):
                 _offer(best, queries, matrix, batch)
         for frame in _hits(best, queries):
             yield pa.RecordBatch.from_pandas(frame, schema=_HIT_ARROW, preserve_index=False)
@@ -245,7 +247,7 @@ def score_summary(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def weighted(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("weighted_score", V.ranking_score(F.col("score") * F.col("weight")))
+    return hits.withColumn("weighted_score", F.col("score") * F.col("weight"))
 
 
 def best_variant(hits: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 GROUPS = [
-    "source_queries", "filter_queries", "join_queries",
+    "source_queries", "filter_queries", "join_queries", "report_queries", "order_queries", "hybrid_queries", "upsert_queries",
 ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelquery.operators import relations, snapshots, temporal, vector_search
+from reelquery.operators import hybrid, relations, snapshots, temporal, vector_search
 from reelquery.plans import search
 from reelquery.plans.registry import query
 
@@ -26,6 +26,23 @@ def hydrated(t):
     return search.hydrated_hits(catalogue(t), channel_hits(t))
 
 
+def search_texts(t):
+    """Text of each vector query: the two longest words of the benchmark item of that number."""
+    return t.v_text_queries.join(
+        t.v_queries.select((F.col("query_id") * 3 + 2).alias("query_id")).distinct(), "query_id",
+        "left_semi",
+    ).withColumn("query_id", ((F.col("query_id") - 2) / 3).cast("bigint"))
+
+
+def channel_rows(t):
+    text = search.text_hits(catalogue(t), search_texts(t), DEPTH)
+    return search.channel_union(hydrated(t), text)
+
+
+def candidates(t):
+    return hybrid.as_candidates(channel_rows(t))
+
+
 @query(
     "hydrate_points",
     """

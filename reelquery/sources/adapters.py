@@ -199,9 +199,9 @@ ORACLE_ONLY: dict[str, str] = {
         SELECT query_id, collection, identity, point_id, weighted_score AS score, channel_rank
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection
             ORDER BY weighted_score DESC, point_id) AS channel_rank
-          FROM (SELECT *, round(score * weight, 6) AS weighted_score,
+          FROM (SELECT *, score * weight AS weighted_score,
               row_number() OVER (PARTITION BY query_id, collection, identity
-                ORDER BY round(score * weight, 6) DESC, variant_order) AS b FROM v_hits)
+                ORDER BY score * weight DESC, variant_order) AS b FROM v_hits)
           WHERE b = 1) WHERE channel_rank <= 60""",
     "v_facts": """
         SELECT c.*, r.asset_id, r.file_id, r.library_id, r.status AS ref_status, a.asset_type,
@@ -312,6 +312,80 @@ ORACLE_ONLY: dict[str, str] = {
             THEN CASE WHEN score <= 0 THEN 0 ELSE score / (score + 1) END
             ELSE least(greatest(score, 0), 1) END AS norm FROM v_candidates)
         WHERE source = 'text_search' OR norm >= 0.1""",
+    "v_base": """
+        SELECT query_id, file_id, asset_id, media_type, scene_id, start_s, end_s, input_order,
+          CASE WHEN source = 'image_vectors' THEN score END AS img,
+          CASE WHEN source = 'video_frame_vectors' THEN score END AS frm,
+          CASE WHEN source = 'caption_text_vectors' THEN score END AS cap,
+          CASE WHEN source = 'text_search' THEN score END AS txt, contrib AS strength,
+          [{'o': input_order, 'a': asset_id}] AS members,
+          row_number() OVER (PARTITION BY query_id, file_id, media_type = 'video'
+            AND start_s IS NOT NULL AND end_s IS NOT NULL ORDER BY start_s, input_order) AS rn,
+          media_type = 'video' AND start_s IS NOT NULL AND end_s IS NOT NULL AS timed
+        FROM v_kept""",
+    "v_fold": """
+        SELECT query_id, file_id, rn, 1 AS g, asset_id, scene_id, start_s, end_s, img, frm, cap,
+          txt, strength, members FROM v_base WHERE timed AND rn = 1
+        UNION ALL
+        SELECT query_id, file_id, rn, CASE WHEN m THEN g ELSE g + 1 END,
+          CASE WHEN m AND NOT b_strength > strength THEN asset_id ELSE b_asset_id END,
+          CASE WHEN NOT m THEN b_scene WHEN left_owns THEN scene_id WHEN right_owns THEN b_scene
+            END,
+          CASE WHEN NOT m OR right_owns THEN b_start WHEN left_owns THEN start_s
+            ELSE least(start_s, b_start) END,
+          CASE WHEN NOT m OR right_owns THEN b_end WHEN left_owns THEN end_s
+            ELSE greatest(end_s, b_end) END,
+          CASE WHEN m THEN greatest(img, b_img) ELSE b_img END,
+          CASE WHEN m THEN greatest(frm, b_frm) ELSE b_frm END,
+          CASE WHEN m THEN greatest(cap, b_cap) ELSE b_cap END,
+          CASE WHEN m THEN greatest(txt, b_txt) ELSE b_txt END,
+          CASE WHEN m THEN greatest(strength, b_strength) ELSE b_strength END,
+          CASE WHEN m THEN list_concat(members, b_members) ELSE b_members END
+        FROM (SELECT *, m AND ((scene_id IS NOT NULL AND b_scene IS NULL)
+              OR (coalesce(scene_id = b_scene, FALSE) AND NOT (end_s <= start_s AND b_end > b_start)))
+              AS left_owns,
+            m AND ((scene_id IS NULL AND b_scene IS NOT NULL) OR (coalesce(scene_id = b_scene,
+              FALSE) AND end_s <= start_s AND b_end > b_start)) AS right_owns
+          FROM (SELECT f.query_id, f.file_id, b.rn, f.g, f.asset_id, f.scene_id, f.start_s, f.end_s,
+              f.img, f.frm, f.cap, f.txt, f.strength, f.members, b.asset_id AS b_asset_id,
+              b.scene_id AS b_scene, b.start_s AS b_start, b.end_s AS b_end, b.img AS b_img,
+              b.frm AS b_frm, b.cap AS b_cap, b.txt AS b_txt, b.strength AS b_strength,
+              b.members AS b_members,
+              CASE WHEN f.scene_id IS NOT NULL AND b.scene_id IS NOT NULL
+                  THEN f.scene_id = b.scene_id
+                WHEN f.img IS NULL AND f.frm IS NULL AND f.txt IS NULL AND b.cap IS NOT NULL
+                  THEN FALSE
+                ELSE greatest(f.start_s, b.start_s) < least(f.end_s, b.end_s) END AS m
+            FROM v_fold f JOIN v_base b ON b.query_id = f.query_id AND b.file_id = f.file_id
+              AND b.timed AND b.rn = f.rn + 1))""",
+    "v_windowed": """
+        SELECT query_id, file_id, asset_id, scene_id, start_s, end_s, img, frm, cap, txt, strength,
+          members FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id, g
+            ORDER BY rn DESC) AS last FROM v_fold) WHERE last = 1
+        UNION ALL
+        SELECT query_id, file_id, asset_id, scene_id, start_s, end_s, img, frm, cap, txt, strength,
+          members FROM v_base WHERE NOT timed""",
+    "v_results_scored": """
+        SELECT *, round(least(1, greatest(
+            (coalesce(0.55 * n_img, 0) + coalesce(0.55 * n_frm, 0) + coalesce(0.55 * n_cap, 0)
+              + coalesce(0.45 * n_txt, 0))
+            / (CASE WHEN img IS NULL THEN 0 ELSE 0.55 END + CASE WHEN frm IS NULL THEN 0 ELSE 0.55
+              END + CASE WHEN cap IS NULL THEN 0 ELSE 0.55 END + CASE WHEN txt IS NULL THEN 0
+              ELSE 0.45 END)
+            + CASE WHEN CAST(coalesce(img, frm) IS NOT NULL AS INT) + CAST(cap IS NOT NULL AS INT)
+              + CAST(txt IS NOT NULL AS INT) > 1 THEN 0.08 ELSE 0 END,
+            greatest(n_img, n_frm, n_cap, n_txt))), 12) AS score,
+          CASE WHEN txt IS NOT NULL AND 0.45 * n_txt >= 0.55 * coalesce(greatest(n_img, n_frm, n_cap), -1)
+              THEN 'transcript_match'
+            WHEN cap IS NOT NULL AND n_cap >= coalesce(greatest(n_img, n_frm), -1)
+              THEN 'caption_match'
+            ELSE 'vector_match' END AS primary_reason,
+          array_to_string(list_transform(list_sort(members), lambda x: x.a), ',')
+            AS merged_asset_ids
+        FROM (SELECT *, least(greatest(img, 0), 1) + 0 * img AS n_img,
+            least(greatest(frm, 0), 1) + 0 * frm AS n_frm,
+            least(greatest(cap, 0), 1) + 0 * cap AS n_cap,
+            CASE WHEN txt <= 0 THEN 0 ELSE txt / (txt + 1) END AS n_txt FROM v_windowed)""",
     "v_cuts": """
         SELECT file_id, seq, sum(d) OVER w - d AS start_s, sum(d) OVER w AS end_s
         FROM (SELECT l_orderkey AS file_id,
@@ -348,10 +422,8 @@ ORACLE_ONLY: dict[str, str] = {
         GROUP BY file_id, scene_no""",
     "v_windows": """
         SELECT file_id, scene_no, part, part_count,
-          concat('scene-', lpad(CAST(scene_no AS VARCHAR), greatest(4, length(CAST(scene_no AS
-            VARCHAR))), '0'), CASE WHEN part_count = 1 THEN '' ELSE concat('-part-',
-            lpad(CAST(part AS VARCHAR), greatest(3, length(CAST(part AS VARCHAR))), '0')) END)
-            AS scene_key,
+          concat('scene-', printf('%04d', scene_no), CASE WHEN part_count = 1 THEN ''
+            ELSE concat('-part-', printf('%03d', part)) END) AS scene_key,
           start_s + (part - 1) * 30.0::DOUBLE AS start_s,
           least(start_s + (part - 1) * 30.0::DOUBLE + 30.0::DOUBLE, end_s) AS end_s
         FROM (SELECT *, unnest(range(1, part_count + 1)) AS part
@@ -372,26 +444,24 @@ _NAMES = re.compile(r"\bv_\w+\b")
 def with_views(sql: str) -> str:
     """``sql`` with the definitions of every view it reaches put in front, dependencies first."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(_NAMES.findall(text)):
-            if name in VIEWS and name not in order:
+            if name in VIEWS and name not in seen:
+                seen.add(name)
                 visit(VIEWS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:
         return sql
     body = sql.strip()
-    recursive = re.match(r"(?is)with\s+recursive\s+", body)
-    plain = re.match(r"(?is)with\s+", body)
+    own = re.match(r"(?is)with\s+(recursive\s+)?", body)
+    looped = (own and own[1]) or any(name in VIEWS[name] for name in order)
     defined = ", ".join(f"{name} AS ({VIEWS[name]})" for name in order)
-    if recursive:
-        return f"WITH RECURSIVE {defined}, {body[recursive.end():]}"
-    if plain:
-        return f"WITH {defined}, {body[plain.end():]}"
-    return f"WITH {defined} {body}"
+    head = f"WITH RECURSIVE {defined}" if looped else f"WITH {defined}"
+    return f"{head}, {body[own.end():]}" if own else f"{head} {body}"
 
 
 class Tables:
