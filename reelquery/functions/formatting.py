@@ -12,46 +12,100 @@ from reelquery import constants as C
 _DIGITS = 6
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over a value computed once; nesting plain columns would repeat its expression at
+    every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fmt_g(value: Column) -> Column:
     """C-style ``%g``: six significant digits, half-even, trailing zeros dropped."""
-    x = value.cast("double")
-    size = F.abs(x)
-    guess = F.floor(F.log10(size)).cast("int")
-    shift = F.lit(_DIGITS - 1) - guess
-    scaled = F.when(shift >= 0, size * F.pow(F.lit(10.0), shift)).otherwise(
-        size / F.pow(F.lit(10.0), -shift)
-    )
-    rounded = F.rint(scaled)
-    carried = rounded >= 10**_DIGITS
-    digits = F.when(carried, F.lit("100000")).otherwise(rounded.cast("bigint").cast("string"))
-    exponent = F.when(carried, guess + 1).otherwise(guess)
-    sign = F.when(x < 0, "-").otherwise("")
-    head = F.substring(digits, 1, 1)
-    tail = F.rtrim(F.substring(digits, 2, _DIGITS - 1), F.lit("0"))
-    mantissa = F.when(tail == "", head).otherwise(F.concat(head, F.lit("."), tail))
-    power = F.lpad(F.abs(exponent).cast("string"), 2, "0")
-    wide_power = F.when(F.abs(exponent) >= 100, F.abs(exponent).cast("string")).otherwise(power)
-    scientific = F.concat(
-        mantissa, F.when(exponent < 0, "e-").otherwise("e+"), wide_power
-    )
-    fraction = F.rtrim(digits.substr(exponent + 2, F.lit(_DIGITS)), F.lit("0"))
-    whole = digits.substr(F.lit(1), exponent + 1)
-    above_one = F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
-    below_one = F.concat(
-        F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), F.rtrim(digits, F.lit("0"))
-    )
-    body = (
-        F.when((exponent < -4) | (exponent >= _DIGITS), scientific)
-        .when(exponent >= 0, above_one)
-        .otherwise(below_one)
-    )
-    return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), "nan")
-        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(size == 0, "0")
-        .otherwise(F.concat(sign, body))
-    )
+    nought = F.lit("0")
+
+    def magnitude(x: Column) -> Column:
+        return F.struct(
+            F.abs(x).alias("size"), F.floor(F.log10(F.abs(x))).cast("int").alias("power")
+        )
+
+    def scaled(m: Column) -> Column:
+        """The six digits as a number, with the factors whose exact product decides a tie."""
+        shift = F.lit(_DIGITS - 1) - m["power"]
+        up = shift >= 0
+        factor = F.pow(F.lit(10.0), F.abs(shift))
+        value = F.when(up, m["size"] * factor).otherwise(m["size"] / factor)
+        return F.struct(
+            m["size"].alias("size"), m["power"].alias("power"), up.alias("up"),
+            value.alias("value"), factor.alias("b"),
+            F.when(up, m["size"]).otherwise(value).alias("a"),
+        )
+
+    def halved(m: Column) -> Column:
+        """Both factors split into 26-bit halves, so partial products are exact."""
+        high = lambda c: c * 134217729.0 - (c * 134217729.0 - c)
+        return F.struct(
+            m.alias("m"), high(m["a"]).alias("ah"), (m["a"] - high(m["a"])).alias("al"),
+            high(m["b"]).alias("bh"), (m["b"] - high(m["b"])).alias("bl"),
+        )
+
+    def significant(h: Column) -> Column:
+        m = h["m"]
+        product = m["a"] * m["b"]
+        rest = (
+            (h["ah"] * h["bh"] - product) + h["ah"] * h["bl"] + h["al"] * h["bh"]
+        ) + h["al"] * h["bl"]
+        off = F.when(m["up"], rest).otherwise((m["size"] - product) - rest)
+        below = F.floor(m["value"])
+        tie = m["value"] - below == 0.5
+        whole = (
+            F.when(tie & (off > 0), below + 1)
+            .when(tie & (off < 0), below)
+            .otherwise(F.rint(m["value"]).cast("bigint"))
+        )
+        return F.struct(whole.alias("whole"), m["power"].alias("power"))
+
+    def carried(r: Column) -> Column:
+        over = r["whole"] >= 10**_DIGITS
+        return F.struct(
+            F.when(over, F.lit("100000")).otherwise(r["whole"].cast("string")).alias("digits"),
+            F.when(over, r["power"] + 1).otherwise(r["power"]).alias("power"),
+        )
+
+    def dotted(head: Column, tail: Column) -> Column:
+        return F.rtrim(F.rtrim(F.concat(head, F.lit("."), tail), nought), F.lit("."))
+
+    def text(d: Column) -> Column:
+        digits, power = d["digits"], d["power"]
+        exponent = F.abs(power).cast("string")
+        padded = F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent)
+        scientific = F.concat(
+            dotted(F.substring(digits, 1, 1), F.substring(digits, 2, _DIGITS)),
+            F.when(power < 0, "e-").otherwise("e+"), padded,
+        )
+        above_one = dotted(
+            digits.substr(F.lit(1), power + 1), digits.substr(power + 2, F.lit(_DIGITS))
+        )
+        below_one = F.concat(
+            F.lit("0."), F.repeat(nought, -power - 1), F.rtrim(digits, nought)
+        )
+        return (
+            F.when((power < -4) | (power >= _DIGITS), scientific)
+            .when(power >= 0, above_one)
+            .otherwise(below_one)
+        )
+
+    def render(x: Column) -> Column:
+        digits = _let(_let(_let(magnitude(x), scaled), halved), significant)
+        plain = _let(_let(digits, carried), text)
+        return (
+            F.when(x.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(x), "nan")
+            .when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf"))
+            .when(x == 0, F.when(F.startswith(x.cast("string"), F.lit("-")), "-0").otherwise("0"))
+            .when(x < 0, F.concat(F.lit("-"), plain))
+            .otherwise(plain)
+        )
+
+    return _let(value.cast("double"), render)
 
 
 def playback_time(seconds: Column) -> Column:

@@ -58,7 +58,7 @@ def page_union_last_wins(t):
         arg_max(new_text, asset_id) AS new_text, max(asset_id) AS new_id FROM new GROUP BY ALL)
     SELECT coalesce(o.asset_id, n.new_id) AS asset_id, coalesce(o.file_id, n.file_id) AS file_id,
       coalesce(o.asset_type, n.asset_type) AS asset_type,
-      coalesce(CASE WHEN n.asset_type = 'text_chunk' THEN NULL ELSE concat('text ', n.new_id) END,
+      coalesce(CASE WHEN n.asset_type <> 'text_chunk' THEN concat('text ', n.new_id) END,
         o.text_content) AS text_content,
       CASE WHEN o.asset_id IS NULL THEN 'created' WHEN n.new_id IS NULL THEN 'kept'
         ELSE 'updated' END AS outcome,
