@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCORE_DECIMALS = 6
 
 
 def as_double(vector: Column) -> Column:
@@ -28,12 +27,3 @@ def l2_normalize(vector: Column) -> Column:
         F.raise_error(F.lit("cannot normalise a zero vector")).cast("double")
     )
     return F.transform(as_double(vector), lambda x: x / checked)
-
-
-def ranking_score(score: Column) -> Column:
-    """Score as used for ordering.
-
-    Summation order differs between partitionings and libraries in the last bits; ordering by a
-    rounded score with an id tie-break keeps ranks the same on any cluster layout.
-    """
-    return F.round(score, SCORE_DECIMALS)

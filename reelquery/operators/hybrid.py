@@ -29,14 +29,16 @@ def invalid_windows(candidates: DataFrame) -> DataFrame:
 
 
 def checked_windows(candidates: DataFrame) -> DataFrame:
-    """Raise on a reversed window, before any weak or merged candidate could hide it."""
-    checked = F.when(
-        reversed_window(),
-        F.raise_error(
-            F.concat(F.lit("invalid video time range for asset "), F.col("asset_id").cast("string"))
-        ).cast("double"),
-    ).otherwise(F.col("end_s"))
-    return candidates.withColumn("end_s", checked)
+    """Raise on a reversed window, before any weak or merged candidate could hide it.
+
+    A filter, not a column: a column's check would be skipped for rows a later filter drops.
+    """
+    failure = F.raise_error(
+        F.concat(F.lit("invalid video time range for asset "), F.col("asset_id").cast("string"))
+    )
+    return candidates.filter(
+        F.when(reversed_window(), failure.cast("boolean")).otherwise(F.lit(True))
+    )
 
 
 def scene_conflicts(candidates: DataFrame) -> DataFrame:
@@ -94,24 +96,6 @@ def _strongest(scores: Column) -> Column:
     return F.greatest(F.lit(0.0), F.array_max(values))
 
 
-def _seed(candidate: Column) -> Column:
-    """A candidate as a merged one of a single member."""
-    return F.struct(
-        candidate["asset_id"].alias("asset_id"),
-        candidate["file_id"].alias("file_id"),
-        candidate["media_type"].alias("media_type"),
-        candidate["path"].alias("path"),
-        candidate["scene_id"].alias("scene_id"),
-        candidate["start_s"].alias("start_s"),
-        candidate["end_s"].alias("end_s"),
-        candidate["best_frame_s"].alias("best_frame_s"),
-        candidate["reasons"].alias("reasons"),
-        candidate["source_scores"].alias("source_scores"),
-        candidate["members"].alias("members"),
-        candidate["strength"].alias("strength"),
-    )
-
-
 def _positive(c: Column) -> Column:
     return F.coalesce(c["end_s"] > c["start_s"], F.lit(False))
 
@@ -190,22 +174,23 @@ def _can_merge(left: Column, right: Column) -> Column:
 
 
 def _fold(items: Column, joins) -> Column:
-    """Left fold: each item joins the last result when ``joins`` says so, else starts a new one."""
+    """Left fold of ``items`` (structs with a merged candidate ``m``): each joins the last result
+    when ``joins`` says so, else starts a new one."""
 
     def step(done: Column, item: Column) -> Column:
-        one = _seed(item)
-        last = F.try_element_at(done, F.lit(-1))
-        merged = F.concat(
-            F.slice(done, 1, F.size(done) - 1), F.array(_combine(last, one))
-        )
-        return (
-            F.when(F.size(done) == 0, F.array(one))
-            .when(joins(last, one), merged)
-            .otherwise(F.concat(done, F.array(one)))
-        )
+        # The pair is bound once; spelled out, its expressions would repeat at every field.
+        pair = F.struct(F.try_element_at(done, F.lit(-1)).alias("last"), item["m"].alias("next"))
 
-    first = F.slice(F.transform(items, _seed), 1, 0)
-    return F.aggregate(items, first, step)
+        def grown(p: Column) -> Column:
+            joined = F.coalesce(p["last"].isNotNull() & joins(p["last"], p["next"]), F.lit(False))
+            kept = F.when(joined, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+            newest = F.when(joined, _combine(p["last"], p["next"])).otherwise(p["next"])
+            return F.concat(kept, F.array(newest))
+
+        return F.transform(F.array(pair), grown)[0]
+
+    nothing = F.slice(F.transform(items, lambda i: i["m"]), 1, 0)
+    return F.aggregate(items, nothing, step)
 
 
 def _with_strength(candidates: DataFrame) -> DataFrame:
@@ -225,18 +210,12 @@ _MERGED = [
 
 def same_asset_merge(candidates: DataFrame) -> DataFrame:
     """Candidates of one asset folded in input order (one per channel at most)."""
+    entry = F.struct("input_order", F.struct(*_MERGED).alias("m"))
     packed = (
         _with_strength(candidates)
         .withColumn("_asset", F.col("asset_id"))
         .groupBy("query_id", "_asset")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("input_order", *_MERGED)),
-                lambda a, b: F.when(a["input_order"] < b["input_order"], -1)
-                .when(a["input_order"] > b["input_order"], 1)
-                .otherwise(0),
-            ).alias("items")
-        )
+        .agg(F.array_sort(F.collect_list(entry), _by("input_order")).alias("items"))
     )
     folded = packed.withColumn("m", F.element_at(_fold(F.col("items"), lambda a, b: F.lit(True)), 1))
     # Merged ids are listed by the last place an asset came in, as later entries win there.
@@ -247,6 +226,18 @@ def same_asset_merge(candidates: DataFrame) -> DataFrame:
     ).drop("members").withColumnRenamed("own", "members")
 
 
+def _by(*names: str):
+    """Comparator over struct fields, in order."""
+
+    def compare(a: Column, b: Column) -> Column:
+        result: Column = F.lit(0)
+        for name in reversed(names):
+            result = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(result)
+        return result
+
+    return compare
+
+
 def window_merge(merged: DataFrame) -> DataFrame:
     """Overlapping video windows folded per (query, file) in start order.
 
@@ -258,20 +249,12 @@ def window_merge(merged: DataFrame) -> DataFrame:
         & F.col("start_s").isNotNull()
         & F.col("end_s").isNotNull()
     )
-    by_start = lambda a, b: (
-        F.when(a["start_s"] < b["start_s"], -1)
-        .when(a["start_s"] > b["start_s"], 1)
-        .when(a["input_order"] < b["input_order"], -1)
-        .when(a["input_order"] > b["input_order"], 1)
-        .otherwise(0)
-    )
+    entry = F.struct("start_s", "input_order", F.struct(*_MERGED).alias("m"))
     packed = (
         merged.filter(timed)
         .withColumn("_file", F.col("file_id"))
         .groupBy("query_id", "_file")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("input_order", *_MERGED)), by_start).alias("items")
-        )
+        .agg(F.array_sort(F.collect_list(entry), _by("start_s", "input_order")).alias("items"))
     )
     folded = packed.select(
         "query_id", F.explode(_fold(F.col("items"), _can_merge)).alias("m")

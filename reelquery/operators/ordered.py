@@ -19,6 +19,16 @@ from reelquery.session import checkpointed
 MAX_GROUP_ROWS = 1_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for work that is heavy per row.
+
+    Only an input of fewer partitions than cores (one small file) is spread; a large table keeps
+    its partitions and pays no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the largest group (map-side combined count of the key columns only)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

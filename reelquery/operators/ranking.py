@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
-from reelquery.operators.ordered import OrderedScan, has_large_groups
+from reelquery.operators.ordered import OrderedScan
 
 METRIC_DEPTHS = {"precision": (5, 10), "ndcg": (10, 20), "hit": (5, 10, 20)}
 
@@ -26,11 +26,11 @@ def invalid_ranks(ranks: DataFrame) -> DataFrame:
     ).filter(F.col("problem").isNotNull())
 
 
-def _rank(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _rank(df: DataFrame, keys: list[str], name: str, large: bool | None) -> DataFrame:
     """Rank by descending score, then candidate key."""
     ordered = df.withColumn("_down", -F.col("score"))
     scan = OrderedScan(keys, ["_down", "candidate_key"], number=name)
-    return scan.run(ordered).drop("_down")
+    return scan.run(ordered, large).drop("_down")
 
 
 def contributions(ranks: DataFrame, strict: bool = True) -> DataFrame:
@@ -64,12 +64,16 @@ def primary_signal() -> Column:
     return chosen
 
 
-def rrf_fuse(ranks: DataFrame, strict: bool = True) -> DataFrame:
-    """Σ 1/(60 + rank) per candidate, ranked 1..N by score then key."""
+def rrf_fuse(ranks: DataFrame, strict: bool = True, large: bool | None = None) -> DataFrame:
+    """Σ 1/(60 + rank) per candidate, ranked 1..N by score then key.
+
+    ``large`` False tells that channels were cut at a depth, so a query's candidates fit a window;
+    None looks at the largest query.
+    """
     wide = contributions(ranks, strict)
     total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in C.RRF_SIGNALS), F.lit(0.0))
     scored = wide.withColumns({"score": total, "primary_signal": primary_signal()})
-    return _rank(scored, ["query_id"], "rank")
+    return _rank(scored, ["query_id"], "rank", large)
 
 
 def judged(ranked: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -143,8 +147,3 @@ def macro_average(metrics: DataFrame, run: str, names: list[str]) -> DataFrame:
     """Mean over queries per run; NULL metrics are left out of their mean."""
     return metrics.groupBy(run).agg(*[F.avg(n).alias(f"macro_{n}") for n in names])
 
-
-__all__ = [
-    "contributions", "discovery_metrics", "has_large_groups", "invalid_ranks", "judged",
-    "macro_average", "primary_signal", "rrf_fuse", "target_metrics", "unjudgeable_counts",
-]

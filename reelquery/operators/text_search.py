@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
-from reelquery.operators.ordered import top_per_group
+from reelquery.operators.ordered import spread, top_per_group
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens in order; no stop words, no stemming."""
-    return F.filter(F.split(F.lower(text), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
 def tokenize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -76,8 +76,8 @@ def match_all_terms(
     docs: DataFrame, queries: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """(query, document, terms, words) where every query term occurs in the document."""
-    driven = rarest_terms(docs, queries, text).withColumnRenamed("term", "driver")
-    whole = docs.select(key, F.col(text).alias("text"))
+    whole = spread(docs.select(key, F.col(text).alias("text")))
+    driven = rarest_terms(whole, queries).withColumnRenamed("term", "driver")
     drivers = driven.select("driver").distinct()
     # One row per (document, driver term it contains): the join carries document keys only.
     present = (

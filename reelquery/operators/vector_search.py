@@ -19,92 +19,13 @@ from pyspark.sql import functions as F
 
 from reelquery import constants as C
 from reelquery.functions import vectors as V
+from reelquery.operators import topk_tasks as tasks
 from reelquery.operators.ordered import top_per_group
 
 MAX_BROADCAST_VALUES = 8_000_000
 BLOCK_VALUES = 2_000_000
 SALTS = 16
 
-HIT_SCHEMA = (
-    "query_id bigint, variant_order int, weight double, collection string, identity string, "
-    "point_id bigint, score double"
-)
-_ARROW_TYPES = {
-    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
-}
-_HIT_ARROW = pa.schema(
-    [(name, _ARROW_TYPES[kind]) for name, kind in (p.split() for p in HIT_SCHEMA.split(", "))]
-)
-_HIT_COLUMNS = _HIT_ARROW.names
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if rows and flat.size % rows:
-        raise ValueError("vectors of different dimensions in one batch")
-    return flat.reshape(rows, -1)
-
-
-class _Best:
-    """The best K identities per (query variant, collection) seen by one task."""
-
-    def __init__(self, depth: int):
-        self.depth = depth
-        self.parts: dict[tuple[int, str], list[pd.DataFrame]] = {}
-        self.rows: dict[tuple[int, str], int] = {}
-        self.floor: dict[tuple[int, str], float] = {}
-
-    def add(self, key: tuple[int, str], frame: pd.DataFrame) -> None:
-        self.parts.setdefault(key, []).append(frame)
-        self.rows[key] = self.rows.get(key, 0) + len(frame)
-        if self.rows[key] > 8 * self.depth:
-            kept = self.trim(key)
-            self.parts[key], self.rows[key] = [kept], len(kept)
-
-    def trim(self, key: tuple[int, str]) -> pd.DataFrame:
-        frame = pd.concat(self.parts[key], ignore_index=True)
-        frame = frame.sort_values(["score", "point_id"], ascending=[False, True])
-        frame = frame.drop_duplicates("identity").head(self.depth)
-        if len(frame) == self.depth:
-            self.floor[key] = frame["score"].iloc[-1]
-        return frame
-
-
-def _offer(best: _Best, queries: pd.DataFrame, matrix: np.ndarray, batch: pa.RecordBatch) -> None:
-    vectors = _matrix(batch.column("embedding"))
-    if vectors.shape[0] == 0:
-        return
-    if vectors.shape[1] != matrix.shape[1]:
-        raise ValueError(f"points have {vectors.shape[1]} values, queries {matrix.shape[1]}")
-    ids = batch.column("point_id").to_numpy(zero_copy_only=False)
-    identity = batch.column("identity").to_pandas().to_numpy()
-    collection = batch.column("collection").to_pandas().to_numpy()
-    scores = np.round(vectors @ matrix.T, V.SCORE_DECIMALS)
-    for name in pd.unique(collection):
-        at = np.flatnonzero(collection == name)
-        for q in range(matrix.shape[0]):
-            column = scores[at, q]
-            # A score below the K-th identity so far cannot enter; equal scores still can, by id.
-            open_ = column >= best.floor.get((q, name), -np.inf)
-            if open_.any():
-                kept = at[open_]
-                frame = pd.DataFrame(
-                    {"identity": identity[kept], "point_id": ids[kept], "score": column[open_]}
-                )
-                best.add((q, name), frame)
-
-
-def _hits(best: _Best, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for q, name in best.parts:
-        frame = best.trim((q, name))
-        row = queries.iloc[q]
-        yield frame.assign(
-            query_id=int(row.query_id), variant_order=int(row.variant_order),
-            weight=float(row.weight), collection=name,
-        )[_HIT_COLUMNS]
-
-
 def _points(points: DataFrame, grouped: bool) -> DataFrame:
     """Identity = scene for the grouped channel, else the point; a point without a scene cannot
     be grouped and is left out there, as a group-by on a missing payload key does."""
@@ -145,7 +66,7 @@ def variant_hits(
     """Best ``depth`` identities per (query, variant, collection), exact.
 
     points: point_id, collection, scene_id, embedding; queries: query_id, variant_order, weight,
-    query_embedding. Score is the raw cosine of unit vectors, rounded (see ``ranking_score``).
+    query_embedding. Score is the raw cosine of unit vectors, rounded (see ``topk_tasks``).
     """
     source = _points(points, grouped)
     known = query_matrix(queries, broadcast_values)
@@ -165,14 +86,14 @@ def _broadcast_hits(source: DataFrame, known, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, matrix = shared.value
-        best = _Best(depth)
+        best = tasks.Best(depth)
         for batch in batches:
             if len(queries):
-                _offer(best, queries, matrix, batch)
-        for frame in _hits(best, queries):
-            yield pa.RecordBatch.from_pandas(frame, schema=_HIT_ARROW, preserve_index=False)
+                tasks.offer(best, queries, matrix, batch)
+        for frame in tasks.hits_of(best, queries):
+            yield pa.RecordBatch.from_pandas(frame, schema=tasks.HIT_ARROW, preserve_index=False)
 
-    return source.mapInArrow(run, HIT_SCHEMA)
+    return source.mapInArrow(run, tasks.HIT_SCHEMA)
 
 
 def _blocked_hits(source: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
@@ -193,20 +114,20 @@ def _blocked_hits(source: DataFrame, queries: DataFrame, depth: int) -> DataFram
     ).withColumn("shard", spread(n_shards))
 
     def run(points: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(depth)
+        best = tasks.Best(depth)
         block = block.sort_values(["query_id", "variant_order"], ignore_index=True)
         if len(points) and len(block):
             batch = pa.RecordBatch.from_pandas(
                 points[["point_id", "collection", "identity", "embedding"]], preserve_index=False
             )
-            _offer(best, block, np.vstack(block["query_embedding"].to_numpy()), batch)
-        frames = list(_hits(best, block))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=_HIT_COLUMNS)
+            tasks.offer(best, block, np.vstack(block["query_embedding"].to_numpy()), batch)
+        frames = list(tasks.hits_of(best, block))
+        return pd.concat(frames) if frames else pd.DataFrame(columns=tasks.HIT_COLUMNS)
 
     return (
         left.groupBy("shard", "block")
         .cogroup(right.groupBy("shard", "block"))
-        .applyInPandas(run, HIT_SCHEMA)
+        .applyInPandas(run, tasks.HIT_SCHEMA)
     )
 
 
@@ -225,7 +146,7 @@ def score_summary(points: DataFrame, queries: DataFrame) -> DataFrame:
         queries, matrix = shared.value
         for batch in batches:
             collection = batch.column("collection").to_pandas().to_numpy()
-            scores = _matrix(batch.column("embedding")) @ matrix.T
+            scores = tasks.matrix_of(batch.column("embedding")) @ matrix.T
             for name in pd.unique(collection):
                 part = scores[collection == name]
                 frame = pd.DataFrame(

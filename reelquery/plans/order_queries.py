@@ -55,7 +55,7 @@ def source_rank(t):
 
 @query("rrf_fuse", f"SELECT query_id, candidate_key, score, rank FROM ({FUSED})")
 def rrf_fuse(t):
-    return ranking.rrf_fuse(ranks(t)).select("query_id", "candidate_key", "score", "rank")
+    return ranking.rrf_fuse(ranks(t), large=False).select("query_id", "candidate_key", "score", "rank")
 
 
 @query(

@@ -132,5 +132,5 @@ def hybrid_search_rrf(
     depth = depth_for(limit, offset)
     hydrated = hydrated_hits(catalogue, channel_hits(catalogue, queries, depth))
     rows = channel_union(hydrated, text_hits(catalogue, text_queries, depth))
-    fused = ranking.rrf_fuse(channel_ranks(rows))
+    fused = ranking.rrf_fuse(channel_ranks(rows), large=False)
     return fused.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))

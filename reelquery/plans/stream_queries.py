@@ -13,7 +13,7 @@ LATENESS = "10 minutes"
 
 
 def _stamped_events(t):
-    folder = f"{t.folder}/events.parquet"
+    folder = f"{t.folder}/events[.]parquet"  # a pattern: a stream reads folders
     return streams.file_stream(t.spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -77,10 +77,10 @@ def stream_stale_heartbeats(t):
 @query(
     "stream_job_rollup",
     """
-    SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS cnt
-    FROM events GROUP BY ALL
-    HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
-      <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+    SELECT epoch_us(w) AS window_us, event_type, count(*) AS cnt
+    FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type FROM events)
+    WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    GROUP BY w, event_type""",
 )
 def stream_job_rollup(t):
     """Hourly counts per type, for the hours the watermark has passed."""
