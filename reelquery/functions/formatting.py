@@ -93,6 +93,15 @@ def fmt_g(value: Column) -> Column:
             .otherwise(below_one)
         )
 
+    def short_form(x: Column) -> tuple[Column, Column]:
+        """Text of numbers that need at most six digits and no exponent, and whether x is one.
+
+        Such a text is the nearest double's own, so rounding to six digits gives it back.
+        """
+        plain = F.regexp_replace(x.cast("string"), r"\.0$", "")
+        digits = F.ltrim(F.translate(plain, "-.", ""), nought)
+        return plain, ~F.contains(plain, F.lit("E")) & F.length(digits).between(1, _DIGITS)
+
     def render(x: Column) -> Column:
         digits = _let(_let(_let(magnitude(x), scaled), halved), significant)
         plain = _let(_let(digits, carried), text)
@@ -105,7 +114,10 @@ def fmt_g(value: Column) -> Column:
             .otherwise(plain)
         )
 
-    return _let(value.cast("double"), render)
+    number = value.cast("double")
+    plain, is_short = short_form(number)
+    usual = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e6) & is_short
+    return F.when(usual, plain).otherwise(_let(number, render))
 
 
 def playback_time(seconds: Column) -> Column:

@@ -111,6 +111,8 @@ def strict_response_check(responses: DataFrame, text: str = "response_json") ->
     # Values keep their JSON type as text: a number stays bare, a string keeps its quotes.
     value = F.from_json(raw, "map<string,variant>")
     typed = lambda k: F.to_json(value[k])
+    # Only an integer literal reads as INT; "2", 2.0 and true do not.
+    whole = F.from_json(raw, "relevance INT")["relevance"]
     filled = lambda t: t.rlike(r'^".*\S.*"$')
 
     def good_list(k: str) -> Column:
@@ -125,7 +127,7 @@ def strict_response_check(responses: DataFrame, text: str = "response_json") ->
     rules = {
         "not_an_object": ~is_object,
         "wrong_keys": is_object & bad(exact),
-        "relevance": is_object & exact & bad(typed("relevance").isin("0", "1", "2")),
+        "relevance": is_object & exact & bad(whole.isin(0, 1, 2)),
         "matched_constraints": is_object & exact & ~good_list("matched_constraints"),
         "missing_constraints": is_object & exact & ~good_list("missing_constraints"),
         "reason": is_object & exact & bad(filled(typed("reason"))),

@@ -66,7 +66,7 @@ def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int)
     """
     total = df.agg(F.count(F.lit(1)).alias("total"))
     page = df.orderBy(*order).offset(offset).limit(limit)
-    return page.join(F.broadcast(total))
+    return page.withColumn("total", total.scalar())
 
 
 def status_pivot(refs: DataFrame) -> DataFrame:

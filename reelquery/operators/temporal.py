@@ -27,12 +27,16 @@ def cumulative_bounds(durations: DataFrame, key: str = "file_id") -> DataFrame:
     return scan.run(durations).withColumn("start_s", F.col("end_s") - F.col("d")).drop("d")
 
 
-def boundary_problems(scenes: DataFrame, files: DataFrame, key: str = "file_id") -> DataFrame:
+def boundary_problems(
+    scenes: DataFrame, files: DataFrame, key: str = "file_id", large: bool | None = None
+) -> DataFrame:
     """Every scene with the first rule it breaks (NULL = fine).
 
     scenes: file_id, seq, start_s, end_s; files: file_id, duration_seconds.
     """
-    scanned = OrderedScan([key], ["seq"], previous={"previous_end": F.col("end_s")}).run(scenes)
+    scanned = OrderedScan([key], ["seq"], previous={"previous_end": F.col("end_s")}).run(
+        scenes, large
+    )
     joined = scanned.join(files.select(key, "duration_seconds"), key, "left")
     finite = lambda c: ~(F.isnan(c) | (F.abs(c) == float("inf")))
     start, end, tolerance = F.col("start_s"), F.col("end_s"), C.BOUNDARY_TOLERANCE
@@ -176,25 +180,35 @@ def index_video(
     duration_seconds, index_generation.
     """
     known = files.filter(F.col("duration_seconds").isNotNull())
-    merged = merge_short_scenes(whole_file_scene(cuts, known).join(
-        known.select("file_id"), "file_id", "left_semi"
-    ), large=large)
-    checked = boundary_problems(merged.withColumnRenamed("scene_no", "seq"), files)
-    bad_bounds = checked.filter(F.col("problem").isNotNull()).groupBy("file_id").agg(
-        F.min_by("problem", "seq").alias("problem")
-    )
-    bad_bounds = bad_bounds.withColumn("error_code", F.lit("INVALID_SCENE_BOUNDARIES"))
-    guard = scene_count_guard(merged, known).filter(F.col("error_code").isNotNull())
+    cut_scenes = whole_file_scene(cuts, known).join(known.select("file_id"), "file_id", "left_semi")
+    if large is None:
+        large = has_large_groups(cut_scenes, ["file_id"])
+    # Scenes are few next to cuts and are read by every check below: computed once.
+    merged = checkpointed(merge_short_scenes(cut_scenes, large=large))
+    checked = boundary_problems(merged.withColumnRenamed("scene_no", "seq"), files, large=large)
+    bad_bounds = (
+        checked.filter(F.col("problem").isNotNull())
+        .groupBy("file_id")
+        .agg(F.min_by("problem", "seq").alias("problem"))
+        .withColumn("error_code", F.lit("INVALID_SCENE_BOUNDARIES"))
+    )
+    counted = scene_count_guard(merged, known).filter(F.col("error_code").isNotNull()).select(
+        "file_id", F.lit("scene_count").alias("problem"), "error_code"
+    )
     missing = files.filter(F.col("duration_seconds").isNull()).select(
         "file_id", F.lit("duration_missing").alias("problem"),
         F.lit("VIDEO_DURATION_MISSING").alias("error_code"),
     )
-    rejects = (
-        bad_bounds.unionByName(
-            guard.select("file_id", F.lit("scene_count").alias("problem"), "error_code").join(
-                bad_bounds, "file_id", "left_anti"
-            )
+    # A boundary problem is found before a file's scenes are counted.
+    rejects = checkpointed(
+        bad_bounds.unionByName(counted)
+        .groupBy("file_id")
+        .agg(
+            F.min_by(
+                F.struct("problem", "error_code"), F.col("problem") == "scene_count"
+            ).alias("r")
         )
+        .select("file_id", "r.*")
         .unionByName(missing)
     )
     good = merged.join(rejects.select("file_id"), "file_id", "left_anti")

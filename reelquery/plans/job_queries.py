@@ -16,14 +16,16 @@ STALE = f"""status = 'running' AND (heartbeat_at IS NULL OR epoch_us({AS_OF})
 
 
 def timed_jobs(t):
-    """Jobs with the newest event time as their clock (one row, joined to all)."""
+    """Jobs with the newest event time as their clock (a scalar subquery)."""
     now = t.events.agg(F.max("ts").cast("timestamp").alias("as_of"))
     stamps = {
         c: F.col(c).cast("timestamp")
         for c in ("created_at", "heartbeat_at", "updated_at", "finished_at")
     }
     locks = {"locked_by": F.lit("worker"), "locked_at": F.col("heartbeat_at")}
-    return t.v_jobs.withColumns(stamps).withColumns(locks).join(F.broadcast(now))
+    return t.v_jobs.withColumns(stamps).withColumns(locks).withColumn(
+        "as_of", now.scalar()
+    )
 
 
 @query("stale_jobs", f"SELECT job_id FROM v_jobs WHERE {STALE}")
@@ -67,9 +69,8 @@ def job_page(t):
         "job_id", F.array_join("file_paths", ",").alias("file_paths")
     )
     total = t.v_jobs.agg(F.count(F.lit(1)).alias("total"))
-    return page.select("job_id", "job_type", "status").join(paths, "job_id").join(
-        F.broadcast(total)
-    )
+    rows = page.select("job_id", "job_type", "status").join(paths, "job_id")
+    return rows.withColumn("total", total.scalar())
 
 
 @query(

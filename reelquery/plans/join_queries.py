@@ -254,8 +254,9 @@ def file_graph(t):
     FROM v_files f
     LEFT JOIN (SELECT file_id, count(*) AS n FROM v_assets GROUP BY ALL) c
       ON c.file_id = f.file_id
-    LEFT JOIN (SELECT file_id, array_to_string(list(asset_id ORDER BY created_seq), ',') AS ids
-      FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY created_seq) AS n
+    LEFT JOIN (SELECT file_id, array_to_string(list(asset_id ORDER BY created_seq,
+        asset_id), ',') AS ids
+      FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY created_seq, asset_id) AS n
         FROM v_assets WHERE coalesce(json_extract_string(metadata_json, '$.stale'), 'false')
           <> 'true') WHERE n <= 50 GROUP BY file_id) s ON s.file_id = f.file_id""",
 )
