@@ -23,7 +23,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core for work that is heavy per row.
 
     Only an input of fewer partitions than cores (one small file) is spread; a large table keeps
-    its partitions and pays no exchange.
+    its partitions and pays no exchange. Meant for scans: asking a plan with exchanges for its
+    partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

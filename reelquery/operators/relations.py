@@ -145,16 +145,17 @@ def job_file_paths(jobs: DataFrame, files: DataFrame, assets: DataFrame) -> Data
     Both lookups join on keys exploded from the payloads; the lists put together hold one job's own
     paths.
     """
-    get = lambda k: F.get_json_object("input_json", f"$.{k}")
+    fields = ", ".join(f"{k} STRING" for k in [*PATH_KEYS, "file_id", "asset_id"])
+    parsed = F.from_json("input_json", f"{fields}, asset_ids ARRAY<STRING>")
     some = lambda c: F.when(c != "", c)
-    literal = F.array_compact(F.array(*[some(get(k)) for k in PATH_KEYS]))
-    listed = F.coalesce(
-        F.from_json(get("asset_ids"), "array<string>"), F.array().cast("array<string>")
-    )
-    asset_keys = F.concat(F.array_compact(F.array(some(get("asset_id")))), listed)
-    keyed = jobs.select(
-        "job_id", literal.alias("literal"), some(get("file_id")).alias("in_file"),
-        asset_keys.alias("in_assets"),
+    keyed = jobs.select("job_id", parsed.alias("p")).select(
+        "job_id",
+        F.array_compact(F.array(*[some(F.col(f"p.{k}")) for k in PATH_KEYS])).alias("literal"),
+        some(F.col("p.file_id")).alias("in_file"),
+        F.concat(
+            F.array_compact(F.array(some(F.col("p.asset_id")))),
+            F.coalesce(F.col("p.asset_ids"), F.array().cast("array<string>")),
+        ).alias("in_assets"),
     )
     file_path = files.select(F.col("file_id").cast("string").alias("fk"), "path")
     asset_path = assets.join(files.select("file_id", F.col("path").alias("of_file")), "file_id")

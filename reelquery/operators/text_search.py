@@ -34,7 +34,8 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         tokens(F.col(text)), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"))
     )
     return (
-        docs.select(key, F.explode(words).alias("w"))
+        spread(docs.select(key, text))
+        .select(key, F.explode(words).alias("w"))
         .groupBy(key, F.col("w.term").alias("term"))
         .agg(F.sort_array(F.collect_list(F.col("w.pos").cast("bigint"))).alias("positions"))
         .withColumn("tf", F.size("positions").cast("bigint"))
@@ -76,7 +77,7 @@ def match_all_terms(
     docs: DataFrame, queries: DataFrame, key: str, text: str = "text"
 ) -> DataFrame:
     """(query, document, terms, words) where every query term occurs in the document."""
-    whole = spread(docs.select(key, F.col(text).alias("text")))
+    whole = docs.select(key, F.col(text).alias("text"))
     driven = rarest_terms(whole, queries).withColumnRenamed("term", "driver")
     drivers = driven.select("driver").distinct()
     # One row per (document, driver term it contains): the join carries document keys only.
@@ -167,9 +168,11 @@ def text_search(
         "file_id", "library_id", "media_type", "path"
     )
     live_libraries = libraries.filter(~F.col("is_deleted")).select("library_id")
+    texts = chunks.filter(F.col("asset_type") == "text_chunk").select(
+        "asset_id", "file_id", "scene_id", "start_s", "end_s", "text_content"
+    )
     live = (
-        chunks.filter(F.col("asset_type") == "text_chunk")
-        .select("asset_id", "file_id", "scene_id", "start_s", "end_s", "text_content")
+        spread(texts)
         .join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
         .join(live_libraries, "library_id", "left_semi")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelquery.operators import hybrid, relations, snapshots, temporal, vector_search
+from reelquery.operators.ordered import spread
 from reelquery.plans import search
 from reelquery.plans.registry import query
 
@@ -165,7 +166,7 @@ PATHS = """
 
 @query("job_file_paths", PATHS)
 def job_file_paths(t):
-    return relations.job_file_paths(t.v_jobs, t.v_files, t.v_assets).select(
+    return relations.job_file_paths(spread(t.v_jobs.select("job_id", "input_json")), t.v_files, t.v_assets).select(
         "job_id", F.array_join("file_paths", ",").alias("file_paths")
     )
 

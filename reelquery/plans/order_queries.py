@@ -8,7 +8,7 @@ from reelquery import constants as C
 from reelquery.functions import scoring
 from reelquery.operators import jobs as J
 from reelquery.operators import hybrid, ranking, relations, temporal, text_search, vector_search
-from reelquery.operators.ordered import numbered, top_per_group
+from reelquery.operators.ordered import numbered, spread, top_per_group
 from reelquery.plans import search
 from reelquery.plans.join_queries import (
     DEPTH, candidates, channel_rows, hydrated,
@@ -307,7 +307,7 @@ def uniform_pick(t):
       ORDER BY score DESC, doc_id) AS rank FROM v_text_scores) WHERE rank <= 10""",
 )
 def text_topk(t):
-    ranked = text_search.text_rank(t.documents, t.v_text_queries, "doc_id").withColumn(
+    ranked = text_search.text_rank(spread(t.documents.select("doc_id", "text")), t.v_text_queries, "doc_id").withColumn(
         "score", F.round("score", 6)
     )
     return top_per_group(
