@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reelquery import constants as C
 from reelquery.operators.ordered import spread, top_per_group
+from reelquery.session import checkpointed
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -49,16 +50,18 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
     )
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+def document_frequencies(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """Documents per term, for the terms in ``wanted``; others are dropped before the exchange."""
     terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return terms.join(wanted, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df")
+    )
 
 
 def rarest_terms(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
     """Each query with its rarest term; one missing from all documents drops the query."""
-    wanted = queries.select("query_id", "terms", F.explode("terms").alias("term"))
-    distinct = wanted.select("term").distinct()
-    found = document_frequencies(docs, text).join(distinct, "term", "left_semi")
+    wanted = checkpointed(queries.select("query_id", "terms", F.explode("terms").alias("term")))
+    found = document_frequencies(docs, wanted.select("term").distinct(), text)
     per_query = (
         wanted.join(found, "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
@@ -78,17 +81,15 @@ def match_all_terms(
 ) -> DataFrame:
     """(query, document, terms, words) where every query term occurs in the document."""
     whole = docs.select(key, F.col(text).alias("text"))
-    driven = rarest_terms(whole, queries).withColumnRenamed("term", "driver")
-    drivers = driven.select("driver").distinct()
-    # One row per (document, driver term it contains): the join carries document keys only.
-    present = (
+    # Stored, so their sizes are known: while they are small, no text is moved to meet them.
+    driven = checkpointed(rarest_terms(whole, queries).withColumnRenamed("term", "driver"))
+    pairs = checkpointed(
         whole.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("driver"))
-        .join(drivers, "driver", "left_semi")
         .join(driven, "driver")
         .select(key, "query_id", "terms")
     )
-    checked = whole.join(present, key).withColumn("words", tokens(F.col("text")))
-    return checked.filter(
+    checked = whole.join(pairs, key)
+    return checked.withColumn("words", tokens(F.col("text"))).filter(
         F.size(F.array_except("terms", "words")) == 0
     ).select("query_id", key, "terms", "words")
 

@@ -268,3 +268,12 @@ def nullable_bounds(t):
         F.when(F.col("start_s").isNull(), 0.0).otherwise(clamp(F.col("start_s") / 10, 0.0, 1.0))
         .alias("clamped"),
     )
+
+
+@query(
+    "clamp",
+    """SELECT event_id, least(1, greatest(0.1, value / 300 - 0.25)) AS clamped FROM events""",
+)
+def clamp_values(t):
+    value = clamp(F.col("value") / 300 - 0.25, 0.1, 1.0)
+    return t.events.select("event_id", value.alias("clamped"))

@@ -130,6 +130,39 @@ def table_read_write(t):
     )
 
 
+@query(
+    "table_read",
+    """
+    SELECT CAST(job_id AS VARCHAR) AS job_id, job_type, status, priority, timeout_seconds,
+      CAST(created_at AS DATE) AS created_date FROM v_jobs""",
+)
+def table_read(t):
+    """The job log, partitioned by day, read with its declared schema."""
+    root = f"{shared_folder(t.spark)}/facts"
+    tables.write_table(t.v_jobs, root, "jobs")
+    return tables.read_table(t.spark, root, "jobs").select(
+        "job_id", "job_type", "status", "priority", "timeout_seconds", "created_date"
+    )
+
+
+@query(
+    "table_write",
+    """
+    SELECT CAST(file_id AS VARCHAR) AS file_id, library_id, CASE WHEN library_id IN (SELECT
+      library_id FROM v_libraries WHERE is_deleted) THEN 0 ELSE size_bytes END AS size_bytes
+    FROM v_files""",
+)
+def table_write(t):
+    """All files, then the deleted libraries again with no size: other partitions stay."""
+    root = f"{shared_folder(t.spark)}/facts"
+    tables.write_table(t.v_files, root, "media_files")
+    gone = t.v_files.join(t.v_libraries.filter("is_deleted"), "library_id", "left_semi")
+    tables.write_table(gone.withColumn("size_bytes", F.lit(0)), root, "media_files")
+    return tables.read_table(t.spark, root, "media_files").select(
+        "file_id", "library_id", "size_bytes"
+    )
+
+
 @query(
     "vector_point_write",
     """

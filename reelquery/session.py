@@ -43,9 +43,14 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: ``df`` as a written table in the shared folder.
+
+    A table is computed once (``DataFrame.checkpoint`` computes twice), survives lost executors, is
+    read column-pruned, and has a known size, so Spark broadcasts it only when it really is small.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -50,6 +50,7 @@ def write_table(df: DataFrame, root: str, name: str, files_per_partition: int |
     save.parquet(f"{root}/{name}")
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None):
     """Catalogue table bucketed and sorted by ``key``, so joins on it need no exchange."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

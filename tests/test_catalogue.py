@@ -147,3 +147,46 @@ def test_redacted_arrays(spark):
     df = spark.sql("SELECT array(named_struct('id', 1, 'cache_path', '/x')) AS assets, 'p' AS path")
     safe = hydration.redact_nested(hydration.redacted(df, ["path"]), "assets", ["cache_path"])
     assert safe.columns == ["assets"] and safe.first()[0][0].asDict() == {"id": 1}
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    rows = spark.range(200).select((F.col("id") % 20).alias("file_id"), F.col("id").alias("asset_id"))
+    tables.write_bucketed(rows, "t_assets", "file_id", 4, str(tmp_path / "a"))
+    tables.write_bucketed(spark.range(20).withColumnRenamed("id", "file_id"), "t_files", "file_id",
+                          4, str(tmp_path / "f"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("t_assets").join(spark.table("t_files"), "file_id")
+        assert joined.count() == 200
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE t_assets")
+        spark.sql("DROP TABLE t_files")
+
+
+def test_prefilter_leaves_only_indexed_points(spark, folder):
+    from reelquery.plans import join_queries, search
+    from reelquery.sources.adapters import Tables
+
+    t = Tables(spark, folder)
+    hits = search.channel_hits(join_queries.catalogue(t), t.v_queries, 30, prefilter=True)
+    live = t.v_refs.filter("status = 'indexed'").select("collection", "point_id")
+    assert hits.count() > 0
+    assert hits.join(live, ["collection", "point_id"], "left_anti").count() == 0
+
+
+def test_range_join_equals_direct_comparison(spark):
+    import random
+
+    rng = random.Random(8)
+    make = lambda n: [(rng.randint(0, 2), i, float(a), a + rng.choice([0.0, 0.5, 7.0, 30.0]))
+                      for i, a in enumerate(rng.uniform(0, 60) for _ in range(n))]
+    left, right = make(60), make(50)
+    schema = "file_id int, w int, start_s double, end_s double"
+    pairs = relations.window_overlaps(
+        spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 4.0, "w", "w")
+    expected = sorted((a[1], b[1]) for a in left for b in right
+                      if a[0] == b[0] and max(a[2], b[2]) < min(a[3], b[3]))
+    assert sorted((r.left_id, r.right_id) for r in pairs.collect()) == expected
