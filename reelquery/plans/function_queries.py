@@ -101,11 +101,11 @@ def cosine(t):
     FROM (SELECT label, list(m / n ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS m,
         sqrt(sum(avg(x) * avg(x)) OVER (PARTITION BY label)) AS n
       FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1)
-        AS pos FROM embeddings WHERE vec_id % 4 <> 0) GROUP BY label, pos) GROUP BY label)""",
+        AS pos FROM embeddings WHERE embedding[1] > 0) GROUP BY label, pos) GROUP BY label)""",
 )
 def mean_pool(t):
-    """Vectors as token vectors of their label; the mask leaves out every fourth."""
-    masked = t.embeddings.withColumn("mask", (F.col("vec_id") % 4 != 0).cast("int"))
+    """Vectors as token vectors of their label; the mask keeps those with a positive first value."""
+    masked = t.embeddings.withColumn("mask", (F.col("embedding")[0] > 0).cast("int"))
     pooled = vector_search.masked_mean_pool(masked, "label", "embedding", "mask")
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return pooled.select(
