@@ -10,6 +10,9 @@ SPACE_CLASS = "\\x20\\x09-\\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Upper-case letters up to the Cyrillic and Armenian blocks that have one lower-case letter.
+_CASED = [chr(c) for c in range(0x41, 0x560) if chr(c).lower() != chr(c) and len(chr(c).lower()) == 1]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,3 +34,8 @@ def ascii_lower(text):
 def crc_class(classes: int):
     """crc32 of the decimal ``doc_id``, modulo ``classes``: the fold of a document."""
     return F.crc32(F.col("doc_id").cast("string")) % classes
+
+
+def letters_lower(text):
+    """Lower-case Latin, Greek, Cyrillic and Armenian letters one by one (much cheaper than ``lower``)."""
+    return F.translate(text, "".join(_CASED), "".join(_CASED).lower())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import bpe_stream, exact_dedup, lang_id, simhash
+from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, simhash
 from reelquery.llm.common import crc_class, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.select("doc_id", (crc_class(lang_id.FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -52,6 +56,7 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_bpe_round_trip": op9_bpe_round_trip,
