@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, simhash, substring_dedup
+from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, simhash, substring_dedup, token_output
 from reelquery.llm.common import crc_class, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +47,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output.token_output(table(spark, folder, "documents"), vocabulary(WORD_VOCABULARY))
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_output": op5_token_output,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_bpe_round_trip": op9_bpe_round_trip,
