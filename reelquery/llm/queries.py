@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, simhash, substring_dedup, token_output
+from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, secret_scan, simhash, substring_dedup, token_output
 from reelquery.llm.common import crc_class, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_stream.encode_decode(table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
