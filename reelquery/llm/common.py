@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the operators' word rule, and upper and lower case of A-Z.
@@ -39,3 +39,19 @@ def crc_class(classes: int):
 def letters_lower(text):
     """Lower-case Latin, Greek, Cyrillic and Armenian letters one by one (much cheaper than ``lower``)."""
     return F.translate(text, "".join(_CASED), "".join(_CASED).lower())
+
+
+#: Parts a group is dealt into before its sample is cut, so no task sorts a whole group.
+SAMPLE_PARTS = 32
+
+
+def sample_by_hash(rows: DataFrame, group: str, mark: str, size) -> DataFrame:
+    """At most ``size`` rows of each group: those with the smallest ``mark`` (a hash, ties as they come).
+
+    Each of a group's parts is cut first, so at most ``SAMPLE_PARTS`` times ``size`` rows of it meet.
+    """
+    part = F.pmod(F.xxhash64(mark), F.lit(SAMPLE_PARTS))
+    narrow = Window.partitionBy(group, "part").orderBy(mark)
+    first = rows.withColumn("part", part).withColumn("place", F.row_number().over(narrow)).where(F.col("place") <= size)
+    whole = Window.partitionBy(group).orderBy(mark)
+    return first.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= size).drop("part")

@@ -45,7 +45,8 @@ def directory(slots: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     fits = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("load")).where(
         (F.col("load") <= capacity) | (F.col("depth") == MAX_DEPTH)
     )
-    depths = levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    # ``fits`` has fewer than twice as many rows as there can be cells.
+    depths = levels.join(F.broadcast(fits), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"))
     # Left-aligned prefixes keep buckets in key order.
     return depths.withColumn(
         "bucket", F.expr(f"shiftleft(shiftright(cell, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)")

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import crc_class, texts
+from reelquery.llm.common import crc_class, sample_by_hash, texts
 
 FOLDS = 5
 TRAIN_DOCS = 400
@@ -235,9 +235,8 @@ def train(docs: DataFrame) -> Network | None:
         F.col("lang").cast("string").alias("lang"), mark.alias("mark"),
         F.col("text").substr((F.pmod(F.shiftrightunsigned(mark, 8), room) + 1).cast("int"), F.lit(EXCERPT)).alias("excerpt"),
     )
-    order = Window.partitionBy("lang").orderBy("mark", "excerpt")
-    sample = excerpts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
-    rows = sample.orderBy("n", "lang").limit(TRAIN_DOCS * MAX_LANGUAGES).collect()
+    sample = sample_by_hash(excerpts, "lang", "mark", TRAIN_DOCS)
+    rows = sample.orderBy("place", "lang").limit(TRAIN_DOCS * MAX_LANGUAGES).collect()
     return fit(sorted((r["lang"], r["excerpt"]) for r in rows))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import bpe_stream, decontamination, exact_dedup, lang_id, secret_scan, simhash, substring_dedup, token_output, toxicity
+from reelquery.llm import bpe_stream, decontamination, exact_dedup, html_text, lang_id, secret_scan, simhash, substring_dedup, token_output, toxicity
 from reelquery.llm.common import crc_class, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.token_output(table(spark, folder, "documents"), vocabulary(WORD_VOCABULARY))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_text": op4_html_text,
     "op5_token_output": op5_token_output,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,

@@ -27,10 +27,10 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import crc_class, texts
+from reelquery.llm.common import crc_class, sample_by_hash, texts
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
@@ -264,10 +264,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").alias("toxic")
     ).where(crc_class(FOLDS) != HELD_OUT)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(order)).where(
-        F.col("n") <= F.when(F.col("toxic") == 1, TRAIN_TOXIC).otherwise(TRAIN_CLEAN)
-    )
+    size = F.when(F.col("toxic") == 1, TRAIN_TOXIC).otherwise(TRAIN_CLEAN)
+    chosen = sample_by_hash(marked.withColumn("mark", F.xxhash64("doc_id", F.lit("sample"))), "toxic", "mark", size)
     # At most TRAIN_TOXIC + TRAIN_CLEAN ids.
     found = texts(docs).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
     # Copies say nothing new, and would make any of their words look like a stem.
