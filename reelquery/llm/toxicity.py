@@ -35,12 +35,14 @@ from reelquery.llm.common import crc_class, sample_by_hash, texts
 FOLDS, HELD_OUT = 3, 1
 TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 4_000
 MAX_STEMS = 2_000
-STEM_SIZES = (4, 5, 6, 8)
+STEM_SIZES = (3, 4, 5, 6, 7, 8)
 #: A stem must occur in so many toxic texts of the sample, and this share of them, and be so much likelier
 #: in them (log ratio).
-MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_RATIO = 3, 0.01, 3.0
-#: A stem is chosen only if it explains so many more toxic texts of the sample.
+MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_RATIO, FULL_LOG_RATIO = 3, 0.01, 2.5, 4.0
+#: A stem is chosen only if it explains so many more toxic texts of the sample than it meets clean ones; stems in
+#: more clean texts than this share of its toxic ones are not looked at.
 LEAST_GAIN = 2
+MAX_CLEAN = 0.15
 THRESHOLD = 0.7
 
 #: Word lists of the grammar: what is known before any label is seen.
@@ -230,31 +232,36 @@ def fit_weights(rows: np.ndarray, labels: np.ndarray, pull: float = 0.0001, step
     return weights
 
 
-def strong_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, int]:
-    """Stems far likelier in toxic documents, with the number of toxic ones that have them."""
-    ratio = lambda a, b: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
-    return {s: a for s, a, b in counts if a >= least_cover(toxic) and ratio(a, b) >= MIN_LOG_RATIO}
+def strong_stems(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, tuple[int, int, float]]:
+    """Stems far likelier in toxic documents: (toxic documents, clean documents, log ratio)."""
+    strong = {}
+    for stem, a, b in counts:
+        ratio = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        if a >= least_cover(toxic) and ratio >= MIN_LOG_RATIO:
+            strong[stem] = (a, b, ratio)
+    return strong
 
 
 def least_cover(toxic: int) -> float:
     return max(MIN_TOXIC_DOCS, MIN_TOXIC_SHARE * toxic)
 
 
-def choose_stems(strong: dict[str, int], holders: list[set[str]]) -> dict[str, float]:
+def choose_stems(strong: dict[str, tuple[int, int, float]], holders: list[set[str]]) -> dict[str, float]:
     """Sequential covering: the stem that explains most toxic documents yet unexplained, again and again.
 
-    ``holders`` are the strong stems of each toxic document. Words that merely recur in toxic documents
-    (copied passages) explain nothing that an insult has not explained, and are left out. Of stems that
-    explain the same, the one in more documents, then the longest wins.
+    ``holders`` are the strong stems of each toxic document. Clean documents that have a stem count against
+    it. Words that merely recur in toxic documents (copied passages) explain nothing that an insult has not
+    explained, and are left out. Of stems that explain the same, the one in more documents, then the
+    longest wins. A stem weighs 1, or less if its log ratio is below ``FULL_LOG_RATIO``.
     """
     chosen: dict[str, float] = {}
     open_docs = [h for h in holders if h]
     while open_docs:
         gain = Counter(stem for stems in open_docs for stem in stems)
-        best = max(gain, key=lambda s: (gain[s], strong[s], len(s), s))
-        if gain[best] < LEAST_GAIN:
+        best = max(gain, key=lambda s: (gain[s] - strong[s][1], strong[s][0], len(s), s))
+        if gain[best] - strong[best][1] < LEAST_GAIN:
             break
-        chosen[best] = 1.0
+        chosen[best] = min(1.0, strong[best][2] / FULL_LOG_RATIO)
         open_docs = [h for h in open_docs if best not in h]
     return chosen
 
@@ -294,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counts = sample.mapInArrow(stems_of, "stem string, toxic int").groupBy("stem").agg(
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
-    ).where((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("clean") <= 0.02 * F.col("toxic")))
+    ).where((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("clean") <= MAX_CLEAN * F.col("toxic")))
     strongest = counts.orderBy(F.desc("toxic"), "clean", "stem").limit(MAX_STEMS).collect()
     strong = strong_stems([tuple(r) for r in strongest], totals.get(1, 0), totals.get(0, 0))
 
