@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -29,71 +30,131 @@ _ARROW_TYPES = {
 HIT_ARROW = pa.schema(
     [(name, _ARROW_TYPES[kind]) for name, kind in (p.split() for p in HIT_SCHEMA.split(", "))]
 )
-HIT_COLUMNS = HIT_ARROW.names
-
-
-def matrix_of(column: pa.Array) -> np.ndarray:
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if rows and flat.size % rows:
-        raise ValueError("vectors of different dimensions in one batch")
-    return flat.reshape(rows, -1)
+SUMMARY_SCHEMA = (
+    "query_id bigint, variant_order int, collection string, n bigint, total double, low double, high double"
+)
+#: Candidate rows a task holds; beyond it, it trims, and if that is not enough sends them and goes on.
+HELD_ROWS = 1_000_000
+
+
+def block_of(frame: pd.DataFrame) -> list[tuple[str | None, int, pd.DataFrame, np.ndarray]]:
+    """A block of queries as (collection or None, vector size, keys, matrix), one per pair of the first two."""
+    frame = frame.sort_values(["query_id", "variant_order"], ignore_index=True)
+    sizes = frame["query_embedding"].map(len)
+    channels = frame["collection"].where(frame["collection"].notna(), None)
+    parts = []
+    for channel, size in sorted({*zip(channels, sizes, strict=True)}, key=str):
+        at = np.flatnonzero((sizes == size) & ((channels == channel) if channel is not None else channels.isna()))
+        keys = frame.iloc[at][["query_id", "variant_order", "weight"]].reset_index(drop=True)
+        matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in frame["query_embedding"].iloc[at]])
+        parts.append((channel, size, keys, matrix))
+    return parts
+
+
+def vectors_of(batch: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows whose vector has ``size`` finite values, and their vectors."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), size), False)
+    rows = batch.filter(fits)
+    flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False)
+    vectors = flat.astype(np.float64, copy=False).reshape(len(rows), size)
+    finite = np.isfinite(vectors).all(axis=1)
+    if finite.all():
+        return rows, vectors
+    return rows.filter(pa.array(finite)), vectors[finite]
+
+
+def scored(batch: pa.RecordBatch, block) -> Iterator[tuple[int, str, pa.RecordBatch, np.ndarray]]:
+    """(part of the block, collection, points, their scores) for all that can be compared."""
+    for part, (channel, size, _, matrix) in enumerate(block):
+        rows, vectors = vectors_of(batch, size)
+        names = rows.column("collection").to_pandas().to_numpy()
+        for name in [channel] if channel is not None else pd.unique(names):
+            at = np.flatnonzero(names == name)
+            if len(at):
+                yield part, name, rows.take(pa.array(at)), vectors[at] @ matrix.T
+
+
+def best_per_identity(rows: pa.RecordBatch, scores: np.ndarray):
+    """(identities, point ids, scores) with one row per identity; of equal scores the smallest point id."""
+    ids = rows.column("point_id").to_numpy(zero_copy_only=False)
+    identity = rows.column("identity").to_pandas().to_numpy()
+    codes, _ = pd.factorize(identity)
+    order = np.lexsort((ids, codes))
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    scores = scores[order]
+    top = np.maximum.reduceat(scores, starts, axis=0)
+    counts = np.diff(np.append(starts, len(order)))
+    place = np.where(scores == np.repeat(top, counts, axis=0), np.arange(len(order))[:, None], len(order))
+    return identity[order][starts], ids[order][np.minimum.reduceat(place, starts, axis=0)], top
 
 
 class Best:
     """The best K identities per (query variant, collection) seen by one task."""
 
-    def __init__(self, depth: int):
-        self.depth = depth
-        self.parts: dict[tuple[int, str], list[pd.DataFrame]] = {}
-        self.rows: dict[tuple[int, str], int] = {}
-        self.floor: dict[tuple[int, str], float] = {}
-
-    def add(self, key: tuple[int, str], frame: pd.DataFrame) -> None:
-        self.parts.setdefault(key, []).append(frame)
-        self.rows[key] = self.rows.get(key, 0) + len(frame)
-        if self.rows[key] > 8 * self.depth:
-            kept = self.trim(key)
-            self.parts[key], self.rows[key] = [kept], len(kept)
-
-    def trim(self, key: tuple[int, str]) -> pd.DataFrame:
-        frame = pd.concat(self.parts[key], ignore_index=True)
-        frame = frame.sort_values(["score", "point_id"], ascending=[False, True])
-        frame = frame.drop_duplicates("identity").head(self.depth)
-        if len(frame) == self.depth:
-            self.floor[key] = frame["score"].iloc[-1]
+    def __init__(self, block, depth: int):
+        self.block, self.depth = block, depth
+        self.frames: list[pd.DataFrame] = []
+        self.rows = 0
+        self.floor: dict[tuple[int, str], np.ndarray] = {}
+
+    def add(self, part: int, name: str, identity: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        # A score below the K-th identity so far cannot enter; equal scores still can, by id.
+        floor = self.floor.setdefault((part, name), np.full(scores.shape[1], -np.inf))
+        if len(scores) > self.depth:
+            np.maximum(floor, np.partition(scores, -self.depth, axis=0)[-self.depth], out=floor)
+        query, row = np.nonzero((scores >= floor).T)
+        self.frames.append(
+            pd.DataFrame(
+                {"part": part, "query": query, "collection": name, "identity": identity[row],
+                 "point_id": ids[row, query], "score": scores[row, query]}
+            )
+        )
+        self.rows += len(row)
+
+    def trim(self) -> pd.DataFrame:
+        """Keep K identities per query variant and collection."""
+        keys = ["part", "query", "collection"]
+        frame = pd.concat(self.frames, ignore_index=True)
+        frame = frame.sort_values([*keys, "score", "point_id"], ascending=[True, True, True, False, True])
+        frame = frame.drop_duplicates([*keys, "identity"])
+        frame = frame[frame.groupby(keys, sort=False).cumcount() < self.depth]
+        for (part, query, name), group in frame.groupby(keys, sort=False)["score"]:
+            if len(group) == self.depth:
+                floor = self.floor[part, name]
+                floor[query] = max(floor[query], group.iloc[-1])
+        self.frames, self.rows = [frame], len(frame)
         return frame
 
-
-def offer(best: Best, queries: pd.DataFrame, matrix: np.ndarray, batch: pa.RecordBatch) -> None:
-    vectors = matrix_of(batch.column("embedding"))
-    if vectors.shape[0] == 0:
-        return
-    if vectors.shape[1] != matrix.shape[1]:
-        raise ValueError(f"points have {vectors.shape[1]} values, queries {matrix.shape[1]}")
-    ids = batch.column("point_id").to_numpy(zero_copy_only=False)
-    identity = batch.column("identity").to_pandas().to_numpy()
-    collection = batch.column("collection").to_pandas().to_numpy()
-    scores = np.round(vectors @ matrix.T, SCORE_DECIMALS)
-    for name in pd.unique(collection):
-        at = np.flatnonzero(collection == name)
-        for q in range(matrix.shape[0]):
-            column = scores[at, q]
-            # A score below the K-th identity so far cannot enter; equal scores still can, by id.
-            open_ = column >= best.floor.get((q, name), -np.inf)
-            if open_.any():
-                kept = at[open_]
-                frame = pd.DataFrame(
-                    {"identity": identity[kept], "point_id": ids[kept], "score": column[open_]}
-                )
-                best.add((q, name), frame)
-
-
-def hits_of(best: Best, queries: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for q, name in best.parts:
-        frame = best.trim((q, name))
-        row = queries.iloc[q]
-        yield frame.assign(
-            query_id=int(row.query_id), variant_order=int(row.variant_order),
-            weight=float(row.weight), collection=name,
-        )[HIT_COLUMNS]
+    def send(self) -> pa.RecordBatch:
+        frame = self.trim()
+        self.frames, self.rows = [], 0
+        keys = pd.concat(
+            [k.assign(part=i, query=np.arange(len(k))) for i, (_, _, k, _) in enumerate(self.block)]
+        )
+        out = frame.merge(keys, on=["part", "query"])[HIT_ARROW.names]
+        return pa.RecordBatch.from_pandas(out, schema=HIT_ARROW, preserve_index=False)
+
+
+def best_hits(batches: Iterator[pa.RecordBatch], block, depth: int) -> Iterator[pa.RecordBatch]:
+    best = Best(block, depth)
+    for batch in batches:
+        for part, name, rows, scores in scored(batch, block):
+            best.add(part, name, *best_per_identity(rows, np.round(scores, SCORE_DECIMALS)))
+            if best.rows > HELD_ROWS:
+                best.trim()
+            if best.rows > HELD_ROWS // 2:
+                yield best.send()
+    if best.frames:
+        yield best.send()
+
+
+def summaries(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
+    """Count, sum and range of each query variant's scores in a batch, per collection."""
+    for batch in batches:
+        for part, name, _, scores in scored(batch, block):
+            keys = block[part][2]
+            frame = pd.DataFrame(
+                {"query_id": keys["query_id"], "variant_order": keys["variant_order"], "collection": name,
+                 "n": len(scores), "total": scores.sum(axis=0), "low": scores.min(axis=0), "high": scores.max(axis=0)}
+            )
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)

@@ -1,18 +1,20 @@
 """Cosine search of a table of query vectors over a table of points.
 
-Points are the large side and are scanned once, column-pruned, without a shuffle: each task scores
-its batches against the query matrix with NumPy and keeps only what can still reach a result (the
-best K identities per query variant and collection), so the exchange carries K rows per task, not
-the scores. The query matrix is broadcast only when it fits a checked bound; a larger query table
-is joined block by block instead.
+Queries are cut into blocks of a bounded number of values, always the same way. A block is broadcast and
+the points are scanned once for it, column-pruned, without a shuffle: each task scores its batches against
+the block with NumPy and keeps only what can still reach a result (the best K identities per query variant
+and collection), so the exchange carries K rows per task, not the scores. With more than one block, each
+block's result is written before the next is fetched, so one block at a time is on the driver.
+
+A query row belongs to one ``collection`` or, without that column (or null), to all; a point is scored by
+the queries of its collection whose vectors have its length, so every channel can have its own model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,11 +23,13 @@ from reelquery import constants as C
 from reelquery.functions import vectors as V
 from reelquery.operators import topk_tasks as tasks
 from reelquery.operators.ordered import top_per_group
+from reelquery.session import checkpointed
 
-MAX_BROADCAST_VALUES = 8_000_000
+#: Values of one broadcast block (doubles: 16 MB); a row of queries is never split.
 BLOCK_VALUES = 2_000_000
 SALTS = 16
 
+
 def _points(points: DataFrame, grouped: bool) -> DataFrame:
     """Identity = scene for the grouped channel, else the point; a point without a scene cannot
     be grouped and is left out there, as a group-by on a missing payload key does."""
@@ -38,42 +42,56 @@ def _points(points: DataFrame, grouped: bool) -> DataFrame:
 
 
 def _query_rows(queries: DataFrame) -> DataFrame:
+    """Query rows with a usable vector; ``collection`` is null for a row that asks them all."""
+    channel = F.col("collection") if "collection" in queries.columns else F.lit(None).cast("string")
     return queries.select(
-        "query_id", F.col("variant_order").cast("int").alias("variant_order"), "weight",
+        "query_id", F.col("variant_order").cast("int").alias("variant_order"),
+        F.col("weight").cast("double").alias("weight"), channel.alias("collection"),
         V.as_double(F.col("query_embedding")).alias("query_embedding"),
-    )
-
-
-def query_matrix(queries: DataFrame, limit: int | None = None):
-    """The query table as (keys, matrix), or None when it has more values than the bound.
-
-    One job: at most one row over the bound for the widest registered model is fetched.
-    """
-    widest = max(config["model"][2] for config in C.COLLECTION_REGISTRY.values())
-    allowed = max(1, (MAX_BROADCAST_VALUES if limit is None else limit) // widest)
-    frame = _query_rows(queries).limit(allowed + 1).toPandas()
-    if len(frame) > allowed:
-        return None
-    frame = frame.sort_values(["query_id", "variant_order"], ignore_index=True)
-    vectors = frame["query_embedding"].to_list()
-    return frame.drop(columns="query_embedding"), np.array(vectors, ndmin=2, dtype=np.float64)
+    ).filter(F.size("query_embedding") > 0)
+
+
+def _per_block(points: DataFrame, queries: DataFrame, task, schema: str) -> DataFrame:
+    """Rows of ``task(batches, block)`` over all points, for every block of queries."""
+    spark = points.sparkSession
+    rows = checkpointed(_query_rows(queries))
+    values = rows.agg(F.sum(F.size("query_embedding"))).first()[0] or 0
+    # Rows are dealt by hash, so blocks come out uneven: twice as many as would just do.
+    n_blocks = 1 if values <= BLOCK_VALUES else -(-2 * values // BLOCK_VALUES)
+    block_of = F.pmod(F.xxhash64("query_id", "variant_order", "collection"), F.lit(n_blocks))
+    parts = []
+    for number in range(n_blocks):
+        frame = rows.filter(block_of == number).toPandas()
+        if frame.empty:
+            continue
+        shared = spark.sparkContext.broadcast(tasks.block_of(frame))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            return task(batches, shared.value)
+
+        part = points.mapInArrow(run, schema)
+        if n_blocks > 1:
+            part = checkpointed(part)
+            shared.destroy()
+        parts.append(part)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def variant_hits(
-    points: DataFrame, queries: DataFrame, depth: int, grouped: bool = True,
-    broadcast_values: int | None = None,
+    points: DataFrame, queries: DataFrame, depth: int, grouped: bool = True
 ) -> DataFrame:
     """Best ``depth`` identities per (query, variant, collection), exact.
 
     points: point_id, collection, scene_id, embedding; queries: query_id, variant_order, weight,
-    query_embedding. Score is the raw cosine of unit vectors, rounded (see ``topk_tasks``).
+    query_embedding and, if channels have models of their own, collection. Score is the raw cosine of
+    unit vectors, rounded (see ``topk_tasks``). Points no query can score are in ``unscorable``.
     """
-    source = _points(points, grouped)
-    known = query_matrix(queries, broadcast_values)
-    if known is not None:
-        partial = _broadcast_hits(source, known, depth)
-    else:
-        partial = _blocked_hits(source, _query_rows(queries), depth)
+    def task(batches, block):
+        return tasks.best_hits(batches, block, depth)
+
+    partial = _per_block(_points(points, grouped), queries, task, tasks.HIT_SCHEMA)
     keys = ["query_id", "variant_order", "collection"]
     best = top_per_group(
         partial, [*keys, "identity"], [F.desc("score"), F.asc("point_id")], 1
@@ -81,84 +99,11 @@ def variant_hits(
     return top_per_group(best, keys, [F.desc("score"), F.asc("point_id")], depth, "hit_rank", SALTS)
 
 
-def _broadcast_hits(source: DataFrame, known, depth: int) -> DataFrame:
-    shared = source.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, matrix = shared.value
-        best = tasks.Best(depth)
-        for batch in batches:
-            if len(queries):
-                tasks.offer(best, queries, matrix, batch)
-        for frame in tasks.hits_of(best, queries):
-            yield pa.RecordBatch.from_pandas(frame, schema=tasks.HIT_ARROW, preserve_index=False)
-
-    return source.mapInArrow(run, tasks.HIT_SCHEMA)
-
-
-def _blocked_hits(source: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
-    """Beyond the broadcast bound: point shards meet query blocks of bounded size.
-
-    Points are repeated once per query block and queries once per point shard, so each group holds
-    one shard and one block, whatever the size of the tables.
-    """
-    width = queries.select(F.size("query_embedding")).first()[0]
-    n_blocks = max(1, -(-queries.count() * width // BLOCK_VALUES))
-    n_shards = max(1, -(-source.count() * width // BLOCK_VALUES))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = source.withColumns(
-        {"shard": F.pmod(F.xxhash64("point_id"), F.lit(n_shards)).cast("int")}
-    ).withColumn("block", spread(n_blocks))
-    right = queries.withColumns(
-        {"block": F.pmod(F.xxhash64("query_id", "variant_order"), F.lit(n_blocks)).cast("int")}
-    ).withColumn("shard", spread(n_shards))
-
-    def run(points: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        best = tasks.Best(depth)
-        block = block.sort_values(["query_id", "variant_order"], ignore_index=True)
-        if len(points) and len(block):
-            batch = pa.RecordBatch.from_pandas(
-                points[["point_id", "collection", "identity", "embedding"]], preserve_index=False
-            )
-            tasks.offer(best, block, np.vstack(block["query_embedding"].to_numpy()), batch)
-        frames = list(tasks.hits_of(best, block))
-        return pd.concat(frames) if frames else pd.DataFrame(columns=tasks.HIT_COLUMNS)
-
-    return (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
-        .applyInPandas(run, tasks.HIT_SCHEMA)
-    )
-
-
 def score_summary(points: DataFrame, queries: DataFrame) -> DataFrame:
     """Every query variant scored against every point, reduced in the task that scored it."""
-    known = query_matrix(queries)
-    if known is None:
-        raise ValueError("score_summary scores a query table within the broadcast bound")
-    shared = points.sparkSession.sparkContext.broadcast(known)
-    schema = (
-        "query_id bigint, variant_order int, collection string, n bigint, total double, "
-        "low double, high double"
+    partial = _per_block(
+        points.select("collection", "embedding"), queries, tasks.summaries, tasks.SUMMARY_SCHEMA
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        queries, matrix = shared.value
-        for batch in batches:
-            collection = batch.column("collection").to_pandas().to_numpy()
-            scores = tasks.matrix_of(batch.column("embedding")) @ matrix.T
-            for name in pd.unique(collection):
-                part = scores[collection == name]
-                frame = pd.DataFrame(
-                    {
-                        "query_id": queries.query_id, "variant_order": queries.variant_order,
-                        "collection": name, "n": len(part), "total": part.sum(axis=0),
-                        "low": part.min(axis=0), "high": part.max(axis=0),
-                    }
-                )
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
-
-    partial = points.select("collection", "embedding").mapInArrow(run, schema)
     return partial.groupBy("query_id", "variant_order", "collection").agg(
         F.sum("n").alias("n_points"),
         F.round(F.sum("total") / F.sum("n"), 6).alias("mean_score"),
@@ -167,6 +112,26 @@ def score_summary(points: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def unscorable(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """(point_id, collection, reason) of the points that no query vector can be compared with."""
+    # One row per collection and vector size.
+    sizes = _query_rows(queries).select(
+        F.col("collection").alias("for_collection"), F.size("query_embedding").alias("size")
+    ).distinct()
+    vector = F.col("embedding")
+    broken = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(vector.isNull(), "missing").when(broken, "not_finite")
+    known = points.select("point_id", "collection", F.size(vector).alias("n"), reason.alias("reason"))
+    fits = known.join(
+        sizes,
+        (known["n"] == sizes["size"]) & F.coalesce(sizes["for_collection"] == known["collection"], F.lit(True)),
+        "left_anti",
+    ).withColumn("reason", F.coalesce("reason", F.lit("size")))
+    return fits.unionByName(
+        known.filter("reason IS NOT NULL").join(fits.select("point_id", "collection"), ["point_id", "collection"], "left_anti")
+    ).select("point_id", "collection", "reason")
+
+
 def weighted(hits: DataFrame) -> DataFrame:
     return hits.withColumn("weighted_score", F.col("score") * F.col("weight"))
 

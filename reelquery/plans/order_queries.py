@@ -206,6 +206,36 @@ def vector_topk(t):
     )
 
 
+@query(
+    "model_size_topk",
+    """
+    SELECT query_id, variant_order, collection, point_id, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, variant_order, collection
+        ORDER BY score DESC, point_id) AS rank
+      FROM (SELECT q.query_id, q.variant_order, p.collection, p.point_id,
+          CASE WHEN p.collection = 'caption_text_vectors'
+            THEN round(list_dot_product(CAST(p.embedding[1:32] AS DOUBLE[]), q.query_embedding[1:32]), 6)
+            ELSE round(list_dot_product(CAST(p.embedding AS DOUBLE[]), q.query_embedding), 6) END AS score
+        FROM v_points p CROSS JOIN v_queries q)) WHERE rank <= 60""",
+)
+def model_size_topk(t):
+    """Captions have a model of half the size, and queries a vector for each channel."""
+    short = lambda column: F.slice(column, 1, 32)
+    captions = F.col("collection") == C.CAPTION_CHANNEL
+    points = t.v_points.withColumn(
+        "embedding", F.when(captions, short("embedding")).otherwise(F.col("embedding"))
+    )
+    queries = t.v_queries.withColumn(
+        "collection", F.explode(F.array(*map(F.lit, C.COLLECTIONS)))
+    ).withColumn(
+        "query_embedding", F.when(captions, short("query_embedding")).otherwise(F.col("query_embedding"))
+    )
+    hits = vector_search.variant_hits(points, queries, DEPTH, grouped=False)
+    return hits.select(
+        "query_id", "variant_order", "collection", "point_id", "score", F.col("hit_rank").alias("rank")
+    )
+
+
 @query(
     "source_limit",
     """

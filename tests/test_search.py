@@ -55,17 +55,44 @@ def brute(points, queries, depth, grouped):
 
 
 @pytest.mark.parametrize("grouped", [True, False])
-@pytest.mark.parametrize("bound", [None, 0])
-def test_hits_equal_brute_force(spark, vectors, grouped, bound, monkeypatch):
-    """With the query matrix broadcast, and (bound 0) joined in blocks."""
+@pytest.mark.parametrize("values", [2_000_000, 30])
+def test_hits_equal_brute_force(spark, vectors, grouped, values, monkeypatch):
+    """One block of queries or several, on a budget of held rows that is soon full."""
     points, queries, raw_points, raw_queries = vectors
-    monkeypatch.setattr(vector_search, "BLOCK_VALUES", 400)
-    found = vector_search.variant_hits(points, queries, 7, grouped, broadcast_values=bound)
+    monkeypatch.setattr(vector_search, "BLOCK_VALUES", values)
+    monkeypatch.setattr(vector_search.tasks, "HELD_ROWS", 100 if values == 30 else 1_000_000)
+    found = vector_search.variant_hits(points, queries, 7, grouped)
     got = {(r.query_id, r.variant_order, r.collection, r.point_id, r.score + 0.0)
            for r in found.collect()}
     assert got == brute(raw_points, raw_queries, 7, grouped)
 
 
+def test_summary_does_not_depend_on_blocks(spark, vectors, monkeypatch):
+    points, queries, _, _ = vectors
+    whole = sorted(map(tuple, vector_search.score_summary(points, queries).collect()))
+    monkeypatch.setattr(vector_search, "BLOCK_VALUES", 30)
+    assert sorted(map(tuple, vector_search.score_summary(points, queries).collect())) == whole
+    assert len(whole) == 30
+
+
+def test_each_channel_has_its_own_size_and_bad_vectors_are_told(spark):
+    nan = float("nan")
+    points = spark.createDataFrame(
+        [(1, "a", "s", [1.0, 0.0, 0.0]), (2, "a", "s", [0.0, 1.0, 0.0]), (3, "b", "s", [0.6, 0.8, 0.0, 0.0, 0.0]),
+         (4, "a", "s", None), (5, "a", "s", [1.0, nan, 0.0]), (6, "b", "s", [1.0, 0.0, 0.0]), (7, "a", "s", []),
+         (8, "a", "s", [None, 1.0, 0.0])],
+        "point_id long, collection string, scene_id string, embedding array<double>",
+    ).coalesce(1)
+    queries = spark.createDataFrame(
+        [(1, 0, 1.0, "a", [0.0, 1.0, 0.0]), (1, 0, 1.0, "b", [1.0, 0.0, 0.0, 0.0, 0.0]), (2, 0, 1.0, "a", None)],
+        "query_id long, variant_order int, weight double, collection string, query_embedding array<double>",
+    )
+    hits = vector_search.variant_hits(points, queries, 5, grouped=False).collect()
+    assert sorted((r.collection, r.point_id, r.score) for r in hits) == [("a", 1, 0.0), ("a", 2, 1.0), ("b", 3, 0.6)]
+    told = {r.point_id: r.reason for r in vector_search.unscorable(points, queries).collect()}
+    assert told == {4: "missing", 5: "not_finite", 6: "size", 7: "size", 8: "not_finite"}
+
+
 def test_earlier_variant_wins_ties_and_one_wins(spark):
     hits = spark.createDataFrame(
         [(1, 0, 1.0, "image_vectors", "p", 5, 0.4), (1, 1, 0.5, "image_vectors", "p", 5, 0.8)],
