@@ -3,20 +3,23 @@
 A plain window holds a whole group in one task. These helpers look at the largest group first:
 groups of a checked size use a window; beyond that the rows are range-partitioned on (keys, order)
 so one group spans many slices, each slice is scanned on its own and the per-slice totals are
-carried over. Both ways give the same rows.
+carried over. Fractions are summed as decimals of ``SUM_DECIMALS`` places, which is exact however
+the rows are sliced, so the plan never shows in the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelquery.session import checkpointed
 
 MAX_GROUP_ROWS = 1_000_000
+SUM_DECIMALS = 9
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -68,7 +71,7 @@ class OrderedScan:
     """What to compute along the order of each group.
 
     ``number``    name of the 1-based row number
-    ``sums``      output name -> column summed up to and including the row
+    ``sums``      output name -> column summed up to and including the row (exact, see above)
     ``maxima``    output name -> largest value up to and including the row
     ``previous``  output name -> value of the row before
     ``following`` output name -> value of the row after
@@ -86,7 +89,14 @@ class OrderedScan:
         """``large`` tells a size already checked; None checks it here."""
         if large is None:
             large = has_large_groups(df, self.keys)
-        return self._sliced(df) if large else self._windowed(df, list(self.keys))
+        sums = df.select([c.alias(name) for name, c in self.sums.items()]).schema
+        fractions = [f.name for f in sums if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        exact = T.DecimalType(38 - SUM_DECIMALS - 1, SUM_DECIMALS)
+        whole = replace(self, sums={
+            name: c.try_cast(exact) if name in fractions else c for name, c in self.sums.items()
+        })
+        done = whole._sliced(df) if large else whole._windowed(df, list(self.keys))
+        return done.withColumns({name: F.col(name).cast("double") for name in fractions})
 
     def _windowed(self, df: DataFrame, keys: list[str]) -> DataFrame:
         ordered = Window.partitionBy(*keys).orderBy(*self.order)

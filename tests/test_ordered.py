@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from reelquery.operators.ordered import OrderedScan, paged_lists, top_per_group
@@ -27,6 +29,20 @@ def test_sliced_scan_equals_window_scan(spark):
     assert plain == sliced
 
 
+@pytest.mark.parametrize("slices", ["2", "5", "16"])
+def test_sums_of_fractions_do_not_depend_on_slices(spark, slices):
+    df = spark.range(2000).selectExpr("'k' AS k", "id AS seq", "0.1D AS d", "CAST(id % 7 AS DOUBLE) / 10 AS e")
+    scan = OrderedScan(["k"], ["seq"], sums={"s": F.col("d"), "t": F.col("e")})
+    plain = scan.run(df, large=False).orderBy("seq").collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        assert scan.run(df, large=True).select(*df.columns, "s", "t").orderBy("seq").collect() == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.s for r in plain[:3]] == [0.1, 0.2, 0.3] and plain[-1].s == 200.0
+
+
 def test_large_groups_are_noticed(spark, monkeypatch):
     from reelquery.operators import ordered
 
