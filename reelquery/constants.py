@@ -61,6 +61,7 @@ CAPTION_VLM = ("Qwen/Qwen2.5-VL-7B-Instruct", "qwen2.5-vl-7b-instruct")
 POINT_NAMESPACE = "f3f4e35a-688d-4f79-99e0-91f9480a5827"
 IMAGE_PROMPT = "caption-v1"
 SCENE_PROMPT = "scene-caption-v2"
+SUPERSEDED_REASON = "superseded_by_scene_caption_v2"
 DEFAULT_PROFILE = "balanced"
 
 # --- Fixed values: search ----------------------------------------------------

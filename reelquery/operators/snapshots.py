@@ -23,14 +23,30 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(*keys, "_r.*")
 
 
+def one_change(changes: DataFrame, keys: list[str], first: bool = False) -> DataFrame:
+    """A change table with one row per key: the last (or first) by ``batch_order``.
+
+    Without that column, or for equal numbers, a hash of the row decides, so the choice is stable.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    number = [F.col("batch_order")] if "batch_order" in rest else []
+    order = F.struct(*number, F.xxhash64(*rest)) if rest else F.lit(0)
+    pick = F.min_by if first else F.max_by
+    row = F.struct(*(rest or [F.lit(True).alias("_only")]))
+    return changes.groupBy(*keys).agg(pick(row, order).alias("_r")).select(*keys, *[f"_r.{c}" for c in rest])
+
+
 # --- file snapshots ---------------------------------------------------------------------------
 
 
 def file_snapshot_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Outcome per listed file: created, skipped (same size and time) or updated.
 
-    Files missing from the listing are not reported; a scan never deletes.
+    Files missing from the listing are not reported; a scan never deletes. Of rows that repeat a path
+    the newest (previous) or last (current) counts.
     """
+    current = one_change(current, ["library_id", "path"])
+    previous = last_per_key(previous, ["library_id", "path"], ["mtime_ms", "file_id"])
     old = previous.select(
         "library_id", "path", F.col("file_id").alias("known_file_id"),
         F.col("size_bytes").alias("old_size"), F.col("mtime_ms").alias("old_mtime"),
@@ -160,23 +176,50 @@ def json_patch(base: Column, patch: Column) -> Column:
     return F.to_json(F.map_concat(kept, as_map(patch)))
 
 
+def _folded_metadata(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metadata_json): the metadata patches of each identity applied in order.
+
+    Values are handled as the JSON text they were written in. A group holds one entry per metadata key.
+    """
+    entries = incoming.select(
+        *keys, "batch_order", F.explode(F.from_json("metadata_json", "map<string,variant>")).alias("k", "v")
+    ).select(*keys, "batch_order", "k", F.to_json(F.create_map("k", "v")).alias("entry"))
+    last = entries.groupBy(*keys, "k").agg(F.max_by("entry", F.struct("batch_order", "entry")).alias("entry"))
+    inner = F.transform(
+        F.sort_array(F.collect_list("entry")), lambda e: F.substring(e, F.lit(2), F.length(e) - 2)
+    )
+    return last.groupBy(*keys).agg(
+        F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")).alias("metadata_json")
+    )
+
+
 def asset_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Assets after an upsert, with ``outcome`` created / updated / kept.
 
-    Identity is (file, type, path, start, end, frame). An incoming row without text keeps the
-    stored text, its metadata is patched in, and its scene replaces the old one. incoming has
-    ``batch_order``; of several rows with one identity the last wins.
+    Identity is (file, type, path, start, end, frame). Incoming rows of one identity count in
+    ``batch_order``, as if applied one after another: the first gives a new asset its id, a row
+    without text keeps the text there is, metadata patches accumulate, and scene and hash are those
+    of the last.
     """
     keys = ["file_id", "asset_type", "_path", "_start", "_end", "_frame"]
-    new = last_per_key(
-        incoming.withColumns(_asset_identity(incoming)), keys, ["batch_order"]
-    ).select(
-        *keys, F.lit(True).alias("_in"),
-        *[
-            F.col(c).alias(f"n_{c}")
-            for c in ["asset_id", *ASSET_IDENTITY, "scene_id", "content_hash", "text_content",
-                      "metadata_json"]
-        ],
+    named = incoming.withColumns(_asset_identity(incoming))
+    order = F.struct("batch_order", "asset_id")
+    last = F.struct(*ASSET_IDENTITY, "scene_id", "content_hash")
+    new = (
+        named.groupBy(*keys)
+        .agg(
+            F.min_by("asset_id", order).alias("n_asset_id"),
+            F.max_by("text_content", F.when(F.col("text_content").isNotNull(), order)).alias("n_text_content"),
+            F.max_by(last, order).alias("_last"),
+            # An empty patch still makes an object of it; no patch at all stays null.
+            F.max(F.when(F.col("metadata_json").isNotNull(), "{}")).alias("_some"),
+        )
+        .join(_folded_metadata(named, keys).withColumnRenamed("metadata_json", "_folded"), keys, "left")
+        .select(
+            *keys, F.lit(True).alias("_in"), "n_asset_id", "n_text_content",
+            F.coalesce("_folded", "_some").alias("n_metadata_json"),
+            *[F.col(f"_last.{c}").alias(f"n_{c}") for c in [*ASSET_IDENTITY, "scene_id", "content_hash"]],
+        )
     )
     old = existing.withColumns(_asset_identity(existing)).withColumn("_old", F.lit(True))
     joined = old.join(new, keys, "full_outer")
@@ -196,18 +239,18 @@ def asset_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def ref_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Outcome per incoming ref: new or stale → created (pending), else skipped."""
+    """Outcome per incoming ref: new or stale → created (pending), else skipped.
+
+    Of several incoming rows for one point the first by ``batch_order`` counts.
+    """
     old = existing.select("collection", "point_id", F.col("status").alias("old_status"))
-    return incoming.dropDuplicates(["collection", "point_id"]).join(
+    renewed = F.col("old_status").isNull() | (F.col("old_status") == "stale")
+    return one_change(incoming, ["collection", "point_id"], first=True).join(
         old, ["collection", "point_id"], "left"
     ).withColumns(
         {
-            "outcome": F.when(
-                F.col("old_status").isNull() | (F.col("old_status") == "stale"), "created"
-            ).otherwise("skipped"),
-            "status": F.when(
-                F.col("old_status").isNull() | (F.col("old_status") == "stale"), "pending"
-            ).otherwise(F.col("old_status")),
+            "outcome": F.when(renewed, "created").otherwise("skipped"),
+            "status": F.when(renewed, "pending").otherwise(F.col("old_status")),
         }
     )
 
@@ -230,8 +273,11 @@ def scene_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def library_status_update(libraries: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """New status per library; ``deleted_at`` is set only for deleted and cleared otherwise."""
-    new = changes.select("library_id", F.col("status").alias("new_status"))
+    """New status per library; ``deleted_at`` is set only for deleted and cleared otherwise.
+
+    Of several changes of one library the last by ``batch_order`` counts.
+    """
+    new = one_change(changes, ["library_id"]).select("library_id", F.col("status").alias("new_status"))
     changed = F.col("new_status").isNotNull()
     return libraries.join(new, "library_id", "left").withColumns(
         {
@@ -269,8 +315,11 @@ PROBE_SCHEMA = (
 
 
 def apply_probe_metadata(files: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probe results (file_id, probe_json) written onto their files, which become probed."""
-    parsed = probes.select("file_id", F.from_json("probe_json", PROBE_SCHEMA).alias("probe"))
+    """Probe results (file_id, probe_json) written onto their files, which become probed.
+
+    Of several probes of one file the last by ``batch_order`` counts.
+    """
+    parsed = one_change(probes, ["file_id"]).select("file_id", F.from_json("probe_json", PROBE_SCHEMA).alias("probe"))
     fields = parsed.select(
         "file_id", F.lit(True).alias("_hit"),
         *[c.alias(f"n_{name}") for name, c in probe_fields(F.col("probe")).items()],
@@ -402,6 +451,25 @@ def superseded_captions(files: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
+def mark_superseded(
+    superseded: DataFrame, assets: DataFrame, refs: DataFrame
+) -> dict[str, DataFrame]:
+    """Effects of superseded captions (asset_id): their refs become stale, and the metadata of their
+    assets says why."""
+    gone = superseded.select("asset_id").distinct().withColumn("_gone", F.lit(True))
+    hit = F.col("_gone").isNotNull()
+    reason = F.to_json(F.struct(
+        F.lit(True).alias("stale"), F.lit(C.SUPERSEDED_REASON).alias("stale_reason")
+    ))
+    patched = F.when(hit, json_patch(F.col("metadata_json"), reason)).otherwise(F.col("metadata_json"))
+    return {
+        "assets": assets.join(gone, "asset_id", "left").withColumn("metadata_json", patched).drop("_gone"),
+        "refs": refs.join(gone, "asset_id", "left").withColumn(
+            "status", F.when(hit, "stale").otherwise(F.col("status"))
+        ).drop("_gone"),
+    }
+
+
 # --- points ---------------------------------------------------------------------------------------
 
 
@@ -430,21 +498,38 @@ def vector_points(refs: DataFrame, assets: DataFrame, files: DataFrame, vectors:
     return joined.select("collection", "point_id", "vector", payload.alias("payload"))
 
 
-def apply_embeddings(refs: DataFrame, vectors: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+def apply_embeddings(
+    refs: DataFrame, vectors: DataFrame, files: DataFrame, tolerance: float = 1e-3
+) -> dict[str, DataFrame]:
     """Pending refs that got a good vector become indexed, and so do their live files.
 
-    vectors: asset_id, model_name, vector. A vector of the wrong size is a reject.
+    vectors: asset_id, model_name, vector, and where known collection and model_version, which then
+    belong to the key; of several for one key the last by ``batch_order`` counts. A vector of the
+    wrong size, of length zero or not of unit length is a reject, with its ``problem``. ``points`` are
+    the vectors to write (collection, point_id, vector).
     """
-    got = vectors.select("asset_id", "model_name", F.size("vector").alias("n_dim"))
-    joined = refs.join(got, ["asset_id", "model_name"], "left")
-    good = F.col("n_dim") == F.col("vector_dim")
-    usable = F.coalesce(good, F.lit(False)) & F.col("status").isin("pending", "indexed")
+    keys = ["asset_id", "model_name"] + [c for c in ("collection", "model_version") if c in vectors.columns]
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    got = one_change(vectors, keys).select(
+        *keys, "vector", F.size("vector").alias("n_dim"), length.alias("norm"), F.lit(True).alias("_got")
+    )
+    problem = (
+        F.when(F.col("_got").isNull(), F.lit(None))
+        .when(F.col("n_dim").isNull() | (F.col("n_dim") != F.col("vector_dim")), "dimension")
+        .when(F.coalesce(F.col("norm") == 0, F.lit(True)), "zero_norm")
+        .when(F.isnan("norm") | (F.abs(F.col("norm") - 1) > tolerance), "not_unit")
+    )
+    joined = refs.join(got, keys, "left").withColumn("problem", problem)
+    usable = (
+        F.col("_got").isNotNull() & F.col("problem").isNull() & F.col("status").isin("pending", "indexed")
+    )
+    added = ["vector", "n_dim", "norm", "_got", "problem"]
     new_refs = joined.withColumn(
         "status", F.when(usable, "indexed").otherwise(F.col("status"))
-    )
-    rejects = joined.filter(F.col("n_dim").isNotNull() & ~good)
+    ).drop(*added)
     return {
-        "refs": new_refs.drop("n_dim"),
-        "rejects": rejects,
+        "refs": new_refs,
+        "points": joined.filter(usable).select("collection", "point_id", "vector"),
+        "rejects": joined.filter("problem IS NOT NULL").drop("vector", "_got"),
         "files": indexed_backfill(files, new_refs),
     }

@@ -289,9 +289,7 @@ CAPTION_ASSETS = """
     FROM lineitem"""
 
 
-@query(
-    "superseded_captions",
-    f"""
+SUPERSEDED = f"""
     WITH a AS ({CAPTION_ASSETS})
     SELECT c.asset_id, c.file_id FROM a c
     WHERE c.asset_type = 'caption' AND c.prompt_version = 'caption-v1' AND NOT c.is_stale
@@ -302,9 +300,42 @@ CAPTION_ASSETS = """
           SELECT 1 FROM a s WHERE s.file_id = g.file_id AND s.asset_type = 'caption'
             AND s.prompt_version = 'scene-caption-v2' AND s.scene_id = g.scene_id
             AND NOT s.is_stale))
-      AND c.file_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""",
-)
+      AND c.file_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+@query("superseded_captions", SUPERSEDED)
 def superseded_captions(t):
+    return snapshots.superseded_captions(*caption_tables(t)).select("asset_id", "file_id")
+
+
+@query(
+    "superseded_effects",
+    f"""
+    WITH gone AS (SELECT DISTINCT asset_id FROM ({SUPERSEDED})),
+    lines AS (SELECT l_orderkey * 10 + l_linenumber AS asset_id, l_linestatus FROM lineitem)
+    SELECT 'asset' AS kind, asset_id, l_linestatus AS mode, CASE WHEN asset_id IN (SELECT asset_id
+      FROM gone) THEN 'superseded_by_scene_caption_v2' END AS outcome FROM lines
+    UNION ALL
+    SELECT 'ref', asset_id, NULL, CASE WHEN asset_id IN (SELECT asset_id FROM gone) THEN 'stale'
+      ELSE 'indexed' END FROM lines""",
+)
+def superseded_effects(t):
+    """Every line item's asset and ref after the superseded captions went stale."""
+    files, assets = caption_tables(t)
+    stored = assets.withColumn("metadata_json", F.to_json(F.struct("mode")))
+    refs = assets.select("asset_id", F.lit("indexed").alias("status"))
+    after = snapshots.mark_superseded(snapshots.superseded_captions(files, assets), stored, refs)
+    get = lambda k: F.get_json_object("metadata_json", f"$.{k}")
+    return after["assets"].select(
+        F.lit("asset").alias("kind"), "asset_id", get("mode").alias("mode"),
+        get("stale_reason").alias("outcome"),
+    ).unionByName(after["refs"].select(
+        F.lit("ref").alias("kind"), "asset_id", F.lit(None).cast("string").alias("mode"),
+        F.col("status").alias("outcome"),
+    ))
+
+
+def caption_tables(t):
     """Line items as segments and captions of their order's video."""
     flag = F.col("l_returnflag")
     assets = t.lineitem.select(
@@ -313,13 +344,13 @@ def superseded_captions(t):
         F.when(flag == "R", "video_segment").otherwise("caption").alias("asset_type"),
         F.col("l_linenumber").alias("scene_id"),
         F.when(flag == "N", "scene-caption-v2").otherwise("caption-v1").alias("prompt_version"),
-        (F.col("l_discount") > 0.08).alias("is_stale"),
+        (F.col("l_discount") > 0.08).alias("is_stale"), F.col("l_linestatus").alias("mode"),
     )
     files = t.orders.select(
         F.col("o_orderkey").alias("file_id"),
         F.when(F.col("o_orderstatus") == "P", "image").otherwise("video").alias("media_type"),
     )
-    return snapshots.superseded_captions(files, assets).select("asset_id", "file_id")
+    return files, assets
 
 
 @query(

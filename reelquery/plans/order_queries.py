@@ -300,15 +300,18 @@ def recent_failures(t):
     )
 
 
+CAPTION_CHARS = 120
+
+
 @query(
     "recent_captions",
-    """SELECT asset_id, file_id, left(text_content, 12) AS caption, metadata_json FROM v_assets
+    """SELECT asset_id, file_id, left(text_content, 120) AS caption, metadata_json FROM v_assets
       WHERE asset_type = 'caption' ORDER BY created_seq DESC LIMIT 20""",
 )
 def recent_captions(t):
     captions = t.v_assets.filter(F.col("asset_type") == "caption")
     return captions.orderBy(F.desc("created_seq")).limit(20).select(
-        "asset_id", "file_id", F.substring("text_content", 1, 12).alias("caption"), "metadata_json"
+        "asset_id", "file_id", F.substring("text_content", 1, CAPTION_CHARS).alias("caption"), "metadata_json"
     )
 
 

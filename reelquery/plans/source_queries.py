@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelquery import constants as C
 from reelquery.functions import media
 from reelquery.operators import snapshots
 from reelquery.plans.registry import query
@@ -12,13 +13,23 @@ from reelquery.session import shared_folder
 from reelquery.sources import files as listings
 from reelquery.sources import tables
 
-IMAGE = "'jpg','jpeg','png','webp','gif','heic','tif','tiff'"
-VIDEO = "'mp4','mov','m4v','mkv','avi','webm'"
-AUDIO = "'mp3','wav','m4a','flac','aac','ogg'"
-DOCUMENT = "'txt','md','pdf','srt','vtt'"
 
+def _listed(extensions: list[str]) -> str:
+    return ",".join(f"'{e}'" for e in extensions)
 
-@query("scan_files")
+
+IMAGE, VIDEO = _listed(C.IMAGE_EXTENSIONS), _listed(C.VIDEO_EXTENSIONS)
+AUDIO, DOCUMENT = _listed(C.AUDIO_EXTENSIONS), _listed(C.DOCUMENT_EXTENSIONS)
+
+
+#: The text writer puts every document on a line of its own, in a folder per language.
+LISTED = """
+    SELECT lang, 'document' AS media_type,
+      CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes
+    FROM documents GROUP BY lang"""
+
+
+@query("scan_files", LISTED)
 def scan_files(t) -> DataFrame:
     """Files written from the documents, then listed: one row per language folder."""
     root = f"{shared_folder(t.spark)}/listing"

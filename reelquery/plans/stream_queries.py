@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelquery.plans.join_queries import ATTEMPTS
 from reelquery.plans.registry import query
+from reelquery.plans.source_queries import LISTED
 from reelquery.session import shared_folder
 from reelquery.streaming import log_streams as streams
 
@@ -90,7 +91,7 @@ def stream_job_rollup(t):
     return done.select(F.unix_micros("window_start").alias("window_us"), "event_type", "cnt")
 
 
-@query("stream_file_discovery")
+@query("stream_file_discovery", LISTED)
 def stream_file_discovery(t):
     """Texts written as files, discovered as a stream: bytes per language folder."""
     base = shared_folder(t.spark)

@@ -156,30 +156,69 @@ def caption_inputs(t):
     )
 
 
+APPLIED = """SELECT *, collection = 'image_vectors' AND asset_id % 5 = 0 AS is_zero,
+        collection = 'image_vectors' AND asset_id % 5 = 1 AS is_long,
+        collection <> 'caption_text_vectors' AND NOT (collection = 'image_vectors'
+          AND asset_id % 5 <= 1) AS is_good FROM v_refs"""
+
+
 @query(
     "apply_embeddings",
-    """
-    SELECT r.ref_id, CASE WHEN r.collection <> 'caption_text_vectors' AND r.status IN ('pending',
-      'indexed') THEN 'indexed' ELSE r.status END AS status, r.file_id,
-      CASE WHEN NOT f.is_deleted AND r.file_id IN (SELECT file_id FROM v_refs WHERE status =
-        'indexed' OR (status = 'pending' AND collection <> 'caption_text_vectors'))
+    f"""
+    WITH r AS ({APPLIED})
+    SELECT r.ref_id, CASE WHEN is_good AND r.status IN ('pending', 'indexed') THEN 'indexed'
+        ELSE r.status END AS status, r.file_id,
+      CASE WHEN NOT f.is_deleted AND r.file_id IN (SELECT file_id FROM r WHERE status =
+        'indexed' OR (status = 'pending' AND is_good))
         THEN 'indexed' ELSE f.index_status END AS file_status
-    FROM v_refs r JOIN v_files f ON f.file_id = r.file_id""",
+    FROM r JOIN v_files f ON f.file_id = r.file_id""",
 )
 def apply_embeddings(t):
-    """A vector for every ref; those of captions come short by one value."""
-    vectors = t.v_refs.select("asset_id", "model_name").join(
+    after = embeddings_applied(t)
+    files = after["files"].select("file_id", F.col("index_status").alias("file_status"))
+    return after["refs"].select("ref_id", "status", "file_id").join(files, "file_id")
+
+
+@query(
+    "embedding_points",
+    f"""
+    SELECT r.collection, r.point_id, 'point' AS kind, round(list_sum(list_transform(p.embedding,
+        lambda x: CAST(x AS DOUBLE))), 4) AS total
+    FROM ({APPLIED}) r JOIN v_points p USING (point_id, collection)
+    WHERE is_good AND r.status IN ('pending', 'indexed')
+    UNION ALL
+    SELECT collection, point_id, CASE WHEN is_zero THEN 'zero_norm' WHEN is_long THEN 'not_unit'
+      ELSE 'dimension' END, NULL FROM ({APPLIED}) WHERE NOT is_good""",
+)
+def embedding_points(t):
+    """The points to write and the rejects with their problems."""
+    after = embeddings_applied(t)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    points = after["points"].select(
+        "collection", "point_id", F.lit("point").alias("kind"), F.round(total, 4).alias("total")
+    )
+    return points.unionByName(after["rejects"].select(
+        "collection", "point_id", F.col("problem").alias("kind"), F.lit(None).cast("double").alias("total")
+    ))
+
+
+def embeddings_applied(t):
+    """Two vectors for every ref, of which the later counts. Those of captions come short by one value,
+    some of images are zero or too long."""
+    vectors = t.v_refs.select("asset_id", "model_name", "model_version").join(
         t.v_points.select("asset_id", "collection", "embedding"), "asset_id"
     )
+    image, fifth = F.col("collection") == "image_vectors", F.col("asset_id") % 5
+    factor = F.when(image & (fifth == 0), 0.0).when(image & (fifth == 1), 2.0).otherwise(1.0)
+    scaled = F.transform("embedding", lambda x: x.cast("double") * factor)
     cut = F.when(
-        F.col("collection") == "caption_text_vectors",
-        F.slice("embedding", 1, F.size("embedding") - 1),
-    ).otherwise(F.col("embedding"))
-    after = snapshots.apply_embeddings(
-        t.v_refs, vectors.select("asset_id", "model_name", cut.alias("vector")), t.v_files
+        F.col("collection") == "caption_text_vectors", F.slice(scaled, 1, F.size("embedding") - 1)
+    ).otherwise(scaled)
+    later = vectors.select(
+        "asset_id", "collection", "model_name", "model_version", cut.alias("vector"), F.lit(2).alias("batch_order")
     )
-    files = after["files"].select("file_id", F.col("index_status").alias("file_status"))
-    return after["refs"].select("ref_id", "status", "file_id").join(files, "file_id")
+    earlier = later.withColumns({"vector": F.array(F.lit(1.0)), "batch_order": F.lit(1)})
+    return snapshots.apply_embeddings(t.v_refs, later.unionByName(earlier), t.v_files)
 
 
 @query(

@@ -54,61 +54,70 @@ def page_union_last_wins(t):
         ELSE concat('text ', asset_id) END AS new_text FROM v_assets
       WHERE asset_type <> 'video_frame'),
     ident AS (SELECT file_id, asset_type, coalesce(path, '') AS p, coalesce(start_s, -1) AS s,
-        coalesce(end_s, -1) AS e, coalesce(frame_time_s, -1) AS f,
-        arg_max(new_text, asset_id) AS new_text, max(asset_id) AS new_id FROM new GROUP BY ALL)
-    SELECT coalesce(o.asset_id, n.new_id) AS asset_id, coalesce(o.file_id, n.file_id) AS file_id,
+        coalesce(end_s, -1) AS e, coalesce(frame_time_s, -1) AS f, min(asset_id) AS first_id,
+        arg_max(new_text, asset_id) AS new_text, max(asset_id) AS last_id FROM new GROUP BY ALL)
+    SELECT coalesce(o.asset_id, n.first_id) AS asset_id, coalesce(o.file_id, n.file_id) AS file_id,
       coalesce(o.asset_type, n.asset_type) AS asset_type,
-      coalesce(CASE WHEN n.asset_type <> 'text_chunk' THEN concat('text ', n.new_id) END,
-        o.text_content) AS text_content,
-      CASE WHEN o.asset_id IS NULL THEN 'created' WHEN n.new_id IS NULL THEN 'kept'
+      coalesce(n.new_text, o.text_content) AS text_content,
+      CASE WHEN o.asset_id IS NULL THEN 'created' WHEN n.last_id IS NULL THEN 'kept'
         ELSE 'updated' END AS outcome,
       json_extract_string(o.metadata_json, '$.language') AS language,
-      CASE WHEN n.new_id IS NOT NULL THEN CAST(n.new_id AS VARCHAR) END AS job
+      CASE WHEN n.last_id IS NOT NULL THEN concat('again ', n.last_id) END AS job,
+      CASE WHEN n.last_id IS NOT NULL THEN CAST(n.last_id AS VARCHAR) END AS seen
     FROM old o FULL JOIN ident n ON o.file_id = n.file_id AND o.asset_type = n.asset_type
       AND coalesce(o.path, '') = n.p AND coalesce(o.start_s, -1) = n.s
       AND coalesce(o.end_s, -1) = n.e AND coalesce(o.frame_time_s, -1) = n.f""",
 )
 def asset_upsert(t):
-    """Captions are new, chunks come again without a text, frames do not come again."""
+    """Captions are new, chunks come again without a text, frames do not come again. Every row is
+    followed by one of the same identity with another id, no text and other metadata."""
     assets = t.v_assets
-    incoming = assets.filter(F.col("asset_type") != "video_frame").withColumns(
+    number = F.col("asset_id").cast("string")
+    rows = assets.filter(F.col("asset_type") != "video_frame").withColumn("content_hash", F.lit("new"))
+    first = rows.withColumns(
         {
-            "text_content": F.when(
-                F.col("asset_type") != "text_chunk",
-                F.concat(F.lit("text "), F.col("asset_id").cast("string")),
-            ),
-            "metadata_json": F.concat(
-                F.lit('{"job":"'), F.col("asset_id").cast("string"), F.lit('"}')
-            ),
-            "batch_order": F.col("asset_id"), "content_hash": F.lit("new"),
+            "text_content": F.when(F.col("asset_type") != "text_chunk", F.concat(F.lit("text "), number)),
+            "metadata_json": F.concat(F.lit('{"job":"'), number, F.lit('","seen":"'), number, F.lit('"}')),
+            "batch_order": F.col("asset_id") * 2,
+        }
+    )
+    second = rows.withColumns(
+        {
+            "text_content": F.lit(None).cast("string"),
+            "metadata_json": F.concat(F.lit('{"job":"again '), number, F.lit('"}')),
+            "batch_order": F.col("asset_id") * 2 + 1,
+            "asset_id": -F.col("asset_id") - 1,
         }
     )
     existing = assets.filter(F.col("asset_type") != "caption").withColumn(
         "content_hash", F.lit("old")
     )
-    merged = snapshots.asset_upsert(existing, incoming)
+    merged = snapshots.asset_upsert(existing, first.unionByName(second))
     get = lambda k: F.get_json_object("metadata_json", f"$.{k}").alias(k)
     return merged.select(
-        "asset_id", "file_id", "asset_type", "text_content", "outcome", get("language"), get("job")
+        "asset_id", "file_id", "asset_type", "text_content", "outcome", get("language"), get("job"),
+        get("seen"),
     )
 
 
 @query(
     "ref_upsert",
     """
-    SELECT p.collection, p.point_id, CASE WHEN r.status IS NULL OR r.status = 'stale'
-        THEN 'created' ELSE 'skipped' END AS outcome,
+    SELECT p.collection, p.point_id, 'first' AS content_hash,
+      CASE WHEN r.status IS NULL OR r.status = 'stale' THEN 'created' ELSE 'skipped' END AS outcome,
       CASE WHEN r.status IS NULL OR r.status = 'stale' THEN 'pending' ELSE r.status END AS status
     FROM v_points p LEFT JOIN (SELECT * FROM v_refs WHERE library_id <> 'src4') r
       ON r.collection = p.collection AND r.point_id = p.point_id""",
 )
 def ref_upsert(t):
-    """All points come in; the refs of one library are not stored yet."""
+    """All points come in twice with different hashes; the refs of one library are not stored yet."""
     existing = t.v_refs.filter(F.col("library_id") != "src4")
-    incoming = t.v_points.select("collection", "point_id")
-    both = incoming.unionByName(incoming)
+    batch = lambda n, mark: t.v_points.select(
+        "collection", "point_id", F.lit(mark).alias("content_hash"), F.lit(n).alias("batch_order")
+    )
+    both = batch(2, "second").unionByName(batch(1, "first"))
     return snapshots.ref_upsert(existing, both).select(
-        "collection", "point_id", "outcome", "status"
+        "collection", "point_id", "content_hash", "outcome", "status"
     )
 
 
@@ -221,15 +230,17 @@ def points_to_delete(t):
       CASE WHEN c.status IS NULL THEN l.is_deleted ELSE c.status = 'deleted' END AS has_deleted_at
     FROM v_libraries l LEFT JOIN (SELECT source AS library_id, CASE WHEN max(n_chars) > 15000
         THEN 'deleted' WHEN max(n_chars) > 8000 THEN 'disabled' ELSE 'active' END AS status
-      FROM documents WHERE lang = 'en' GROUP BY source) c USING (library_id)""",
+      FROM documents GROUP BY source) c USING (library_id)""",
 )
 def library_status_update(t):
+    """Every library is first deleted and then gets the status of its longest text."""
     longest = F.max("n_chars")
-    changes = t.documents.filter(F.col("lang") == "en").groupBy(
-        F.col("source").alias("library_id")
-    ).agg(
+    changes = t.documents.groupBy(F.col("source").alias("library_id")).agg(
         F.when(longest > 15000, "deleted").when(longest > 8000, "disabled").otherwise("active")
         .alias("status")
+    ).withColumn("batch_order", F.lit(2))
+    changes = changes.unionByName(
+        changes.withColumns({"status": F.lit("deleted"), "batch_order": F.lit(1)})
     )
     stamp = F.lit("2024-02-01 00:00:00").cast("timestamp")
     before = t.v_libraries.select(
@@ -255,7 +266,8 @@ def library_status_update(t):
     FROM (SELECT *, media_type IN ('video', 'audio') AS p, size_bytes AS n FROM v_files) f""",
 )
 def apply_probe_metadata(t):
-    """Probe output per video and audio file: streams in one order, container duration for some."""
+    """Probe output per video and audio file: streams in one order, container duration for some.
+    An earlier probe of each file found nothing."""
     n, media = F.col("size_bytes"), F.col("media_type")
     stream = lambda kind, codec, width, duration: F.struct(
         F.lit(kind).alias("codec_type"), F.lit(codec).alias("codec_name"),
@@ -269,7 +281,10 @@ def apply_probe_metadata(t):
         F.struct(F.when(n % 3 == 0, n / 10).cast("string").alias("duration")).alias("format"),
     )
     probes = t.v_files.filter(media.isin("video", "audio")).select(
-        "file_id", F.to_json(probe).alias("probe_json")
+        "file_id", F.to_json(probe).alias("probe_json"), F.lit(2).alias("batch_order")
+    )
+    probes = probes.unionByName(
+        probes.withColumns({"probe_json": F.lit('{"streams":[]}'), "batch_order": F.lit(1)})
     )
     return snapshots.apply_probe_metadata(t.v_files, probes).select(
         "file_id", "index_status", "duration_seconds", "width", "codec"

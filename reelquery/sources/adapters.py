@@ -89,7 +89,7 @@ SHARED: dict[str, str] = {
             END AS frame_time_s,
           CASE WHEN collection = 'caption_text_vectors'
             THEN concat('caption of scene ', CAST(scene_no AS STRING), ' label ',
-              CAST(label AS STRING)) END AS text_content,
+              CAST(label AS STRING), repeat(' seen again', 10 + label)) END AS text_content,
           CASE WHEN asset_id % 13 = 0 THEN '{"stale":true,"prompt_version":"caption-v1"}'
             WHEN asset_id % 5 = 0 THEN '{"prompt_version":"caption-v1"}'
             ELSE '{"stale":false,"prompt_version":"scene-caption-v2","source":"vlm"}'
