@@ -1,8 +1,9 @@
-"""Full-text match and cover-density rank over whole texts.
+"""Full-text match and cover-density rank over postings.
 
-A document is one row, so tokenising and testing terms stay inside the row. Candidates are found
-through each query's rarest term only, then checked against all its terms, so a frequent term never
-becomes a join key unless a query has nothing rarer.
+A search reads postings (term, document, positions), not texts. They come from a stored index, or are
+made for the wanted terms in one pass over the texts. Candidates are found through each query's rarest
+term only; the query's other terms are then looked up by (document, term), so a frequent term never becomes
+a join key by itself unless a query has nothing rarer.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from reelquery import constants as C
 from reelquery.operators.ordered import spread, top_per_group
 from reelquery.session import checkpointed
 
+SALTS = 16
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -29,16 +31,16 @@ def tokenize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Inverted index rows (term, document, positions, tf), built inside each document row."""
-    words = F.transform(
-        tokens(F.col(text)), lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos"))
-    )
+def postings(
+    docs: DataFrame, key: str, text: str = "text", wanted: DataFrame | None = None
+) -> DataFrame:
+    """Inverted index rows (term, document, positions, tf), of all terms or those in ``wanted`` (term)."""
+    words = tokenize(spread(docs.select(key, text)), key, text)
+    if wanted is not None:
+        words = words.join(wanted, "term", "left_semi")
     return (
-        spread(docs.select(key, text))
-        .select(key, F.explode(words).alias("w"))
-        .groupBy(key, F.col("w.term").alias("term"))
-        .agg(F.sort_array(F.collect_list(F.col("w.pos").cast("bigint"))).alias("positions"))
+        words.groupBy(key, "term")
+        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         .withColumn("tf", F.size("positions").cast("bigint"))
     )
 
@@ -50,58 +52,46 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
     )
 
 
-def document_frequencies(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """Documents per term, for the terms in ``wanted``; others are dropped before the exchange."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return terms.join(wanted, "term", "left_semi").groupBy("term").agg(
+def rarest_terms(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, n_terms, term): each query's rarest term; a term in no document drops the query."""
+    found = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df")
     )
-
-
-def rarest_terms(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """Each query with its rarest term; one missing from all documents drops the query."""
-    wanted = checkpointed(queries.select("query_id", "terms", F.explode("terms").alias("term")))
-    found = document_frequencies(docs, wanted.select("term").distinct(), text)
-    per_query = (
-        wanted.join(found, "term", "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
-        .groupBy("query_id")
-        .agg(
-            F.first("terms").alias("terms"),
-            F.min(F.struct("df", "term")).alias("rarest"),
-        )
+    per_query = wanted.join(found, "term", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_terms"),
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"),
     )
     return per_query.filter(F.col("rarest.df") > 0).select(
-        "query_id", "terms", F.col("rarest.term").alias("term")
+        "query_id", "n_terms", F.col("rarest.term").alias("term")
     )
 
 
 def match_all_terms(
-    docs: DataFrame, queries: DataFrame, key: str, text: str = "text"
+    docs: DataFrame | None, queries: DataFrame, key: str, text: str = "text",
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """(query, document, terms, words) where every query term occurs in the document."""
-    whole = docs.select(key, F.col(text).alias("text"))
-    # Stored, so their sizes are known: while they are small, no text is moved to meet them.
-    driven = checkpointed(rarest_terms(whole, queries).withColumnRenamed("term", "driver"))
-    pairs = checkpointed(
-        whole.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("driver"))
-        .join(driven, "driver")
-        .select(key, "query_id", "terms")
+    """(query, document, hits) where every query term occurs; ``hits`` are its terms with positions.
+
+    ``index`` is a stored ``postings`` table of the documents; without it the texts are read once, for
+    the terms of the queries.
+    """
+    wanted = checkpointed(queries.select("query_id", F.explode("terms").alias("term")))
+    if index is None:
+        index = checkpointed(postings(docs, key, text, wanted.select("term").distinct()))
+    driven = checkpointed(rarest_terms(index, wanted))
+    pairs = index.select(key, "term").join(driven, "term").select("query_id", key, "n_terms")
+    found = pairs.join(wanted, "query_id").join(index.select(key, "term", "positions"), [key, "term"])
+    # One entry per term of the query.
+    whole = found.groupBy("query_id", key, "n_terms").agg(
+        F.collect_list(F.struct("term", "positions")).alias("hits")
     )
-    checked = whole.join(pairs, key)
-    return checked.withColumn("words", tokens(F.col("text"))).filter(
-        F.size(F.array_except("terms", "words")) == 0
-    ).select("query_id", key, "terms", "words")
+    return whole.filter(F.size("hits") == F.col("n_terms")).select("query_id", key, "hits")
 
 
 def term_positions(matches: DataFrame, key: str) -> DataFrame:
     """Positions of query terms in each matched document."""
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos"))),
-        lambda h: F.array_contains(F.col("terms"), h["term"]),
-    )
-    return matches.select("query_id", key, F.explode(hits).alias("h")).select(
-        "query_id", key, "h.term", F.col("h.pos").cast("bigint").alias("pos")
+    return matches.select("query_id", key, F.explode("hits").alias("h")).select(
+        "query_id", key, "h.term", F.explode("h.positions").alias("pos")
     )
 
 
@@ -152,40 +142,48 @@ def cover_density(positions: DataFrame, key: str) -> DataFrame:
     )
 
 
-def text_rank(docs: DataFrame, queries: DataFrame, key: str, text: str = "text") -> DataFrame:
+def text_rank(
+    docs: DataFrame | None, queries: DataFrame, key: str, text: str = "text",
+    index: DataFrame | None = None,
+) -> DataFrame:
     """Cover-density rank of every document that has all terms of a query."""
-    matches = match_all_terms(docs, query_terms(queries), key, text)
+    matches = match_all_terms(docs, query_terms(queries), key, text, index)
     return cover_density(term_positions(matches, key), key)
 
 
 def text_search(
-    chunks: DataFrame, files: DataFrame, libraries: DataFrame, queries: DataFrame, depth: int
+    chunks: DataFrame, files: DataFrame, libraries: DataFrame, queries: DataFrame, depth: int,
+    index: DataFrame | None = None, filters: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``depth`` transcript chunks per query over active files and libraries.
 
-    chunks: asset_id, file_id, asset_type, start_s, end_s, scene_id, text_content.
+    chunks: asset_id, file_id, asset_type, start_s, end_s, scene_id, text_content; ``index``: stored
+    ``postings`` of them by asset_id, with which no text is read; ``filters``: query_id, library_ids,
+    media_types, of which a null admits everything. Filters act before the depth is cut.
     """
     live_files = files.filter(~F.col("is_deleted")).select(
         "file_id", "library_id", "media_type", "path"
     )
     live_libraries = libraries.filter(~F.col("is_deleted")).select("library_id")
+    columns = ["asset_id", "file_id", "scene_id", "start_s", "end_s"]
     texts = chunks.filter(F.col("asset_type") == "text_chunk").select(
-        "asset_id", "file_id", "scene_id", "start_s", "end_s", "text_content"
+        *columns, *(["text_content"] if index is None else [])
     )
     live = (
-        spread(texts)
-        .join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
+        texts.join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
         .join(live_libraries, "library_id", "left_semi")
     )
-    ranked = text_rank(live, queries, "asset_id", "text_content").withColumn(
+    ranked = text_rank(live, queries, "asset_id", "text_content", index).withColumn(
         "score", F.round("score", 6)
     )
-    facts = live.select(
-        "asset_id", "file_id", "media_type", "path", "scene_id", "start_s", "end_s"
-    )
+    facts = live.select(*columns, "library_id", "media_type", "path")
+    hits = ranked.join(facts, "asset_id")
+    if filters is not None:
+        hits = admitted(hits, filters)
     top = top_per_group(
-        ranked.join(facts, "asset_id"), ["query_id"],
+        hits.drop("library_id"), ["query_id"],
         [F.desc("score"), F.asc_nulls_last("start_s"), F.asc("asset_id")], depth, "channel_rank",
+        SALTS,
     )
     # The depth counts every chunk; only speech of audio and video gives a reason afterwards.
     return top.filter(F.col("media_type").isin("audio", "video")).withColumn(
@@ -193,6 +191,18 @@ def text_search(
     )
 
 
+def admitted(hits: DataFrame, filters: DataFrame) -> DataFrame:
+    """Hits (query_id, library_id, media_type) that their query's filter row admits.
+
+    A query without a filter row, or with a null list, admits everything.
+    """
+    lists = filters.select("query_id", "library_ids", "media_types")
+    allows = lambda names, c: F.coalesce(F.array_contains(names, F.col(c)), F.col(names).isNull())
+    return hits.join(lists, "query_id", "left").filter(
+        allows("library_ids", "library_id") & allows("media_types", "media_type")
+    ).drop("library_ids", "media_types")
+
+
 def fts_debug(assets: DataFrame, key: str, text: str) -> DataFrame:
     """Preview of a text and its sorted distinct tokens."""
     return assets.select(

@@ -149,6 +149,34 @@ def test_single_term_rank_is_weight_times_frequency(spark):
     assert row.score == pytest.approx(0.3) and row.n_covers == 3
 
 
+def test_search_over_a_stored_index_reads_no_text(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(i, i % 3, "text_chunk", "s", float(i), i + 1.0, f"red {'blue' if i % 2 else 'green'} apple {i}") for i in range(30)],
+        "asset_id long, file_id long, asset_type string, scene_id string, start_s double, end_s double, text_content string",
+    )
+    docs.write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    text_search.postings(chunks, "asset_id", "text_content").write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    files = spark.createDataFrame(
+        [(0, "l0", "video", "p", False), (1, "l1", "audio", "p", False), (2, "l2", "video", "p", True)],
+        "file_id long, library_id string, media_type string, path string, is_deleted boolean",
+    )
+    libraries = spark.createDataFrame([("l0", False), ("l1", False)], "library_id string, is_deleted boolean")
+    queries = spark.createDataFrame([(1, "red blue"), (2, "apple"), (3, "none")], "query_id long, query_text string")
+    args = (chunks, files, libraries, queries, 4)
+    stored = text_search.text_search(*args, index=index)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "text_content" not in plan
+    found = sorted((r.query_id, r.channel_rank, r.asset_id) for r in stored.collect())
+    assert found == sorted((r.query_id, r.channel_rank, r.asset_id) for r in text_search.text_search(*args).collect())
+    assert [a for q, _, a in found if q == 1] == [1, 3, 7, 9]
+    filters = spark.createDataFrame([(1, ["l1"], None), (2, None, ["audio"])], "query_id long, library_ids array<string>, media_types array<string>")
+    some = text_search.text_search(*args, index=index, filters=filters)
+    got = sorted((r.query_id, r.channel_rank, r.asset_id) for r in some.collect())
+    assert [a for q, _, a in got if q == 1] == [1, 7, 13, 19] and [a for q, _, a in got if q == 2] == [1, 4, 7, 10]
+
+
 def test_search_plan_has_no_cross_join(spark, folder):
     from reelquery.plans import join_queries
     from reelquery.sources.adapters import Tables
