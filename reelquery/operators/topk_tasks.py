@@ -45,7 +45,7 @@ def block_of(frame: pd.DataFrame) -> list[tuple[str | None, int, pd.DataFrame, n
     parts = []
     for channel, size in sorted({*zip(channels, sizes, strict=True)}, key=str):
         at = np.flatnonzero((sizes == size) & ((channels == channel) if channel is not None else channels.isna()))
-        keys = frame.iloc[at][["query_id", "variant_order", "weight"]].reset_index(drop=True)
+        keys = frame.iloc[at][["query_id", "variant_order", "weight", "scopes"]].reset_index(drop=True)
         matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in frame["query_embedding"].iloc[at]])
         parts.append((channel, size, keys, matrix))
     return parts
@@ -88,6 +88,15 @@ def best_per_identity(rows: pa.RecordBatch, scores: np.ndarray):
     return identity[order][starts], ids[order][np.minimum.reduceat(place, starts, axis=0)], top
 
 
+def in_scope(rows: pa.RecordBatch, keys: pd.DataFrame, scores: np.ndarray) -> np.ndarray:
+    """Scores with those outside a query's scopes (null: everything) at minus infinity."""
+    scope = rows.column("scope").to_pandas()
+    for query, scopes in enumerate(keys["scopes"]):
+        if scopes is not None:
+            scores[~scope.isin(list(scopes)).to_numpy(), query] = -np.inf
+    return scores
+
+
 class Best:
     """The best K identities per (query variant, collection) seen by one task."""
 
@@ -102,7 +111,7 @@ class Best:
         floor = self.floor.setdefault((part, name), np.full(scores.shape[1], -np.inf))
         if len(scores) > self.depth:
             np.maximum(floor, np.partition(scores, -self.depth, axis=0)[-self.depth], out=floor)
-        query, row = np.nonzero((scores >= floor).T)
+        query, row = np.nonzero(((scores >= floor) & (scores > -np.inf)).T)
         self.frames.append(
             pd.DataFrame(
                 {"part": part, "query": query, "collection": name, "identity": identity[row],
@@ -114,7 +123,7 @@ class Best:
     def trim(self) -> pd.DataFrame:
         """Keep K identities per query variant and collection."""
         keys = ["part", "query", "collection"]
-        frame = pd.concat(self.frames, ignore_index=True)
+        frame = pd.concat([f for f in self.frames if len(f)] or self.frames[:1], ignore_index=True)
         frame = frame.sort_values([*keys, "score", "point_id"], ascending=[True, True, True, False, True])
         frame = frame.drop_duplicates([*keys, "identity"])
         frame = frame[frame.groupby(keys, sort=False).cumcount() < self.depth]
@@ -129,7 +138,7 @@ class Best:
         frame = self.trim()
         self.frames, self.rows = [], 0
         keys = pd.concat(
-            [k.assign(part=i, query=np.arange(len(k))) for i, (_, _, k, _) in enumerate(self.block)]
+            [k.drop(columns="scopes").assign(part=i, query=np.arange(len(k))) for i, (_, _, k, _) in enumerate(self.block)]
         )
         out = frame.merge(keys, on=["part", "query"])[HIT_ARROW.names]
         return pa.RecordBatch.from_pandas(out, schema=HIT_ARROW, preserve_index=False)
@@ -139,7 +148,8 @@ def best_hits(batches: Iterator[pa.RecordBatch], block, depth: int) -> Iterator[
     best = Best(block, depth)
     for batch in batches:
         for part, name, rows, scores in scored(batch, block):
-            best.add(part, name, *best_per_identity(rows, np.round(scores, SCORE_DECIMALS)))
+            scores = in_scope(rows, block[part][2], np.round(scores, SCORE_DECIMALS))
+            best.add(part, name, *best_per_identity(rows, scores))
             if best.rows > HELD_ROWS:
                 best.trim()
             if best.rows > HELD_ROWS // 2:

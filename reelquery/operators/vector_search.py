@@ -38,16 +38,20 @@ def _points(points: DataFrame, grouped: bool) -> DataFrame:
         is_grouped = F.col("collection") == C.GROUPED_CHANNEL
         points = points.filter(~is_grouped | F.col("scene_id").isNotNull())
         identity = F.when(is_grouped, F.col("scene_id")).otherwise(identity)
-    return points.select("point_id", "collection", identity.alias("identity"), "embedding")
+    scope = F.col("library_id") if "library_id" in points.columns else F.lit(None).cast("string")
+    return points.select(
+        "point_id", "collection", identity.alias("identity"), scope.alias("scope"), "embedding"
+    )
 
 
 def _query_rows(queries: DataFrame) -> DataFrame:
     """Query rows with a usable vector; ``collection`` is null for a row that asks them all."""
     channel = F.col("collection") if "collection" in queries.columns else F.lit(None).cast("string")
+    scopes = F.col("library_ids") if "library_ids" in queries.columns else F.lit(None).cast("array<string>")
     return queries.select(
         "query_id", F.col("variant_order").cast("int").alias("variant_order"),
         F.col("weight").cast("double").alias("weight"), channel.alias("collection"),
-        V.as_double(F.col("query_embedding")).alias("query_embedding"),
+        scopes.alias("scopes"), V.as_double(F.col("query_embedding")).alias("query_embedding"),
     ).filter(F.size("query_embedding") > 0)
 
 
@@ -85,7 +89,8 @@ def variant_hits(
     """Best ``depth`` identities per (query, variant, collection), exact.
 
     points: point_id, collection, scene_id, embedding; queries: query_id, variant_order, weight,
-    query_embedding and, if channels have models of their own, collection. Score is the raw cosine of
+    query_embedding and, if channels have models of their own, collection. With library_id on the points
+    and library_ids on the queries (null: all), only those libraries are searched. Score is the raw cosine of
     unit vectors, rounded (see ``topk_tasks``). Points no query can score are in ``unscorable``.
     """
     def task(batches, block):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from reelquery import constants as C
 from reelquery.functions import scoring as S
 from reelquery.operators import hybrid, ranking, vector_search
 from reelquery.plans import search
@@ -13,6 +16,7 @@ from reelquery.plans.join_queries import (
 from reelquery.plans.order_queries import FUSED
 from reelquery.plans.registry import query
 from reelquery.plans.report_queries import DISCOVERY, TARGET, discovery, ranked, targets
+from reelquery.sources.adapters import changed_views
 
 PER_FILE = """
     SELECT query_id, file_id, source, max(score) AS score FROM v_candidates GROUP BY ALL"""
@@ -234,6 +238,72 @@ def hybrid_search_rrf(t):
     return results.select("query_id", "rank", "candidate_key", "score", "primary_signal")
 
 
+def _requested(query_id: str) -> dict[str, str]:
+    """A request as functions of its number: libraries, media types, channels, page and depth."""
+    page, start = f"(5 + {query_id} % 3 * 10)", f"({query_id} % 2 * 3)"
+    return {
+        "library": f"({query_id} % 3 = 0 OR CAST(substr(library_id, 4) AS INT) % 3 <> {query_id} % 3)",
+        "media": f"({query_id} % 2 = 0 OR media_type IN ('video', 'audio'))",
+        "vectors": f"({query_id} % 4 <> 3 OR collection = 'caption_text_vectors')",
+        "speaks": f"{query_id} % 5 <> 4", "page": page, "start": start,
+        "depth": f"least(300, greatest(30, 3 * ({page} + {start})))",
+    }
+
+
+_OF_QUERY, _OF_TEXT = _requested("query_id"), _requested("CAST((s.query_id - 2) / 3 AS BIGINT)")
+changed_views("_asked", {
+    "v_scored": [
+        ("p.scene_id,", "p.scene_id, r.library_id,"),
+        ("FROM v_points p CROSS JOIN v_queries q",
+         "FROM v_points p JOIN v_refs r USING (collection, point_id) CROSS JOIN v_queries q"),
+    ],
+    "v_hits": [
+        ("identity IS NOT NULL", f"identity IS NOT NULL AND {_OF_QUERY['library']} AND {_OF_QUERY['vectors']}"),
+        ("hit_rank <= 60", "hit_rank <= 300"), ("SELECT * FROM", "SELECT * EXCLUDE library_id FROM"),
+    ],
+    "v_channel": [("channel_rank <= 60", f"channel_rank <= {_OF_QUERY['depth']}")],
+    "v_hydrated": [("NOT file_deleted", f"{_OF_QUERY['media']} AND NOT file_deleted")],
+    "v_text_hits": [
+        ("WHERE NOT f.is_deleted", "WHERE " + " AND ".join(_OF_TEXT[k] for k in ("library", "media", "speaks")).replace(
+            "library_id", "f.library_id") + " AND s.query_id % 3 = 2 AND NOT f.is_deleted"),
+        ("channel_rank <= 60", f"channel_rank <= {_requested('CAST((query_id - 2) / 3 AS BIGINT)')['depth']}"),
+    ],
+})
+
+
+@query(
+    "requested_search",
+    f"""
+    SELECT query_id, position, file_id, asset_id, scene_id, start_s, end_s, score, primary_reason,
+      merged_asset_ids
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id,
+      start_s NULLS LAST, asset_id) AS position FROM v_results_scored_asked)
+    WHERE position > {_OF_QUERY['start']} AND position <= {_OF_QUERY['start']} + {_OF_QUERY['page']}""",
+)
+def requested_search(t):
+    """Every query with libraries, media types, channels and a page of its own."""
+    q = F.col("query_id")
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda n: n % 3 != q % 3)
+    of_third = F.transform(numbers, lambda n: F.concat(F.lit("src"), n.cast("string")))
+    some = F.array_compact(F.array(
+        *[F.when((q % 4 != 3) | F.lit(name == C.CAPTION_CHANNEL), F.lit(name)) for name in C.COLLECTIONS],
+        F.when(q % 5 != 4, F.lit(C.TEXT_CHANNEL)),
+    ))
+    requests = t.v_queries.select("query_id").distinct().select(
+        "query_id", F.when(q % 3 != 0, of_third).alias("library_ids"),
+        F.when(q % 2 != 0, F.array(F.lit("video"), F.lit("audio"))).alias("media_types"),
+        F.when((q % 4 == 3) | (q % 5 == 4), some).alias("channels"),
+        (5 + q % 3 * 10).alias("page_limit"), (q % 2 * 3).alias("page_offset"),
+    )
+    points = t.v_points.join(t.v_refs.select("collection", "point_id", "library_id"), ["collection", "point_id"])
+    known = replace(catalogue(t), points=points)
+    results = search.requested_search(known, t.v_queries, search_texts(t), requests)
+    return results.select(
+        "query_id", "position", "file_id", "asset_id", "scene_id", "start_s", "end_s", "score",
+        "primary_reason", F.array_join("merged_asset_ids", ",").alias("merged_asset_ids"),
+    )
+
+
 VARIANTS = """
     SELECT conv_id AS query_id, turn AS variant_order,
       CASE WHEN turn % 4 = 3 THEN '  ' ELSE concat(' ', role, ' ', turn % 3) END AS variant_text,

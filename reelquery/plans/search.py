@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
+from reelquery.functions import scoring
 from reelquery.operators import hybrid, hydration, ranking, text_search, vector_search
 from reelquery.session import checkpointed
 
@@ -23,6 +24,8 @@ class Catalogue:
     libraries: DataFrame
     scenes: DataFrame
     chunks: DataFrame
+    #: Stored postings of the chunks, if there are any.
+    index: DataFrame | None = None
 
 
 def depth_for(limit: int, offset: int = 0) -> int:
@@ -49,17 +52,24 @@ def channel_hits(
     )
 
 
-def hydrated_hits(catalogue: Catalogue, hits: DataFrame) -> DataFrame:
+def hydrated_hits(
+    catalogue: Catalogue, hits: DataFrame, requests: DataFrame | None = None
+) -> DataFrame:
     facts = hydration.joined_facts(
         hits, catalogue.refs, catalogue.assets, catalogue.files, catalogue.libraries,
         catalogue.scenes,
     )
+    if requests is not None:
+        facts = text_search.admitted(facts, requests)
     return hydration.source_rank(hydration.hydrate(facts))
 
 
-def text_hits(catalogue: Catalogue, text_queries: DataFrame, depth: int) -> DataFrame:
+def text_hits(
+    catalogue: Catalogue, text_queries: DataFrame, depth: int, requests: DataFrame | None = None
+) -> DataFrame:
     return text_search.text_search(
-        catalogue.chunks, catalogue.files, catalogue.libraries, text_queries, depth
+        catalogue.chunks, catalogue.files, catalogue.libraries, text_queries, depth,
+        catalogue.index, requests,
     )
 
 
@@ -105,6 +115,55 @@ def hybrid_search(
     return hybrid.page(hybrid.hybrid_results(found), limit=limit, offset=offset)
 
 
+def routed(queries: DataFrame, requests: DataFrame) -> DataFrame:
+    """Query rows for the channels their request asks for, with its libraries.
+
+    Rows that name a collection are kept if it is asked for; others are repeated for every asked one.
+    """
+    own = requests.select("query_id", "library_ids", "channels")
+    asked = F.coalesce("channels", F.array(*map(F.lit, C.COLLECTIONS)))
+    known = queries.join(own, "query_id").withColumn(
+        "_asked", F.array_intersect(asked, F.array(*map(F.lit, C.COLLECTIONS)))
+    )
+    if "collection" in queries.columns:
+        known = known.filter(F.col("collection").isNull() | F.array_contains("_asked", F.col("collection")))
+        known = known.withColumn("collection", F.explode(
+            F.when(F.col("collection").isNull(), F.col("_asked")).otherwise(F.array("collection"))
+        ))
+    else:
+        known = known.withColumn("collection", F.explode("_asked"))
+    return known.drop("_asked", "channels")
+
+
+def requested_search(
+    catalogue: Catalogue, queries: DataFrame, text_queries: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """Ranked page per request, each with its own filters, channels and page.
+
+    requests: query_id, library_ids, media_types, channels (null: all), page_limit, page_offset.
+    Libraries are filtered before the depth is cut (points carry ``library_id``), media types when facts
+    are joined. Channels are cut at each request's own depth.
+    """
+    limits = requests.select(
+        "query_id", scoring.source_limit(F.col("page_limit"), F.col("page_offset")).alias("own_depth")
+    )
+    depth = limits.agg(F.max("own_depth")).first()[0] or C.MIN_SOURCE_LIMIT
+    cut = lambda hits: hits.join(limits, "query_id").filter(
+        F.col("channel_rank") <= F.col("own_depth")
+    ).drop("own_depth")
+    hits = cut(channel_hits(catalogue, routed(queries, requests), depth))
+    speaks = requests.filter(
+        F.col("channels").isNull() | F.array_contains("channels", C.TEXT_CHANNEL)
+    )
+    texts = text_queries.join(speaks.select("query_id"), "query_id", "left_semi")
+    everywhere = requests.withColumn("library_ids", F.lit(None).cast("array<string>"))
+    rows = channel_union(
+        hydrated_hits(catalogue, hits, everywhere), cut(text_hits(catalogue, texts, depth, requests))
+    )
+    found = checkpointed(hybrid.as_candidates(rows))
+    return hybrid.page(hybrid.hybrid_results(found), requests)
+
+
 def channel_ranks(rows: DataFrame) -> DataFrame:
     """Rank of each result key per fusion signal: images by asset, videos by scene, and a
     transcript without a scene by its asset."""

@@ -441,6 +441,22 @@ VIEWS = {**SHARED, **ORACLE_ONLY}
 _NAMES = re.compile(r"\bv_\w+\b")
 
 
+def changed_views(suffix: str, changes: dict[str, list[tuple[str, str]]]) -> None:
+    """Add a second form, named with ``suffix``, of the changed views and of all that build on them."""
+    moved = set(changes)
+    while more := {n for n, sql in VIEWS.items() if n not in moved and moved & set(_NAMES.findall(sql))}:
+        moved |= more
+    added = {}
+    for name in moved:
+        sql = VIEWS[name]
+        for old, new in changes.get(name, []):
+            if old not in sql:
+                raise ValueError(f"{name} has no {old!r}")
+            sql = sql.replace(old, new)
+        added[name + suffix] = _NAMES.sub(lambda m: m[0] + suffix if m[0] in moved else m[0], sql)
+    VIEWS.update(added)
+
+
 def with_views(sql: str) -> str:
     """``sql`` with the definitions of every view it reaches put in front, dependencies first."""
     order: list[str] = []

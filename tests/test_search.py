@@ -93,6 +93,20 @@ def test_each_channel_has_its_own_size_and_bad_vectors_are_told(spark):
     assert told == {4: "missing", 5: "not_finite", 6: "size", 7: "size", 8: "not_finite"}
 
 
+def test_only_the_libraries_asked_for_are_searched(spark):
+    points = spark.createDataFrame(
+        [(i, "a", "s", f"l{i % 3}", [1.0, float(i)]) for i in range(30)],
+        "point_id long, collection string, scene_id string, library_id string, embedding array<double>",
+    )
+    queries = spark.createDataFrame(
+        [(1, 0, 1.0, [0.0, 1.0], ["l1"]), (2, 0, 1.0, [0.0, 1.0], None), (3, 0, 1.0, [0.0, 1.0], [])],
+        "query_id long, variant_order int, weight double, query_embedding array<double>, library_ids array<string>",
+    )
+    hits = vector_search.variant_hits(points, queries, 3, grouped=False).collect()
+    found = sorted((r.query_id, r.hit_rank, r.point_id) for r in hits)
+    assert found == [(1, 1, 28), (1, 2, 25), (1, 3, 22), (2, 1, 29), (2, 2, 28), (2, 3, 27)]
+
+
 def test_earlier_variant_wins_ties_and_one_wins(spark):
     hits = spark.createDataFrame(
         [(1, 0, 1.0, "image_vectors", "p", 5, 0.4), (1, 1, 0.5, "image_vectors", "p", 5, 0.8)],
