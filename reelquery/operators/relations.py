@@ -142,36 +142,36 @@ PATH_KEYS = ["path", "frame_path", "root_path", "export_path"]
 def job_file_paths(jobs: DataFrame, files: DataFrame, assets: DataFrame) -> DataFrame:
     """Distinct paths per job: literal path keys, then the file's path, then its assets' files'.
 
-    Both lookups join on keys exploded from the payloads; the lists put together hold one job's own
-    paths.
+    Every payload is parsed once, into rows (stage, place, key); those that name a file or an asset meet
+    one table of paths. The lists put together hold one job's own paths.
     """
     fields = ", ".join(f"{k} STRING" for k in [*PATH_KEYS, "file_id", "asset_id"])
     parsed = F.from_json("input_json", f"{fields}, asset_ids ARRAY<STRING>")
     some = lambda c: F.when(c != "", c)
-    keyed = jobs.select("job_id", parsed.alias("p")).select(
-        "job_id",
-        F.array_compact(F.array(*[some(F.col(f"p.{k}")) for k in PATH_KEYS])).alias("literal"),
-        some(F.col("p.file_id")).alias("in_file"),
-        F.concat(
+    staged = lambda stage, keys: F.transform(
+        keys, lambda k, at: F.struct(F.lit(stage).alias("stage"), at.alias("at"), k.alias("key"))
+    )
+    entries = F.concat(
+        staged(0, F.array_compact(F.array(*[some(F.col(f"p.{k}")) for k in PATH_KEYS]))),
+        staged(1, F.array_compact(F.array(some(F.col("p.file_id"))))),
+        staged(2, F.concat(
             F.array_compact(F.array(some(F.col("p.asset_id")))),
             F.coalesce(F.col("p.asset_ids"), F.array().cast("array<string>")),
-        ).alias("in_assets"),
+        )),
+    )
+    keyed = jobs.select("job_id", parsed.alias("p")).select("job_id", F.explode(entries).alias("e"))
+    of_file = files.select(
+        F.lit(1).alias("stage"), F.col("file_id").cast("string").alias("key"), F.col("path").alias("found")
+    )
+    of_asset = assets.select("asset_id", "file_id").join(files.select("file_id", "path"), "file_id").select(
+        F.lit(2).alias("stage"), F.col("asset_id").cast("string").alias("key"), F.col("path").alias("found")
+    )
+    long = (
+        keyed.select("job_id", "e.*")
+        .join(of_file.unionByName(of_asset), ["stage", "key"], "left")
+        .withColumn("path", F.when(F.col("stage") == 0, F.col("key")).otherwise(F.col("found")))
+        .filter(F.col("path").isNotNull())
     )
-    file_path = files.select(F.col("file_id").cast("string").alias("fk"), "path")
-    asset_path = assets.join(files.select("file_id", F.col("path").alias("of_file")), "file_id")
-    asset_path = asset_path.select(F.col("asset_id").cast("string").alias("ak"), "of_file")
-    rows = [
-        keyed.select("job_id", F.posexplode("literal").alias("at", "path")).withColumn(
-            "stage", F.lit(0)
-        ),
-        keyed.filter(F.col("in_file").isNotNull())
-        .join(file_path, F.col("in_file") == F.col("fk"))
-        .select("job_id", F.lit(0).alias("at"), "path", F.lit(1).alias("stage")),
-        keyed.select("job_id", F.posexplode("in_assets").alias("at", "ak"))
-        .join(asset_path, "ak")
-        .select("job_id", "at", F.col("of_file").alias("path"), F.lit(2).alias("stage")),
-    ]
-    long = rows[0].unionByName(rows[1]).unionByName(rows[2])
     first = long.groupBy("job_id", "path").agg(F.min(F.struct("stage", "at")).alias("o"))
     paths = first.groupBy("job_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("o", "path"))), lambda x: x["path"]).alias(
