@@ -36,11 +36,21 @@ def _payload_rules() -> dict[str, dict[str, Column]]:
     """Rules per job type over the payload column ``input_json``."""
     payload = F.col("input_json")
     get = lambda k: F.get_json_object(payload, f"$.{k}")
-    number = lambda k: F.expr(f"try_cast(get_json_object(input_json, '$.{k}') AS DOUBLE)")
-    text = lambda k: F.coalesce(get(k), F.lit("")) == ""
+    # The JSON type of a key as a variant sees it; null if absent, VOID for a JSON null.
+    kind = lambda k: F.expr(
+        f"schema_of_variant(try_variant_get(try_parse_json(input_json), '$.{k}', 'variant'))"
+    )
+    number = lambda k: F.when(
+        kind(k).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+        F.expr(f"try_cast(get_json_object(input_json, '$.{k}') AS DOUBLE)"),
+    )
+    text = lambda k: (F.coalesce(kind(k), F.lit("")) != "STRING") | (get(k) == "")
     uuid = lambda k: ~F.coalesce(get(k), F.lit("")).rlike(UUID_PATTERN)
+    uuids = lambda k: (F.coalesce(kind(k), F.lit("")) != "ARRAY<STRING>") | ~F.coalesce(
+        F.forall(F.from_json(get(k), "array<string>"), lambda x: x.rlike(UUID_PATTERN)), F.lit(False)
+    )
     one_of = lambda k, xs: ~F.coalesce(get(k), F.lit("")).isin(xs)
-    optional = lambda k, rule: get(k).isNotNull() & rule
+    optional = lambda k, rule: kind(k).isNotNull() & rule
     below = lambda k, low: F.coalesce(number(k) < low, F.lit(True))
     model = {"model_name": text("model_name"), "model_version": text("model_version")}
     embed = {"asset_id": uuid("asset_id"), **model}
@@ -80,6 +90,7 @@ def _payload_rules() -> dict[str, dict[str, Column]]:
                 "prompt_version", one_of("prompt_version", [C.IMAGE_PROMPT, C.SCENE_PROMPT])
             ),
             "scene_id": optional("scene_id", uuid("scene_id")),
+            "source_asset_ids": optional("source_asset_ids", uuids("source_asset_ids")),
             "model_name": optional("model_name", text("model_name")),
             "model_version": optional("model_version", text("model_version")),
         },

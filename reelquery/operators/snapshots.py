@@ -124,7 +124,7 @@ def probed_job_rows(files: DataFrame) -> DataFrame:
 
 
 def caption_job_rows(image_assets: DataFrame, scenes: DataFrame) -> DataFrame:
-    """One caption job per image asset and one per scene."""
+    """One caption job per image asset and one per scene, with its payload."""
     fixed = [
         F.lit("generate_caption").alias("job_type"),
         F.lit(C.CAPTION_TIMEOUT_SECONDS).alias("timeout_seconds"),
@@ -140,7 +140,12 @@ def caption_job_rows(image_assets: DataFrame, scenes: DataFrame) -> DataFrame:
         *fixed, "file_id", F.lit(C.SCENE_PROMPT).alias("prompt_version"),
         F.lit(None).cast("string").alias("source_asset_id"), "scene_id",
     )
-    return images.unionByName(videos)
+    payload = F.struct(
+        F.col("file_id").cast("string").alias("file_id"), "prompt_version",
+        F.when(F.col("source_asset_id").isNotNull(), F.array("source_asset_id")).alias("source_asset_ids"),
+        F.col("scene_id").cast("string").alias("scene_id"), "model_name", "model_version",
+    )
+    return images.unionByName(videos).withColumn("input_json", F.to_json(payload))
 
 
 def page_union_last_wins(pages: DataFrame, key: str, batch: str) -> DataFrame:

@@ -273,10 +273,14 @@ def clip_range_check(t):
     UNION ALL
     SELECT -1 - file_id, 'model' FROM v_files WHERE media_type = 'audio'
     UNION ALL
-    SELECT -1 - file_id, 'job_type' FROM v_files WHERE media_type = 'document'""",
+    SELECT -1 - file_id, 'job_type' FROM v_files WHERE media_type = 'document'
+    UNION ALL
+    SELECT -1000000000 - file_id, CASE file_id % 5 WHEN 0 THEN '' WHEN 3 THEN 'model_name'
+      ELSE 'source_asset_ids' END FROM v_files""",
 )
 def job_payload_check(t):
-    """The event log's payloads (ids are no UUIDs) and well-formed ones built from the files."""
+    """The event log's payloads (ids are no UUIDs), well-formed ones built from the files, and caption
+    jobs whose lists are right, empty, of numbers or null, or whose model is a number."""
     media = F.col("media_type")
     built = t.v_files.select(
         (-1 - F.col("file_id")).alias("job_id"),
@@ -289,7 +293,18 @@ def job_payload_check(t):
             )
         ).alias("input_json"),
     )
-    jobs = t.v_jobs.select("job_id", "job_type", "input_json").unionByName(built)
+    fifth, own = F.col("file_id") % 5, uuid5(F.col("path"))
+    listed = F.when(fifth == 1, "[]").when(fifth == 2, "[5]").when(fifth == 4, "null").otherwise(
+        F.concat(F.lit('["'), own, F.lit('"]'))
+    )
+    captions = t.v_files.select(
+        (-1000000000 - F.col("file_id")).alias("job_id"), F.lit("generate_caption").alias("job_type"),
+        F.concat(
+            F.lit('{"file_id":"'), own, F.lit('","source_asset_ids":'), listed,
+            F.when(fifth == 3, ',"model_name":5}').otherwise("}"),
+        ).alias("input_json"),
+    )
+    jobs = t.v_jobs.select("job_id", "job_type", "input_json").unionByName(built).unionByName(captions)
     return quality.job_payload_check(jobs).select(
         "job_id", F.array_join(F.array_sort("problems"), ",").alias("problems")
     )

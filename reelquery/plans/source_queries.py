@@ -227,14 +227,22 @@ def job_seed_rows(t):
     return snapshots.probed_job_rows(t.v_files)
 
 
+MODEL_JSON = f"""'","model_name":"{C.CAPTION_VLM[0]}","model_version":"{C.CAPTION_VLM[1]}"}}'"""
+
+
 @query(
     "caption_job_rows",
-    """
+    f"""
     SELECT 'generate_caption' AS job_type, 7200 AS timeout_seconds, file_id,
       'caption-v1' AS prompt_version, CAST(asset_id AS VARCHAR) AS source_asset_id,
-      NULL AS scene_id FROM v_assets WHERE asset_type = 'image'
+      NULL AS scene_id, concat('{{"file_id":"', file_id, '","prompt_version":"caption-v1",',
+        '"source_asset_ids":["', asset_id, '"],"model_name":"{C.CAPTION_VLM[0]}",',
+        '"model_version":"{C.CAPTION_VLM[1]}"}}') AS input_json
+    FROM v_assets WHERE asset_type = 'image'
     UNION ALL
-    SELECT 'generate_caption', 7200, file_id, 'scene-caption-v2', NULL, scene_id FROM v_scenes""",
+    SELECT 'generate_caption', 7200, file_id, 'scene-caption-v2', NULL, scene_id,
+      concat('{{"file_id":"', file_id, '","prompt_version":"scene-caption-v2","scene_id":"',
+        scene_id, {MODEL_JSON}) FROM v_scenes""",
 )
 def caption_job_rows(t):
     images = t.v_assets.filter(F.col("asset_type") == "image")
