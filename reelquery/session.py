@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +39,7 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(shared)
@@ -53,7 +56,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder, for tables written between steps."""
     ensure_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{_RUN.get() or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[str]:
+    """Owner of the tables a run stores between its steps: they go when the block ends.
+
+    Results are lazy, so write or collect them inside the block.
+    """
+    ensure_checkpoint_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
