@@ -59,6 +59,27 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM starts),
+repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM windows)
+  WHERE nth > 1
+), covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM repeated),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM words ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = toxicity.toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
@@ -90,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL}
