@@ -16,6 +16,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,19 +171,15 @@ def variant_evidence(hits: DataFrame) -> DataFrame:
 
 
 def prototypes(points: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector per key, scaled to unit length.
+    """Mean vector per key, scaled to unit length; null vectors do not count.
 
-    Averages run per (key, position), so a hot key is combined map-side; the arrays put together
-    afterwards have one entry per vector dimension.
+    Means are aggregated as vectors, map-side first, so a hot key sends one row per task.
     """
-    cells = points.select(key, F.posexplode(V.as_double(F.col(vector))).alias("pos", "x"))
-    means = cells.groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    packed = means.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias(
-            vector
-        )
+    dense = points.filter(F.col(vector).isNotNull()).select(
+        key, array_to_vector(V.as_double(F.col(vector))).alias("v")
     )
-    return packed.withColumn(vector, V.l2_normalize(F.col(vector)))
+    means = dense.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return means.select(key, V.l2_normalize(vector_to_array("m")).alias(vector))
 
 
 def masked_mean_pool(tokens: DataFrame, key: str, vector: str, mask: str) -> DataFrame:
