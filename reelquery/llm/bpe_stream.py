@@ -7,7 +7,7 @@ and the tokens those prefixes' encodings have in common are stable and are emitt
 prefix is known from its last token alone: it is the one suffix token that, set beside the last token of
 what is before it, merges into nothing else. So only the live prefixes are kept.
 
-Pieces repeat, so a worker keeps the encodings of a bounded number of them.
+Pieces repeat, so a task keeps the encodings of a bounded number of them.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ PIECES = regex.compile(
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
-#: Encodings of each kind a worker keeps, the longest chunk it keeps, and the chunks handled at a time.
-CACHE_ENTRIES = 350_000
+#: Encodings of each kind a task keeps, the longest chunk it keeps, and the chunks handled at a time.
+CACHE_ENTRIES = 300_000
 CACHE_CHUNK = 64
 RUN_CHUNKS = 4096
 #: Pieces up to this many bytes are merged at once: the end of the piece is in sight.
@@ -84,6 +84,11 @@ class Transducer:
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._chunks: dict[str, tuple[bytes, bytes, int]] = {}
 
+    def forget(self) -> None:
+        """Drop the kept encodings, so that a worker that goes on to other work does not hold them."""
+        self._pieces, self._chunks = {}, {}
+        self._fits.cache_clear()
+
     def merged(self, piece: bytes) -> list[int]:
         """Merge a short piece whose end is in sight: always the first pair of the lowest rank."""
         parts = [self._of_byte[b] for b in piece]
@@ -245,6 +250,7 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
                  pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"],
             )
+        coder.forget()
 
     return texts(docs).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"

@@ -29,8 +29,9 @@ MAX_LANGUAGES = 200
 EXCERPT = 160
 HIDDEN = 8
 WINDOW = 128
-#: Windows a block of the scorer holds.
+#: Windows a block of the scorer holds, and texts it is given at a time.
 BLOCK = 2048
+SLICE = 512
 STEPS = 260
 BATCH = 96
 RATE = 0.02
@@ -211,7 +212,20 @@ def document_probabilities(net: Network, documents: list[bytes]) -> np.ndarray:
 
 
 def predict(net: Network | None, batch: list[str]) -> tuple[list[str], list[float]]:
-    """Language and score of each text; ``und`` and 0 without a letter or without a network."""
+    """Language and score of each text; ``und`` and 0 without a letter or without a network.
+
+    A few texts at a time, so that only those are held as bytes.
+    """
+    languages: list[str] = []
+    scores: list[float] = []
+    for low in range(0, len(batch), SLICE):
+        more = _predict_slice(net, batch[low : low + SLICE])
+        languages += more[0]
+        scores += more[1]
+    return languages, scores
+
+
+def _predict_slice(net: Network | None, batch: list[str]) -> tuple[list[str], list[float]]:
     known = [i for i, text in enumerate(batch) if net is not None and has_letter(text)]
     languages, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
     if known:
