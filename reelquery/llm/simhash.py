@@ -35,23 +35,28 @@ BUDGET = 2
 SEGMENTS = (22, 21, 21)
 
 
-def fingerprint(text: str) -> int:
-    """Bit i is 1 if it is set in over half of the hashes of the word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles in order; fewer words than a shingle are one, no words none."""
     words = text.encode().lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = len(words)
-    if n < SHINGLE:
-        return _majority(np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64))
+    if n < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(line[a:b], SEED) for a, b in zip(starts[: n - 2].tolist(), ends[2:].tolist(), strict=True)),
-        np.uint64, n - 2,
+    digest, last = xxhash.xxh64_intdigest, shingle - 1
+    return np.fromiter(
+        (digest(line[a:b], SEED) for a, b in zip(starts[: n - last].tolist(), ends[last:].tolist(), strict=True)),
+        np.uint64, n - last,
     )
-    return _majority(hashes)
+
+
+def fingerprint(text: str) -> int:
+    """Bit i is 1 if it is set in over half of the hashes of the word shingles, repeats included."""
+    hashes = shingle_hashes(text)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _majority(hashes: np.ndarray) -> int:

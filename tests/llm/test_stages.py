@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelquery.llm import components, decontamination, exact_dedup, lang_id, simhash
+from reelquery.llm import components, decontamination, exact_dedup, lang_id, resemblance, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, fp string"
 
@@ -129,6 +129,38 @@ def test_simhash_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [7, 9]
 
 
+def test_near_copies_match_brute_force_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([0, 2, 5, 30, 120]))]
+        for copy in range(5):
+            changed = list(base)
+            for _ in range(copy if changed else 0):
+                changed[rnd.randrange(len(changed))] = f"w{rnd.randrange(3000)}"
+            rows.append((5 * i + copy, " ".join(changed).upper() if copy == 3 else " ".join(changed)))
+    sets = {}
+    for i, t in rows:
+        words = t.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    assert {r[0]: r[1] for r in resemblance.near_copies(frame(spark, rows)).collect()} == label
+    kept = corpus_pipeline.drop_near(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values()))
+    odd = resemblance.near_copies(frame(spark, ODD)).collect()
+    assert len(odd) == len(ODD) and {r["component_id"] for r in odd if r["doc_id"] in (1, 2, 3)} == {1}
+    assert resemblance.keep_one(frame(spark, [])).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     labels = components.components(edges).collect()
