@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows and slot consistency.
 
 A text becomes a template: numbers, units after numbers and names (capitalised words inside a sentence)
-turn into typed placeholders, their values kept beside them as slots; everything else is lower-cased.
+turn into typed placeholders, their values kept beside them as slots; everything else is lower-cased. A
+capitalised word at the start of a sentence, of a line or of the text may be a name or not: windows with
+such words come in two readings, and an item window is found if one of its readings is.
 Windows of ``WINDOW`` template tokens are joined by hash with the windows of the benchmark items. An item
 is found in a document if at least ``CONTAINMENT`` of its windows are there, counting only alignments
 whose slots are consistent: along one alignment (position in the document minus position in the item)
@@ -41,12 +43,20 @@ _DIGITS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _MEASURE = rf"(?i)(?<![\p{{Nd}}.,:/])({_DIGITS})\s?({'|'.join(UNITS)}|%|\$|€)(?![\p{{L}}\p{{Nd}}])"
 _NUMBER = rf"(?<![{NUMBER}\p{{Nd}}.,:/])({_DIGITS})"
 _NAME = rf"\p{{Lu}}(?<=[^\s.!?:;] \p{{Lu}})[\p{{L}}\p{{M}}]*"
+#: A capitalised word anywhere else: at the start of a sentence, of a line, of the text, or in quotes.
+_INITIAL = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}{NAME}])(?<!\p{{Nd}}\s)\p{{Lu}}[\p{{L}}\p{{M}}]*"
 _BETWEEN = rf"(?:(?![.,:/]\p{{Nd}})[^\p{{L}}\p{{M}}\p{{Nd}}{NAME}{NUMBER}{UNIT}])+"
 
 
-def template_tokens(text):
-    """Tokens of a text: lower-cased words, and slots as a type mark followed by their value."""
+def template_tokens(text, initials: bool = False):
+    """Tokens of a text: lower-cased words, and slots as a type mark followed by their value.
+
+    ``initials``: capitalised words at the start of a sentence are read as names, else as words. Both
+    readings have the same places.
+    """
     named = F.regexp_replace(text, _NAME, f"{NAME}$0")
+    if initials:
+        named = F.regexp_replace(named, _INITIAL, f"{NAME}$0")
     measured = F.regexp_replace(named, _MEASURE, f" {NUMBER}$1 {UNIT}$2 ")
     numbered = F.regexp_replace(measured, _NUMBER, f" {NUMBER}$1 ")
     return F.array_remove(F.split(letters_lower(numbered), _BETWEEN), "")
@@ -60,17 +70,31 @@ def _template_hash(token):
     return F.xxhash64(F.when(is_slot(token), F.substring(token, 1, 1)).otherwise(token))
 
 
+def _read(rows: DataFrame, key: str) -> DataFrame:
+    """(key, plain, typed): the tokens of the texts in both readings."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return rows.select(
+        F.col(key).cast("long").alias(key), template_tokens(text).alias("plain"), template_tokens(text, True).alias("typed")
+    )
+
+
 def _windows_of(rows: DataFrame, *ids: str) -> DataFrame:
-    """(ids, pos, window), a hash per window of consecutive template tokens of each row's ``tokens``.
+    """(ids, pos, window, named), a hash per window of consecutive template tokens of each row.
 
-    Fewer tokens than a window: one window of them all; none: no row.
+    Windows that differ between the readings come in both; ``named``: the one with names. Fewer tokens
+    than a window: one window of them all; none: no row.
     """
-    hashed = rows.withColumn("hashes", F.transform("tokens", _template_hash))
-    spans = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("hashes") - WINDOW, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]),
-    )
-    return hashed.select(*ids, F.posexplode(F.when(F.size("hashes") > 0, spans)).alias("pos", "window"))
+    hashed = rows.withColumn("hp", F.transform("plain", _template_hash)).withColumn("ht", F.transform("typed", _template_hash))
+    places = F.sequence(F.lit(0), F.greatest(F.size("hp") - WINDOW, F.lit(0)))
+    differs = F.filter(places, lambda i: F.slice("hp", i + 1, WINDOW) != F.slice("ht", i + 1, WINDOW))
+
+    def spans(at, hashes: str, named: bool):
+        return F.transform(at, lambda i: F.struct(
+            i.alias("pos"), F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]).alias("window"), F.lit(named).alias("named")
+        ))
+
+    both = F.concat(spans(places, "hp", False), spans(differs, "ht", True))
+    return hashed.select(*ids, F.inline(F.when(F.size("hp") > 0, both)))
 
 
 def _slots(tokens, start):
@@ -81,16 +105,14 @@ def _slots(tokens, start):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, at, window, n): distinct item windows at their first place, and how many the item has."""
-    rows = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"),
-        template_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tokens"),
-    )
-    spread = _windows_of(rows, "item_id", "tokens")
-    literals = F.size(F.filter(F.slice("tokens", F.col("pos") + 1, WINDOW), lambda t: ~is_slot(t)))
-    first = spread.where(literals >= LITERALS).groupBy("item_id", "window").agg(F.min("pos").alias("at"))
+    """(item_id, at, window, named, n): distinct item windows at their first place, in both readings, and
+    how many places the item has."""
+    spread = _windows_of(_read(benchmark, "item_id"), "item_id", "plain")
+    literals = F.size(F.filter(F.slice("plain", F.col("pos") + 1, WINDOW), lambda t: ~is_slot(t)))
+    first = spread.where(~F.col("named") & (literals >= LITERALS)).groupBy("item_id", "window").agg(F.min("pos").alias("at"))
     counts = first.groupBy("item_id").agg(F.count("*").alias("n"))
-    return first.join(counts, "item_id")
+    placed = spread.select("item_id", F.col("pos").alias("at"), "window", "named")
+    return placed.join(first.select("item_id", "at"), ["item_id", "at"], "left_semi").join(counts, "item_id")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -105,10 +127,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = checkpointed(item_windows(benchmark.where("item_id IS NOT NULL")))
     small = items.count() <= BROADCAST_WINDOWS
     sent = F.broadcast if small else (lambda df: df)
-    tokens = texts(docs).where("doc_id IS NOT NULL").select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    found = _windows_of(tokens, "doc_id").join(sent(items.select("item_id", "window", "n")), "window")
+    tokens = _read(texts(docs).where("doc_id IS NOT NULL"), "doc_id")
+    found = _windows_of(tokens, "doc_id").join(sent(items.select("item_id", "at", "window", "n")), "window")
     enough = checkpointed(
-        found.groupBy("doc_id", "item_id", "n", "window").agg(F.lit(1).alias("one"))
+        found.groupBy("doc_id", "item_id", "n", "at").agg(F.lit(1).alias("one"))
         .groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
         .where(F.col("n_found") >= CONTAINMENT * F.col("n")).select("doc_id", "item_id")
     )
@@ -117,25 +139,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _consistent(docs: DataFrame, benchmark: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose share is reached over alignments with consistent slots."""
-    again = texts(docs).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select(
-        "doc_id", template_tokens(F.col("text")).alias("tokens")
-    )
-    placed = _windows_of(again, "doc_id", "tokens").select(
-        "doc_id", "pos", "window", _slots(F.col("tokens"), F.col("pos")).alias("doc_slots")
+    again = _read(texts(docs).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    read = F.when(F.col("named"), F.col("typed")).otherwise(F.col("plain"))
+    placed = _windows_of(again, "doc_id", "plain", "typed").select(
+        "doc_id", "pos", "window", _slots(read, F.col("pos")).alias("doc_slots")
     )
     # Slot values of the item windows, from the tokens of their item.
-    item_rows = benchmark.where("item_id IS NOT NULL").select(
-        F.col("item_id").cast("long").alias("item_id"),
-        template_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tokens"),
-    )
-    item_slots = _windows_of(item_rows, "item_id", "tokens").select(
-        "item_id", "window", F.col("pos").alias("at"), _slots(F.col("tokens"), F.col("pos")).alias("item_slots")
-    ).join(items.select("item_id", "window", "at", "n"), ["item_id", "window", "at"]).dropDuplicates(
-        ["item_id", "window"]
-    )
+    item_rows = _read(benchmark.where("item_id IS NOT NULL"), "item_id")
+    item_slots = _windows_of(item_rows, "item_id", "plain", "typed").select(
+        "item_id", "window", F.col("pos").alias("at"), "named", _slots(read, F.col("pos")).alias("item_slots")
+    ).join(items, ["item_id", "window", "at", "named"]).dropDuplicates(["item_id", "window", "at"])
     aligned = checkpointed(
         placed.join(pairs, "doc_id").join(item_slots, ["item_id", "window"]).select(
-            "doc_id", "item_id", "n", "window", (F.col("pos") - F.col("at")).alias("shift"),
+            "doc_id", "item_id", "n", "at", (F.col("pos") - F.col("at")).alias("shift"),
             F.arrays_zip(F.col("item_slots").alias("a"), F.col("doc_slots").alias("b")).alias("slots"),
         )
     )
@@ -155,7 +171,7 @@ def _consistent(docs: DataFrame, benchmark: DataFrame, items: DataFrame, pairs:
     ).groupBy("doc_id", "item_id", "n").agg(
         F.sum("n_slots").cast("long").alias("n_slots"), F.sum("n_changed").cast("long").alias("n_changed")
     )
-    covered = steady.groupBy("doc_id", "item_id", "n", "window").agg(F.lit(1).alias("one")).groupBy(
+    covered = steady.groupBy("doc_id", "item_id", "n", "at").agg(F.lit(1).alias("one")).groupBy(
         "doc_id", "item_id"
     ).agg(F.count("*").alias("n_found"))
     return per_line.join(covered, ["doc_id", "item_id"]).where(

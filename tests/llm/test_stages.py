@@ -186,6 +186,20 @@ def test_templates_and_slots(spark):
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_names_at_the_start_of_sentences(spark):
+    items = spark.createDataFrame([
+        (1, "Janet has 16 eggs in a basket. Janet sells 9 of them to Peter. How many eggs does Janet keep?"),
+        (2, "Tom reads 12 pages on Monday. Anna reads 8 pages more. Tom then gives his book to Anna."),
+    ], "item_id long, text string")
+    docs = frame(spark, [
+        (1, "Maria has 20 eggs in a basket. Maria sells 4 of them to Oscar. How many eggs does Maria keep?"),
+        (2, "Said he:\nPaul reads 7 pages on Friday. Eve reads 5 pages more. Paul then gives his book to Eve."),
+        (3, "Paul reads 7 pages on Friday. Eve reads 5 pages more. Max then gives his book to Jo."),
+    ])
+    found = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontamination.contaminated(docs, items).collect()}
+    assert found == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
+
+
 def test_decontamination_both_join_paths_agree_with_brute_force(spark, folder, monkeypatch):
     docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
     first = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
