@@ -26,7 +26,7 @@ from reelquery.session import checkpointed
 
 WINDOW = 5
 CONTAINMENT = 0.8
-#: Item windows with fewer other tokens than this say nothing and do not count.
+#: Windows with fewer other tokens than this say nothing by their form; only their values do.
 LITERALS = 2
 BROADCAST_WINDOWS = 1_000_000
 
@@ -66,6 +66,15 @@ def is_slot(token):
     return (token >= NAME) & (token < END)
 
 
+def _value(token):
+    """A token without the mark of its type."""
+    return F.when(is_slot(token), F.substring(token, 2, 1 << 30)).otherwise(token)
+
+
+def _is_word(token):
+    return (~is_slot(token)).cast("int")
+
+
 def _template_hash(token):
     return F.xxhash64(F.when(is_slot(token), F.substring(token, 1, 1)).otherwise(token))
 
@@ -78,23 +87,38 @@ def _read(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _windows_of(rows: DataFrame, *ids: str) -> DataFrame:
-    """(ids, pos, window, named), a hash per window of consecutive template tokens of each row.
+def _windows_of(rows: DataFrame, *ids: str, lengths: tuple[int, ...] = ()) -> DataFrame:
+    """(ids, pos, window, named, exact), a hash per window of consecutive template tokens of each row.
 
-    Windows that differ between the readings come in both; ``named``: the one with names. Fewer tokens
-    than a window: one window of them all; none: no row.
+    Windows that differ between the readings come in both; ``named``: the one with names. Windows with
+    fewer than ``LITERALS`` words are hashed with the values of their slots (``exact``), and so are those
+    of ``lengths`` below ``WINDOW``. Fewer tokens than a window: one window of them all; none: no row.
     """
     hashed = rows.withColumn("hp", F.transform("plain", _template_hash)).withColumn("ht", F.transform("typed", _template_hash))
+    hashed = hashed.withColumn("values", F.transform("plain", _value))
+    hashed = hashed.withColumn("wp", F.transform("plain", _is_word)).withColumn("wt", F.transform("typed", _is_word))
     places = F.sequence(F.lit(0), F.greatest(F.size("hp") - WINDOW, F.lit(0)))
     differs = F.filter(places, lambda i: F.slice("hp", i + 1, WINDOW) != F.slice("ht", i + 1, WINDOW))
 
-    def spans(at, hashes: str, named: bool):
-        return F.transform(at, lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]).alias("window"), F.lit(named).alias("named")
+    def spans(at, hashes: str, words: str, named: bool):
+        def one(i):
+            sparse = sum(F.coalesce(F.get(words, i + k), F.lit(0)) for k in range(WINDOW)) < LITERALS
+            same = F.xxhash64(F.lit(0), *[F.get("values", i + k) for k in range(WINDOW)])
+            form = F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
+            return F.struct(i.alias("pos"), F.when(sparse, same).otherwise(form).alias("window"),
+                            F.lit(named).alias("named"), sparse.alias("exact"))
+
+        return F.transform(at, one)
+
+    def short(length: int):
+        places = F.when(F.size("values") >= length, F.sequence(F.lit(0), F.size("values") - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(
+            i.alias("pos"), F.xxhash64(F.lit(length), *[F.get("values", i + k) for k in range(length)]).alias("window"),
+            F.lit(False).alias("named"), F.lit(True).alias("exact"),
         ))
 
-    both = F.concat(spans(places, "hp", False), spans(differs, "ht", True))
-    return hashed.select(*ids, F.inline(F.when(F.size("hp") > 0, both)))
+    every = F.concat(spans(places, "hp", "wp", False), spans(differs, "ht", "wt", True), *map(short, lengths))
+    return hashed.select(*ids, F.inline(F.when(F.size("hp") > 0, every)))
 
 
 def _slots(tokens, start):
@@ -105,50 +129,83 @@ def _slots(tokens, start):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, at, window, named, n): distinct item windows at their first place, in both readings, and
-    how many places the item has."""
-    spread = _windows_of(_read(benchmark, "item_id"), "item_id", "plain")
-    literals = F.size(F.filter(F.slice("plain", F.col("pos") + 1, WINDOW), lambda t: ~is_slot(t)))
-    first = spread.where(~F.col("named") & (literals >= LITERALS)).groupBy("item_id", "window").agg(F.min("pos").alias("at"))
+    """(item_id, at, window, named, exact, n): distinct item windows at their first place, in both readings,
+    and how many places the item has.
+
+    Windows with few words count only in items that have no other; an item shorter than a window also has
+    one of its own length.
+    """
+    spread = _item_spread(benchmark)
+    whole = spread.where(~F.col("named") & (F.col("size") >= WINDOW)).withColumn("rich", ~F.col("exact")).unionByName(
+        # All windows of a short item stand at its start.
+        spread.where(~F.col("named") & (F.col("size") < WINDOW)).withColumn("rich", F.lit(True))
+    )
+    only = whole.groupBy("item_id").agg(F.max("rich").alias("any_rich"))
+    wanted = whole.join(only, "item_id").where(F.col("rich") | ~F.col("any_rich"))
+    one = F.when(F.col("size") < WINDOW, F.lit(0)).otherwise(F.col("window"))
+    first = wanted.groupBy("item_id", one.alias("one")).agg(F.min("at").alias("at"))
     counts = first.groupBy("item_id").agg(F.count("*").alias("n"))
-    placed = spread.select("item_id", F.col("pos").alias("at"), "window", "named")
-    return placed.join(first.select("item_id", "at"), ["item_id", "at"], "left_semi").join(counts, "item_id")
+    return spread.drop("size", "plain", "typed").join(first.select("item_id", "at").distinct(), ["item_id", "at"], "left_semi").join(
+        counts, "item_id"
+    )
+
+
+def _item_spread(benchmark: DataFrame) -> DataFrame:
+    """Every window of every item; those of a short item's own length only if they hold the whole item."""
+    rows = _read(benchmark, "item_id")
+    sized = F.size("plain").alias("size")
+    long = _windows_of(rows, "item_id", "plain", "typed", sized)
+    own = [
+        _windows_of(rows.where(F.size("plain") == n), "item_id", "plain", "typed", sized, lengths=(n,)) for n in range(1, WINDOW)
+    ]
+    for part in own:
+        long = long.union(part)
+    return long.distinct().withColumnRenamed("pos", "at")
+
+
+def _short_lengths(benchmark: DataFrame) -> tuple[int, ...]:
+    """Lengths below a window that items have."""
+    sizes = _read(benchmark.where("item_id IS NOT NULL"), "item_id").select(F.size("plain").alias("size")).distinct()
+    return tuple(sorted(r["size"] for r in sizes.where((F.col("size") > 0) & (F.col("size") < WINDOW)).collect()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, containment, n_slots, n_changed, kind) of every leak.
 
     ``n_changed`` of the ``n_slots`` aligned slots have another value in the document; ``kind`` is
-    ``verbatim`` if none has, else ``reparameterised``. Null texts are empty and match nothing, as do
-    items whose windows are nearly all placeholders. An item shorter than a window is found only in a
-    document of just those tokens. Rows that repeat a doc_id or item_id act as one. Rows with a null
+    ``verbatim`` if none has, else ``reparameterised``. Null texts are empty and match nothing. An item
+    whose windows are nearly all placeholders is found where these have the same values; an item shorter
+    than a window is found verbatim anywhere (case and punctuation aside), and with other values only in a
+    document of just those tokens. Windows with the same values bring no slots. Rows that repeat a doc_id or item_id act as one. Rows with a null
     doc_id or item_id are not reported. Empty tables: no rows. Other columns are ignored.
     """
     items = checkpointed(item_windows(benchmark.where("item_id IS NOT NULL")))
     small = items.count() <= BROADCAST_WINDOWS
     sent = F.broadcast if small else (lambda df: df)
+    short = _short_lengths(benchmark)
     tokens = _read(texts(docs).where("doc_id IS NOT NULL"), "doc_id")
-    found = _windows_of(tokens, "doc_id").join(sent(items.select("item_id", "at", "window", "n")), "window")
+    found = _windows_of(tokens, "doc_id", lengths=short).join(sent(items.select("item_id", "at", "window", "n")), "window")
     enough = checkpointed(
         found.groupBy("doc_id", "item_id", "n", "at").agg(F.lit(1).alias("one"))
         .groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
         .where(F.col("n_found") >= CONTAINMENT * F.col("n")).select("doc_id", "item_id")
     )
-    return _consistent(docs, benchmark, items, enough)
+    return _consistent(docs, benchmark, items, enough, short)
 
 
-def _consistent(docs: DataFrame, benchmark: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+def _consistent(docs: DataFrame, benchmark: DataFrame, items: DataFrame, pairs: DataFrame, short: tuple[int, ...]) -> DataFrame:
     """The pairs whose share is reached over alignments with consistent slots."""
     again = _read(texts(docs).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     read = F.when(F.col("named"), F.col("typed")).otherwise(F.col("plain"))
-    placed = _windows_of(again, "doc_id", "plain", "typed").select(
-        "doc_id", "pos", "window", _slots(read, F.col("pos")).alias("doc_slots")
+    none = F.array().cast("array<struct<k:int,value:string>>")
+    slots = F.when(F.col("exact"), none).otherwise(_slots(read, F.col("pos")))  # exact: values agree already
+    placed = _windows_of(again, "doc_id", "plain", "typed", lengths=short).select(
+        "doc_id", "pos", "window", slots.alias("doc_slots")
     )
     # Slot values of the item windows, from the tokens of their item.
-    item_rows = _read(benchmark.where("item_id IS NOT NULL"), "item_id")
-    item_slots = _windows_of(item_rows, "item_id", "plain", "typed").select(
-        "item_id", "window", F.col("pos").alias("at"), "named", _slots(read, F.col("pos")).alias("item_slots")
-    ).join(items, ["item_id", "window", "at", "named"]).dropDuplicates(["item_id", "window", "at"])
+    item_slots = _item_spread(benchmark.where("item_id IS NOT NULL")).withColumnRenamed("at", "pos").select(
+        "item_id", "window", F.col("pos").alias("at"), "named", "exact", slots.alias("item_slots")
+    ).join(items, ["item_id", "window", "at", "named", "exact"]).dropDuplicates(["item_id", "window", "at"])
     aligned = checkpointed(
         placed.join(pairs, "doc_id").join(item_slots, ["item_id", "window"]).select(
             "doc_id", "item_id", "n", "at", (F.col("pos") - F.col("at")).alias("shift"),

@@ -200,6 +200,16 @@ def test_names_at_the_start_of_sentences(spark):
     assert found == {(1, 1): "reparameterised", (2, 2): "reparameterised"}
 
 
+def test_every_item_is_found_verbatim(spark):
+    texts = ["Compute 12 * 34 + 56 - 7 / 8.", "12, 17, 22, 27, 32, ?", "What is 48 + 24?", "Who wrote Hamlet?"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = frame(spark, [(i, f"Some words come first. {t} And others after it.") for i, t in enumerate(texts)] + [
+        (10, "Some words first. Compute 13 * 34 + 56 - 7 / 9. What is 48 + 25? Who wrote Faust?"), (11, "13, 18, 22, 27, 32, 99"),
+    ])
+    found = decontamination.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(i, i, "verbatim") for i in range(4)}
+
+
 def test_decontamination_both_join_paths_agree_with_brute_force(spark, folder, monkeypatch):
     docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
     first = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
