@@ -1,20 +1,24 @@
 """Secret scanning: fixed patterns, and strings that are new to a primed zstandard dictionary.
 
-The patterns give base spans. Beyond them, candidates are runs of key-like characters that hold both
-letters and digits and stand behind a sensitive word (at most ``CONTEXT`` characters before them, on the
+The patterns give base spans. Beyond them, candidates are whole runs of key-like characters
+that stand behind a sensitive word (at most ``CONTEXT`` characters before them, on the
 same line). A list of identifiers primes a zstandard dictionary; the bytes that the candidate adds to the
 compressed text around it are its novelty. Words, paths, versions and identifiers are mostly copies of
-the dictionary or of what is around them; random keys have to be stored character by character. A candidate is reported if it adds at least ``NOVELTY`` bytes per character.
+the dictionary or of what is around them; random keys have to be stored character by character. A
+candidate is reported if it adds at least ``NOVELTY`` of the bytes that a random string of its length and
+alphabet would add in its place.
 
 Scale: each text is scanned where it is read; no exchange. The costly step runs on candidates only, and
-its dictionary is bounded (``WINDOW`` characters on both sides).
+the text around them is bounded (``WINDOW`` characters on both sides).
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +47,7 @@ SENSITIVE = re.compile(
 SENSITIVE_PARTS = (
     "pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "client",
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,256}", re.ASCII)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 IDENTIFIERS = (
     "import return function class const static public private protected password passwd secret token "
     "api_key apikey access_key client_id client_secret authorization bearer credential username user "
@@ -54,7 +58,10 @@ IDENTIFIERS = (
 )
 CONTEXT = 48
 WINDOW = 512
+#: Share of what a random string would add.
 NOVELTY = 0.85
+ALPHABETS = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/_=-")
+HEXES = (string.digits + "abcdef", string.digits + "ABCDEF")
 
 Span = tuple[str, int, int]
 
@@ -84,6 +91,17 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return added / max(1, len(candidate))
 
 
+def random_novelty(candidate: str, before: str, after: str) -> float:
+    """The novelty of a random string of the candidate's length over the alphabet it is drawn from."""
+    letters = "".join(part for part in ALPHABETS if any(c in part for c in candidate))
+    for narrow in (string.digits, *HEXES):
+        if set(candidate) <= set(narrow):
+            letters = narrow
+            break
+    drawn = random.Random(len(candidate))
+    return novelty("".join(drawn.choices(letters, k=len(candidate))), before, after)
+
+
 def novel_spans(text: str, base: list[Span]) -> list[Span]:
     """Incompressible candidates in a sensitive context that no base span touches."""
     lower = text.lower()
@@ -103,12 +121,11 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
                 break
             at = last = b
             value = match.group()
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
             i = bisect.bisect_left(starts, b)
             if i and taken[i - 1][1] > a:
                 continue
-            if novelty(value, text[max(0, a - WINDOW) : a], text[b : b + WINDOW]) >= NOVELTY:
+            before, after = text[max(0, a - WINDOW) : a], text[b : b + WINDOW]
+            if novelty(value, before, after) >= NOVELTY * random_novelty(value, before, after):
                 found.append(("novel", a, b))
     return found
 

@@ -234,6 +234,17 @@ def test_novel_strings_are_reported_and_identifiers_are_not(spark):
     assert secret_scan.secrets(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789"])
+@pytest.mark.parametrize("length", [16, 64, 128, 300])
+def test_random_keys_of_any_alphabet_and_length_are_reported_whole(letters, length):
+    rnd = random.Random(length)
+    found = 0
+    for _ in range(20):
+        text = f'x = 1\nclient_id = "{"".join(rnd.choices(letters, k=length))}"\n'
+        found += secret_scan.novel_spans(text, []) == [("novel", 19, 19 + length)]
+    assert found >= 19
+
+
 def test_pipeline_against_its_parts(spark, folder):
     import corpus_pipeline
 
