@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm import bpe_stream, decontamination, exact_dedup, html_text, lang_id, secret_scan, simhash, substring_dedup, token_output, toxicity
+from reelquery.llm import (
+    bpe_stream, conversation_repair, decontamination, exact_dedup, html_text, lang_id, mixing, periodic_runs, secret_scan,
+    simhash, substring_dedup, token_output, toxicity,
+)
 from reelquery.llm.common import crc_class, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -99,6 +102,18 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(table(spark, folder, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.periodic_runs(periodic_runs.planted(table(spark, folder, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -110,5 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
+    "op11_source_mix": op11_source_mix,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL}
