@@ -1,10 +1,12 @@
 """Cosine search of a table of query vectors over a table of points.
 
-Queries are cut into blocks of a bounded number of values, always the same way. A block is broadcast and
-the points are scanned once for it, column-pruned, without a shuffle: each task scores its batches against
-the block with NumPy and keeps only what can still reach a result (the best K identities per query variant
-and collection), so the exchange carries K rows per task, not the scores. With more than one block, each
-block's result is written before the next is fetched, so one block at a time is on the driver.
+Queries are cut into blocks of a bounded number of values and of results, always the same way, and stored
+by block. A block is broadcast and the points are scanned once for it, column-pruned, without a shuffle: each
+task scores its batches against the block in tiles of bounded rows x queries, and keeps in flat arrays only
+what can still reach a result (the best K identities per query variant and collection). So its memory depends
+neither on the length of the vectors nor on the number of queries, and the exchange carries K rows per task,
+not the scores. With more than one block, each block's result is written before the next is fetched, so
+one block at a time is on the driver, read from its own folder.
 
 A query row belongs to one ``collection`` or, without that column (or null), to all; a point is scored by
 the queries of its collection whose vectors have its length, so every channel can have its own model.
@@ -12,6 +14,7 @@ the queries of its collection whose vectors have its length, so every channel ca
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,15 +23,17 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelquery import constants as C
 from reelquery.functions import vectors as V
 from reelquery.operators import topk_tasks as tasks
 from reelquery.operators.ordered import top_per_group
-from reelquery.session import checkpointed
+from reelquery.session import checkpointed, shared_folder
 
-#: Values of one broadcast block (doubles: 16 MB); a row of queries is never split.
-BLOCK_VALUES = 2_000_000
+#: Values of one broadcast block (doubles: 32 MB), and results a task keeps for it; a query is never split.
+BLOCK_VALUES = 4_000_000
+BLOCK_RESULTS = 2_000_000
 SALTS = 16
 
 
@@ -57,17 +62,26 @@ def _query_rows(queries: DataFrame) -> DataFrame:
     ).filter(F.size("query_embedding") > 0)
 
 
-def _per_block(points: DataFrame, queries: DataFrame, task, schema: str) -> DataFrame:
-    """Rows of ``task(batches, block)`` over all points, for every block of queries."""
+def _per_block(points: DataFrame, queries: DataFrame, task, schema: str, depth: int = 1) -> DataFrame:
+    """Rows of ``task(batches, block)`` over all points, for every block of queries.
+
+    ``depth``: rows the task keeps for a query.
+    """
     spark = points.sparkSession
     rows = checkpointed(_query_rows(queries))
-    values = rows.agg(F.sum(F.size("query_embedding"))).first()[0] or 0
+    size = rows.agg(F.coalesce(F.sum(F.size("query_embedding")), F.lit(0)).alias("values"), F.count("*").alias("n")).first()
+    need = max(size["values"] / BLOCK_VALUES, size["n"] * depth / BLOCK_RESULTS)
     # Rows are dealt by hash, so blocks come out uneven: twice as many as would just do.
-    n_blocks = 1 if values <= BLOCK_VALUES else -(-2 * values // BLOCK_VALUES)
-    block_of = F.pmod(F.xxhash64("query_id", "variant_order", "collection"), F.lit(n_blocks))
+    n_blocks = 1 if need <= 1 else math.ceil(2 * need)
+    if n_blocks > 1:
+        number = F.pmod(F.xxhash64("query_id", "variant_order", "collection"), F.lit(n_blocks)).cast("int")
+        path = shared_folder(spark)
+        rows.withColumn("block", number).repartition("block").write.partitionBy("block").parquet(path)
+        stored = T.StructType([*rows.schema.fields, T.StructField("block", T.IntegerType())])
+        rows = spark.read.schema(stored).parquet(path)
     parts = []
     for number in range(n_blocks):
-        frame = rows.filter(block_of == number).toPandas()
+        frame = (rows.filter(F.col("block") == number).drop("block") if n_blocks > 1 else rows).toPandas()
         if frame.empty:
             continue
         shared = spark.sparkContext.broadcast(tasks.block_of(frame))
@@ -98,7 +112,7 @@ def variant_hits(
     def task(batches, block):
         return tasks.best_hits(batches, block, depth)
 
-    partial = _per_block(_points(points, grouped), queries, task, tasks.HIT_SCHEMA)
+    partial = _per_block(_points(points, grouped), queries, task, tasks.HIT_SCHEMA, depth)
     keys = ["query_id", "variant_order", "collection"]
     best = top_per_group(
         partial, [*keys, "identity"], [F.desc("score"), F.asc("point_id")], 1

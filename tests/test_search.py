@@ -57,16 +57,58 @@ def brute(points, queries, depth, grouped):
 @pytest.mark.parametrize("grouped", [True, False])
 @pytest.mark.parametrize("values", [2_000_000, 30])
 def test_hits_equal_brute_force(spark, vectors, grouped, values, monkeypatch):
-    """One block of queries or several, on a budget of held rows that is soon full."""
+    """One block of queries or several, with small tiles and a budget of held rows that is soon full."""
     points, queries, raw_points, raw_queries = vectors
     monkeypatch.setattr(vector_search, "BLOCK_VALUES", values)
-    monkeypatch.setattr(vector_search.tasks, "HELD_ROWS", 100 if values == 30 else 1_000_000)
+    if values == 30:
+        monkeypatch.setattr(vector_search.tasks, "HELD_ROWS", 100)
+        monkeypatch.setattr(vector_search.tasks, "TILE_CELLS", 12)
+        monkeypatch.setattr(vector_search.tasks, "TILE_QUERIES", 3)
     found = vector_search.variant_hits(points, queries, 7, grouped)
     got = {(r.query_id, r.variant_order, r.collection, r.point_id, r.score + 0.0)
            for r in found.collect()}
     assert got == brute(raw_points, raw_queries, 7, grouped)
 
 
+@pytest.mark.parametrize("size, n_queries", [(4, 3000), (768, 3000)])
+def test_tiles_bound_memory_and_equal_one_tile(size, n_queries, monkeypatch):
+    """A task's batches against a block: the peak is far below the matrix of all scores."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    frame = pd.DataFrame({
+        "query_id": np.arange(n_queries), "variant_order": 0, "weight": 1.0, "collection": None,
+        "scopes": [None if q % 3 else ["l1", "l2"][: q % 2 + 1] for q in range(n_queries)],
+        "query_embedding": list(rng.normal(size=(n_queries, size))),
+    })
+    block = vector_search.tasks.block_of(frame)
+    points = [
+        pa.RecordBatch.from_pydict({
+            "point_id": np.arange(low, low + 2000), "collection": ["a"] * 2000,
+            "identity": [f"s{i // 3}" for i in range(low, low + 2000)],
+            "scope": [None if i % 7 == 0 else f"l{i % 4}" for i in range(low, low + 2000)],
+            "embedding": pa.array(list(rng.normal(size=(2000, size)).astype(np.float32))),
+        }) for low in (0, 2000)
+    ]
+
+    def hits(cells):
+        monkeypatch.setattr(vector_search.tasks, "TILE_CELLS", cells)
+        monkeypatch.setattr(vector_search.tasks, "TILE_QUERIES", max(1, cells // 100))
+        tracemalloc.start()
+        out = pa.Table.from_batches(vector_search.tasks.best_hits(iter(points), block, 20)).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out.sort_values(["query_id", "score", "point_id"], ignore_index=True), peak
+
+    small, peak = hits(1 << 16)
+    whole, whole_peak = hits(1 << 30)
+    assert small.equals(whole) and len(small) == 20 * n_queries
+    assert peak < 60e6 < whole_peak
+
+
 def test_summary_does_not_depend_on_blocks(spark, vectors, monkeypatch):
     points, queries, _, _ = vectors
     whole = sorted(map(tuple, vector_search.score_summary(points, queries).collect()))
