@@ -112,6 +112,11 @@ def test_ring_filter_loses_no_link(spark):
             for bit in rnd.sample(range(64), flips):
                 near ^= 1 << bit
             values.add(near)
+    # Values that agree with others in one segment only, and are far apart in the rest.
+    for low, width in ((0, 22), (22, 21), (43, 21)):
+        part = rnd.getrandbits(width) << low
+        for _ in range(40):
+            values.add(rnd.getrandbits(64) & ~(((1 << width) - 1) << low) | part)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     linked = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
     label = {r["node"]: r["label"] for r in components.components(linked).collect()}
@@ -210,6 +215,23 @@ def test_every_item_is_found_verbatim(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(i, i, "verbatim") for i in range(4)}
 
 
+def test_rows_without_an_id_and_repeated_items(spark):
+    text = "If Alice has 12 apples and gives 5 of them to her brother Robert, how many apples does Alice keep then?"
+    items = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "item_id long, text string")
+    docs = frame(spark, [(None, f"So. {text} Yes."), (None, "a clean text of some words that is in no benchmark"), (3, text), (3, "other")])
+    found = sorted((str(r["doc_id"]), r["item_id"], r["kind"]) for r in decontamination.contaminated(docs, items).collect())
+    assert found == [("3", 1, "verbatim"), ("3", 2, "verbatim"), ("None", 1, "verbatim"), ("None", 2, "verbatim")]
+    kept = [tuple(r)[:2] for r in decontamination.keep_clean(docs, items).collect()]
+    assert kept == [(None, "a clean text of some words that is in no benchmark")]
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = "If Alice has 12 apples and gives 5 of them to her brother Robert, how many apples does Alice keep then?"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [(1, "Some words of No use 7 km away. " * 60_000 + item), (2, "no " * 900_000)])
+    assert [(r["doc_id"], r["kind"]) for r in decontamination.contaminated(docs, items).collect()] == [(1, "verbatim")]
+
+
 def test_decontamination_both_join_paths_agree_with_brute_force(spark, folder, monkeypatch):
     docs, items = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "benchmark"))
     first = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
