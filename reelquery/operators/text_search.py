@@ -1,17 +1,26 @@
-"""Full-text match and cover-density rank over postings.
+"""Full-text match and cover-density rank over blocks of postings.
 
-A search reads postings (term, document, positions), not texts. They come from a stored index, or are
-made for the wanted terms in one pass over the texts. Candidates are found through each query's rarest
-term only; the query's other terms are then looked up by (document, term), so a frequent term never becomes
-a join key by itself unless a query has nothing rarer.
+A task turns its texts into blocks: one term in one range of document ids, with delta-coded documents and
+positions and the largest term frequency. Tokens are never exchanged, blocks are. A search reads the blocks
+of its own terms, from a stored index or made for those terms in one pass over the texts. It works per
+(query, range): a range is looked at only if it has a block of every term, and a frequent term is spread
+over all its ranges.
+
+A document's covers number at most its smallest term frequency, so the blocks bound the scores of a range. A
+top-k search scores the ranges with the highest bounds first and then only those whose bound reaches the
+k-th score found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
+from reelquery.operators import posting_tasks as tasks
 from reelquery.operators.ordered import spread, top_per_group
 from reelquery.session import checkpointed
 
@@ -31,18 +40,71 @@ def tokenize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
+#: Distinct terms of queries that are sent to the tasks; with more of them all terms are packed.
+WANTED_TERMS = 200_000
+#: Folders of a stored index.
+BUCKETS = 64
+#: Ranges of a query that are scored first.
+FIRST_RANGES = 8
+
+
+def block_index(docs: DataFrame, key: str, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """Blocks of postings (``posting_tasks.BLOCK_SCHEMA``) of all terms or those in ``wanted`` (term).
+
+    ``key`` is a whole number; rows without one are left out, and rows that share one count as one document.
+    """
+    chosen = None
+    if wanted is not None:
+        listed = wanted.select("term").distinct().limit(WANTED_TERMS + 1).collect()
+        chosen = {r["term"] for r in listed} if len(listed) <= WANTED_TERMS else None
+    rows = spread(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")))
+    listed = rows.select("key", tokens(F.col("text")).alias("tokens")).filter("key IS NOT NULL AND tokens IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tasks.pack_tokens(batches, chosen)
+
+    blocks = _merged(listed.mapInArrow(run, tasks.BLOCK_SCHEMA))
+    return blocks.join(wanted.select("term").distinct(), "term", "left_semi") if wanted is not None and chosen is None else blocks
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One block per term and range; a frequent term is dealt by range."""
+    dealt = parts.repartition("term", "doc_range").sortWithinPartitions("term", "doc_range")
+    return dealt.mapInArrow(tasks.merge_blocks, tasks.BLOCK_SCHEMA)
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(blocks: DataFrame, path: str) -> None:
+    """Store blocks by hash of their term, in order of terms, so that a search opens the folders of its terms."""
+    dealt = blocks.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod("doc_range", F.lit(SALTS)))
+    dealt.sortWithinPartitions("bucket", "term", "doc_range").write.partitionBy("bucket").parquet(path)
+
+
 def postings(
     docs: DataFrame, key: str, text: str = "text", wanted: DataFrame | None = None
 ) -> DataFrame:
     """Inverted index rows (term, document, positions, tf), of all terms or those in ``wanted`` (term)."""
-    words = tokenize(spread(docs.select(key, text)), key, text)
-    if wanted is not None:
-        words = words.join(wanted, "term", "left_semi")
-    return (
-        words.groupBy(key, "term")
-        .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        .withColumn("tf", F.size("positions").cast("bigint"))
-    )
+    schema = "term string, key bigint, positions array<bigint>, tf bigint"
+    return block_index(docs, key, text, wanted).mapInArrow(tasks.posting_rows, schema).withColumnRenamed("key", key)
+
+
+def _blocks(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The blocks of the wanted terms in an index of blocks or of ``postings`` rows."""
+    if "bucket" in index.columns:
+        folders = [r["bucket"] for r in wanted.select(_bucket(F.col("term")).alias("bucket")).distinct().collect()]
+        index = index.filter(F.col("bucket").isin(folders)).drop("bucket")
+    own = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    if "docs" in index.columns:
+        return own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tasks.pack_rows(batches)
+
+    rows = own.select("term", F.col(key).cast("bigint").alias("key"), F.col("positions").cast("array<bigint>").alias("positions"))
+    return _merged(rows.mapInArrow(run, tasks.BLOCK_SCHEMA))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_text") -> DataFrame:
@@ -52,18 +114,43 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
     )
 
 
-def rarest_terms(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, n_terms, term): each query's rarest term; a term in no document drops the query."""
-    found = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    per_query = wanted.join(found, "term", "left").groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_terms"),
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest"),
-    )
-    return per_query.filter(F.col("rarest.df") > 0).select(
-        "query_id", "n_terms", F.col("rarest.term").alias("term")
-    )
+class _Search:
+    """Queries with terms met with blocks: the ranges in which a query has all its terms, and its blocks there."""
+
+    def __init__(self, docs: DataFrame | None, queries: DataFrame, key: str, text: str, index: DataFrame | None):
+        self.key = key
+        self.wanted = checkpointed(queries.select(
+            F.col("query_id").cast("bigint").alias("query_id"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
+        ))
+        made = block_index(docs, key, text, self.wanted) if index is None else _blocks(index, key, self.wanted)
+        self.blocks = checkpointed(made)
+
+    def ranges(self) -> DataFrame:
+        """(query_id, doc_range, bound): ranges with all terms of a query; no document has more covers than bound."""
+        met = self.wanted.join(self.blocks.select("term", "doc_range", "max_tf"), "term")
+        per_term = met.groupBy("query_id", "n_terms", "doc_range", "term").agg(F.max("max_tf").alias("max_tf"))
+        return per_term.groupBy("query_id", "n_terms", "doc_range").agg(
+            F.count(F.lit(1)).alias("n"), F.min("max_tf").alias("bound")
+        ).filter("n = n_terms").select("query_id", "doc_range", "bound")
+
+    def _groups(self, ranges: DataFrame) -> DataFrame:
+        """(query_id, doc_range, n_terms, hits): the blocks of a query in a range, one per term."""
+        needed = ranges.select("query_id", "doc_range").join(self.wanted, "query_id")
+        hits = F.collect_list(F.struct("term", "docs", "tfs", "positions")).alias("hits")
+        return needed.join(self.blocks, ["term", "doc_range"]).groupBy("query_id", "doc_range", "n_terms").agg(hits)
+
+    def matches(self, ranges: DataFrame) -> DataFrame:
+        found = self._groups(ranges).mapInArrow(tasks.match_rows, tasks.MATCH_SCHEMA)
+        return found.withColumnRenamed("key", self.key)
+
+    def ranked(self, ranges: DataFrame) -> DataFrame:
+        """(query_id, document, n_covers, score) of all documents with all terms."""
+        weight = C.COVER_WEIGHT
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return tasks.rank_rows(batches, weight)
+
+        return self._groups(ranges).mapInArrow(run, tasks.RANK_SCHEMA).withColumnRenamed("key", self.key)
 
 
 def match_all_terms(
@@ -72,20 +159,11 @@ def match_all_terms(
 ) -> DataFrame:
     """(query, document, hits) where every query term occurs; ``hits`` are its terms with positions.
 
-    ``index`` is a stored ``postings`` table of the documents; without it the texts are read once, for
-    the terms of the queries.
+    ``index`` is a stored ``block_index`` (or ``postings``) of the documents; without it the texts are read
+    once, for the terms of the queries.
     """
-    wanted = checkpointed(queries.select("query_id", F.explode("terms").alias("term")))
-    if index is None:
-        index = checkpointed(postings(docs, key, text, wanted.select("term").distinct()))
-    driven = checkpointed(rarest_terms(index, wanted))
-    pairs = index.select(key, "term").join(driven, "term").select("query_id", key, "n_terms")
-    found = pairs.join(wanted, "query_id").join(index.select(key, "term", "positions"), [key, "term"])
-    # One entry per term of the query.
-    whole = found.groupBy("query_id", key, "n_terms").agg(
-        F.collect_list(F.struct("term", "positions")).alias("hits")
-    )
-    return whole.filter(F.size("hits") == F.col("n_terms")).select("query_id", key, "hits")
+    search = _Search(docs, queries, key, text, index)
+    return search.matches(search.ranges())
 
 
 def term_positions(matches: DataFrame, key: str) -> DataFrame:
@@ -134,21 +212,13 @@ def covers(positions: DataFrame, key: str) -> DataFrame:
     )
 
 
-def cover_density(positions: DataFrame, key: str) -> DataFrame:
-    """Rank per (query, document): sum over minimal covers of w / (1 + other words inside)."""
-    return covers(positions, key).groupBy("query_id", key).agg(
-        F.count(F.lit(1)).alias("n_covers"),
-        F.sum(F.lit(C.COVER_WEIGHT) / (1 + F.col("noise"))).alias("score"),
-    )
-
-
 def text_rank(
     docs: DataFrame | None, queries: DataFrame, key: str, text: str = "text",
     index: DataFrame | None = None,
 ) -> DataFrame:
-    """Cover-density rank of every document that has all terms of a query."""
-    matches = match_all_terms(docs, query_terms(queries), key, text, index)
-    return cover_density(term_positions(matches, key), key)
+    """Rank per (query, document) that has all terms: sum over minimal covers of w / (1 + other words inside)."""
+    search = _Search(docs, query_terms(queries), key, text, index)
+    return search.ranked(search.ranges())
 
 
 def text_search(
@@ -157,34 +227,43 @@ def text_search(
 ) -> DataFrame:
     """Top ``depth`` transcript chunks per query over active files and libraries.
 
-    chunks: asset_id, file_id, asset_type, start_s, end_s, scene_id, text_content; ``index``: stored
-    ``postings`` of them by asset_id, with which no text is read; ``filters``: query_id, library_ids,
+    chunks: asset_id, file_id, asset_type, start_s, end_s, scene_id, text_content; ``index``: a stored
+    ``block_index`` of them by asset_id, with which no text is read; ``filters``: query_id, library_ids,
     media_types, of which a null admits everything. Filters act before the depth is cut.
     """
     live_files = files.filter(~F.col("is_deleted")).select(
         "file_id", "library_id", "media_type", "path"
     )
     live_libraries = libraries.filter(~F.col("is_deleted")).select("library_id")
-    columns = ["asset_id", "file_id", "scene_id", "start_s", "end_s"]
-    texts = chunks.filter(F.col("asset_type") == "text_chunk").select(
-        *columns, *(["text_content"] if index is None else [])
-    )
-    live = (
-        texts.join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
+    spoken = chunks.filter(F.col("asset_type") == "text_chunk")
+    # Texts are packed where they are read; only ids meet the catalogue.
+    search = _Search(spoken if index is None else None, query_terms(queries), "asset_id", "text_content", index)
+    facts = (
+        spoken.select("asset_id", "file_id", "scene_id", "start_s", "end_s")
+        .join(live_files.filter(F.col("media_type").isin("image", "audio", "video")), "file_id")
         .join(live_libraries, "library_id", "left_semi")
     )
-    ranked = text_rank(live, queries, "asset_id", "text_content", index).withColumn(
-        "score", F.round("score", 6)
-    )
-    facts = live.select(*columns, "library_id", "media_type", "path")
-    hits = ranked.join(facts, "asset_id")
-    if filters is not None:
-        hits = admitted(hits, filters)
-    top = top_per_group(
-        hits.drop("library_id"), ["query_id"],
-        [F.desc("score"), F.asc_nulls_last("start_s"), F.asc("asset_id")], depth, "channel_rank",
-        SALTS,
-    )
+
+    def best(ranges: DataFrame, above: DataFrame | None = None) -> DataFrame:
+        hits = search.ranked(ranges).withColumn("score", F.round("score", 6)).join(facts, "asset_id")
+        if filters is not None:
+            hits = admitted(hits, filters)
+        hits = hits.drop("library_id")
+        return top_per_group(
+            hits if above is None else above.drop("channel_rank").unionByName(hits), ["query_id"],
+            [F.desc("score"), F.asc_nulls_last("start_s"), F.asc("asset_id")], depth, "channel_rank", SALTS,
+        )
+
+    ranges = checkpointed(search.ranges())
+    first = checkpointed(top_per_group(ranges, ["query_id"], [F.desc("bound"), F.asc("doc_range")], FIRST_RANGES, salts=SALTS))
+    top = best(first)
+    rest = ranges.join(first, ["query_id", "doc_range"], "left_anti")
+    if not rest.isEmpty():
+        top = checkpointed(top)
+        reached = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= depth)
+        # Scores are rounded, so a bound within that of the last one may still reach it.
+        within = F.col("bound") * C.COVER_WEIGHT + 1e-6 >= F.coalesce("least", F.lit(0.0))
+        top = best(rest.join(reached, "query_id", "left").filter(within), top)
     # The depth counts every chunk; only speech of audio and video gives a reason afterwards.
     return top.filter(F.col("media_type").isin("audio", "video")).withColumn(
         "reason", F.lit("transcript_match")

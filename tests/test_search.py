@@ -198,6 +198,97 @@ def test_covers_equal_definition(spark):
     assert {k: sorted(v) for k, v in found.items()} == expected
 
 
+def test_packing_gives_back_what_went_in():
+    tasks = text_search.tasks
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**40, 5] * 3)
+    data, lengths = tasks.packed(values)
+    assert tasks.unpacked(data.tobytes()).tolist() == values.tolist() and lengths.sum() == len(data)
+    assert tasks.unpacked(b"").tolist() == []
+    rng = np.random.default_rng(5)
+    n = 5000
+    term, pos = rng.integers(0, 7, n), rng.integers(1, 300, n)
+    doc = rng.integers(-3, 4, n) * (1 << tasks.RANGE_BITS) + rng.integers(0, 50, n)
+    import pyarrow as pa
+
+    rows = tasks.blocks_of(pa.array(list("abcdefg")), term, doc, pos).to_pylist()
+    back = [(r["term"], d, p) for r in rows for d, p in zip(
+        *(a.tolist() for a in tasks.occurrences(r["doc_range"], r["docs"], r["tfs"], r["positions"])), strict=True)]
+    assert sorted(back) == sorted(("abcdefg"[t], d, p) for t, d, p in zip(term.tolist(), doc.tolist(), pos.tolist(), strict=True))
+    assert len({(r["term"], r["doc_range"]) for r in rows}) == len(rows)
+
+
+def test_rank_equals_covers_by_definition(spark, monkeypatch):
+    """Scores of the blocks against the windows over positions, with ranges of four documents."""
+    monkeypatch.setattr(text_search.tasks, "RANGE_BITS", 2)
+    rng = random.Random(7)
+    docs = [(d, " ".join(rng.choice("abcdexyz") for _ in range(rng.randint(0, 60)))) for d in range(40)] + [(None, "a")]
+    queries = [(1, "a"), (2, "a b"), (3, "b c a"), (4, "a b c d"), (5, "q"), (6, "a A a"), (7, "!")]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    queries_df = spark.createDataFrame(queries, "query_id int, query_text string")
+    matches = text_search.match_all_terms(docs_df, text_search.query_terms(queries_df), "doc_id")
+    by_windows = {}
+    for r in text_search.covers(text_search.term_positions(matches, "doc_id"), "doc_id").collect():
+        by_windows.setdefault((r.query_id, r.doc_id), []).append(0.1 / (1 + r.noise))
+    ranked = {(r.query_id, r.doc_id): (r.n_covers, r.score) for r in text_search.text_rank(docs_df, queries_df, "doc_id").collect()}
+    assert ranked.keys() == by_windows.keys() and len(ranked) > 100
+    for key, parts in by_windows.items():
+        assert ranked[key] == (len(parts), pytest.approx(sum(parts)))
+
+
+def test_postings_exchange_no_tokens(spark):
+    docs = spark.createDataFrame([(i, f"a b{i} a") for i in range(50)], "doc_id long, text string")
+    index = text_search.postings(docs, "doc_id")
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning(term") == 1
+    rows = {(r.term, r.doc_id): (r.positions, r.tf) for r in index.collect()}
+    assert rows[("a", 7)] == ([1, 3], 2) and len(rows) == 100
+
+
+def test_early_cut_equals_the_full_result(spark, tmp_path, monkeypatch):
+    """Many ranges, a word in every document: few ranges are scored, the page is the same."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(800):
+        words = [rng.choice("uvwxyz") for _ in range(rng.randint(1, 12))] + ["all"] * (1 + (i % 97 == 0) * 6 + (i % 5 == 0))
+        rng.shuffle(words)
+        rows.append((i, i % 4, "text_chunk", None, float(i % 7), 1.0, " ".join(words)))
+    chunks = spark.createDataFrame(
+        rows, "asset_id long, file_id long, asset_type string, scene_id string, start_s double, end_s double, text_content string"
+    )
+    files = spark.createDataFrame(
+        [(f, "l0", "video", "p", f == 3) for f in range(4)], "file_id long, library_id string, media_type string, path string, is_deleted boolean"
+    )
+    libraries = spark.createDataFrame([("l0", False)], "library_id string, is_deleted boolean")
+    queries = spark.createDataFrame([(1, "all"), (2, "all u"), (3, "v w"), (4, "nowhere")], "query_id long, query_text string")
+
+    def page(bits, index=None):
+        monkeypatch.setattr(text_search.tasks, "RANGE_BITS", bits)
+        found = text_search.text_search(chunks, files, libraries, queries, 6, index)
+        return sorted((r.query_id, r.channel_rank, r.asset_id, r.score) for r in found.collect())
+
+    whole = page(14)
+    assert len(whole) == 18 and page(3) == whole
+    text_search.write_index(text_search.block_index(chunks, "asset_id", "text_content"), f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert page(3, index) == whole
+    looked = []
+    ranked = text_search._Search.ranked
+    monkeypatch.setattr(text_search._Search, "ranked", lambda self, ranges: looked.append(ranges.filter("query_id = 1").count()) or ranked(self, ranges))
+    page(3, index)
+    assert 8 <= sum(looked) <= 12  # of the 100 ranges of the word in every document
+
+
+def test_search_opens_the_folders_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(300)], "doc_id long, text string")
+    text_search.write_index(text_search.block_index(docs, "doc_id"), f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    wanted = spark.createDataFrame([("w5",)], "term string")
+    own = text_search._blocks(index, "doc_id", wanted)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert len(list((tmp_path / "index").glob("bucket=*"))) > 40 and own.count() == 1
+
+
 def test_single_term_rank_is_weight_times_frequency(spark):
     docs = spark.createDataFrame([(1, "x a a y a")], "doc_id int, text string")
     query = spark.createDataFrame([(1, "A")], "query_id int, query_text string")
