@@ -5,7 +5,10 @@ in at most ``BUDGET`` bits, some segment starts a chain whose first l segments d
 l * BUDGET / SEGMENTS bits, for every l. For three segments and two bits: the first segment is equal,
 the first two differ in at most one bit, all three in at most two. So a fingerprint stays a candidate
 only if, for some start, another one shares the first segment (chain length 1) and then also the second
-one up to one bit (chain length 2); everything else is pruned.
+one up to one bit (chain length 2); everything else is pruned. The second length is met in two steps: up to
+one bit, one half of the second segment is equal too, so fingerprints first meet in the first segment with
+a half of the next (31 to 33 bits, two rows each, so that few meet by accident), and only those that do are
+compared without each bit of the second segment.
 
 Full check: candidates of one chain start differ only in the other 43 bits. Two of them are within two
 bits exactly if flipping at most one of those bits in each gives the same value, so each candidate sends
@@ -84,18 +87,20 @@ def _met(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(shared.where("low <> high").select(*key), list(key), "left_semi")
 
 
-def _bits(value, start: int, width: int):
-    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp``; joined up, exactly those within ``BUDGET`` bits."""
     edges = []
     offsets = [sum(SEGMENTS[:i]) for i in range(3)]
     for i in range(3):
         second, third = (i + 1) % 3, (i + 2) % 3
-        # Chain of length 1: the first segment is equal.
-        first = _met(distinct.select("fp", _bits(F.col("fp"), offsets[i], SEGMENTS[i]).alias("seg")), "seg")
+        # Chain of length 1, with the half of the next segment that a chain of length 2 leaves equal.
+        cut = SEGMENTS[second] // 2
+        parts = [((1 << cut) - 1) << offsets[second], ((1 << (SEGMENTS[second] - cut)) - 1) << (offsets[second] + cut)]
+        halves = [part | ((1 << SEGMENTS[i]) - 1) << offsets[i] for part in parts]
+        half = distinct.select("fp", F.explode(_longs(halves)).alias("half")).withColumn(
+            "key", F.col("fp").bitwiseAND(F.col("half"))
+        )
+        first = _met(half, "key", "half").select("fp").distinct()
         # Chain of length 2: the second segment differs in at most one bit, so it is equal without it.
         masks = [1 << (offsets[second] + b) for b in range(SEGMENTS[second])]
         two = _long(sum(((1 << SEGMENTS[s]) - 1) << offsets[s] for s in (i, second)))
