@@ -6,12 +6,16 @@ works on short blocks of a file rather than on the file as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
 from reelquery.functions import identifiers as ids
 from reelquery.functions.formatting import fmt_g
+from reelquery.operators import chunk_tasks
 from reelquery.operators.ordered import OrderedScan, has_large_groups, numbered
 from reelquery.session import checkpointed
 
@@ -392,30 +396,6 @@ def caption_inputs(
 # --- transcript chunks ---------------------------------------------------------------------------
 
 
-def _fold_block(items: Column, entry: Column, min_seconds: float, max_seconds: float) -> Column:
-    """Walk one block of segments from an open chunk (or none) and mark each segment with the
-    first segment of its chunk. Result: struct(open, marks)."""
-    nothing = F.lit(None).cast("struct<seq:bigint,start_s:double>")
-    zero = F.struct(
-        entry.alias("open"), F.array().cast("array<struct<seq:bigint,first:bigint>>").alias("marks")
-    )
-
-    def step(state: Column, item: Column) -> Column:
-        opened = F.coalesce(
-            state["open"], F.struct(item["seq"].alias("seq"), item["start_s"].alias("start_s"))
-        )
-        long_enough = item["end_s"] - opened["start_s"] >= min_seconds
-        last = item["next_end"].isNull()
-        closes = long_enough & (last | (item["next_end"] - opened["start_s"] > max_seconds))
-        mark = F.struct(item["seq"].alias("seq"), opened["seq"].alias("first"))
-        return F.struct(
-            F.when(F.coalesce(closes, F.lit(False)), nothing).otherwise(opened).alias("open"),
-            F.concat(state["marks"], F.array(mark)).alias("marks"),
-        )
-
-    return F.aggregate(items, zero, step)
-
-
 def chunk_transcript(
     segments: DataFrame, min_seconds: float = C.CHUNK_MIN_SECONDS,
     max_seconds: float = C.CHUNK_MAX_SECONDS, block: int = FOLD_BLOCK, large: bool | None = None,
@@ -423,55 +403,33 @@ def chunk_transcript(
     """Greedy chunks: one closes once it lasts ``min_seconds`` and the next segment would take it
     past ``max_seconds``, or at the end of the file.
 
-    The fold depends on where the chunk before ended. Files are cut into blocks of ``block``
-    segments; each block is folded from an assumed open chunk, and a block whose predecessor
-    ended differently is folded again, until nothing changes. Greedy chunking falls into step
-    within a few segments, so few blocks need a second pass. segments: file_id, seq, start_s,
-    end_s, segment_text.
+    Where a chunk begins depends on where the one before ended. Files are cut into blocks of ``block``
+    segments; each block says which states (open chunks) it can hand on, wherever a chunk begins in it,
+    and maps the states it may be entered in to those behind it. The maps are composed by doubling, so
+    the states in which a file's blocks are really entered are known after as many rounds as the
+    number of blocks has binary digits; then each block is cut on its own. A chunk that spans whole blocks
+    takes a round more for each of them. segments: file_id, seq, start_s, end_s, segment_text.
     """
     text = F.regexp_replace("segment_text", r"^\s+|\s+$", "")
     valid = (
-        segments.select("file_id", "seq", "start_s", "end_s", text.alias("segment_text"))
+        segments.select("file_id", F.col("seq").cast("bigint").alias("seq"), "start_s", "end_s", text.alias("segment_text"))
         .filter((F.col("end_s") > F.col("start_s")) & (F.col("segment_text") != ""))
     )
-    if large is None:
-        large = has_large_groups(valid, ["file_id"])
     walked = OrderedScan(
         ["file_id"], ["seq"], number="rn", following={"next_end": F.col("end_s")}
     ).run(valid, large)
-    blocks = (
+    blocks = checkpointed(
         walked.withColumn("block", F.floor((F.col("rn") - 1) / block))
         .groupBy("file_id", "block")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("seq", "start_s", "end_s", "next_end"))
+                F.collect_list(F.struct("rn", "seq", "start_s", "end_s", "next_end"))
             ).alias("items")
         )
     )
-    nothing = F.lit(None).cast("struct<seq:bigint,start_s:double>")
-    fold = _fold_block(F.col("items"), F.col("entry"), min_seconds, max_seconds)
-    state = blocks.withColumn("entry", nothing).withColumn("fold", fold)
-    if valid_blocks := _has_second_block(blocks):
-        state = checkpointed(state)
-    while valid_blocks:
-        before = OrderedScan(
-            ["file_id"], ["block"], previous={"wanted": F.col("fold.open")}
-        ).run(state, large)
-        differs = ~F.col("entry").eqNullSafe(F.col("wanted"))
-        # Only blocks entered differently are folded again; the rest keep their result.
-        state = checkpointed(
-            before.withColumn("entry_changed", differs)
-            .withColumn("entry", F.when(differs, F.col("wanted")).otherwise(F.col("entry")))
-            .withColumn("fold", F.when(F.col("entry_changed"), fold).otherwise(F.col("fold")))
-            .drop("wanted")
-        )
-        if state.filter("entry_changed").isEmpty():
-            break
-        state = state.drop("entry_changed")
-    marks = state.select("file_id", F.explode("fold.marks").alias("m")).select(
-        "file_id", "m.seq", "m.first"
-    )
-    joined = valid.join(marks, ["file_id", "seq"])
+    entered = _entered_states(blocks, min_seconds, max_seconds)
+    marks = _per_block(blocks.join(entered, ["file_id", "block"]), chunk_tasks.marks, chunk_tasks.MARKS, min_seconds, max_seconds)
+    joined = valid.join(marks.drop("block"), ["file_id", "seq"])
     words = F.transform(
         F.sort_array(F.collect_list(F.struct("seq", "segment_text"))), lambda s: s["segment_text"]
     )
@@ -487,5 +445,50 @@ def chunk_transcript(
     )
 
 
-def _has_second_block(blocks: DataFrame) -> bool:
-    return not blocks.filter(F.col("block") > 0).select("block").isEmpty()
+def _per_block(rows: DataFrame, task, columns: str, *limits: float) -> DataFrame:
+    """Rows of ``task(batches, limits)`` behind the file and block they belong to."""
+    kind = rows.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return task(batches, *limits)
+
+    return rows.mapInArrow(run, f"file_id {kind}, block bigint, {columns}")
+
+
+def _entered_states(blocks: DataFrame, *limits: float) -> DataFrame:
+    """(file_id, block, rn, start_s): the state in which each block is entered; rn 0: no chunk is open."""
+    node = ["file_id", "block", "rn"]
+    begin = blocks.filter("block = 0").select("file_id", "block", F.lit(0).cast("bigint").alias("rn"), F.lit(0.0).alias("start_s"))
+    later = blocks.filter("block > 0")
+    n_blocks = later.agg(F.max("block")).first()[0]
+    if n_blocks is None:
+        return begin
+    exits = _per_block(blocks, chunk_tasks.exits, chunk_tasks.EXITS, *limits)
+    entries = exits.withColumn("block", F.col("block") + 1).unionByName(begin)
+    steps, known = None, None
+    while True:
+        # Chunks that stay open through a whole block may enter the next in a state not met before.
+        lists = entries.groupBy("file_id", "block").agg(F.collect_set(F.struct("rn", "start_s")).alias("entries"))
+        new = checkpointed(_per_block(blocks.join(lists, ["file_id", "block"]), chunk_tasks.steps, chunk_tasks.STEPS, *limits))
+        steps = new if steps is None else steps.unionByName(new)
+        known = new.select(*node) if known is None else known.unionByName(new.select(*node))
+        reached = new.select("file_id", (F.col("block") + 1).alias("block"), F.col("to_rn").alias("rn"), F.col("to_start_s").alias("start_s"))
+        entries = checkpointed(
+            reached.distinct().join(blocks.select("file_id", "block"), ["file_id", "block"], "left_semi").join(known, node, "left_anti")
+        )
+        if entries.isEmpty():
+            break
+    # ``jump``: where a state leads after 1, 2, 4 ... blocks; states visited so far take that jump in each round.
+    visited = begin
+    jump = steps.select(*node, (F.col("block") + 1).alias("to_block"), "to_rn", "to_start_s")
+    for _ in range(int(n_blocks).bit_length()):
+        landed = visited.select(*node).join(jump, node).select(
+            "file_id", F.col("to_block").alias("block"), F.col("to_rn").alias("rn"), F.col("to_start_s").alias("start_s")
+        )
+        visited = checkpointed(visited.unionByName(landed))
+        onward = jump.select("file_id", F.col("block").alias("from_block"), F.col("rn").alias("from_rn"),
+                             F.col("to_block").alias("block"), F.col("to_rn").alias("rn"))
+        jump = checkpointed(onward.join(jump, node).select(
+            "file_id", F.col("from_block").alias("block"), F.col("from_rn").alias("rn"), "to_block", "to_rn", "to_start_s"
+        ))
+    return visited

@@ -110,6 +110,21 @@ def test_blocked_chunks_equal_loop(spark, block, large):
     assert chunks(found) == {f: c for f, c in expected.items() if c}
 
 
+def test_rounds_grow_with_the_logarithm_of_blocks(spark, monkeypatch):
+    """Segments of equal length never fall into step; a chunk of very many short ones spans whole blocks."""
+    rounds = []
+    stored = temporal.checkpointed
+    monkeypatch.setattr(temporal, "checkpointed", lambda df: rounds.append(1) or stored(df))
+    equal = [(5.0 * i, 5.0 * i + 5.0, f"w{i}") for i in range(400)]
+    odd = [(7.0 * i, 7.0 * i + 7.0, "x") for i in range(95)]
+    given = {1: equal, 2: odd, 3: [(0.0, 3.0, "a")]}
+    found = temporal.chunk_transcript(segments(spark, given), block=8, large=False)
+    assert chunks(found) == {f: loop_chunks(items) for f, items in given.items()}
+    assert len(rounds) <= 3 + 2 * 6  # 50 blocks
+    short = [(0.3 * i, 0.3 * i + 0.3, "s") for i in range(260)]
+    assert chunks(temporal.chunk_transcript(segments(spark, {1: short}), block=16, large=False)) == {1: loop_chunks(short)}
+
+
 def test_uniform_pick(spark):
     pick = lambda n, m: spark.range(1).select(
         temporal.uniform_pick(F.sequence(F.lit(1), F.lit(n)), m).alias("p")).first().p
