@@ -109,6 +109,9 @@ def variant_hits(
     and library_ids on the queries (null: all), only those libraries are searched. Score is the raw cosine of
     unit vectors, rounded (see ``topk_tasks``). Points no query can score are in ``unscorable``.
     """
+    if "library_ids" in queries.columns and "library_id" not in points.columns:
+        raise ValueError("queries name libraries, but points have no library_id")
+
     def task(batches, block):
         return tasks.best_hits(batches, block, depth)
 

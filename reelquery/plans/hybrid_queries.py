@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from reelquery import constants as C
@@ -271,16 +269,20 @@ changed_views("_asked", {
 })
 
 
-@query(
-    "requested_search",
-    f"""
-    SELECT query_id, position, file_id, asset_id, scene_id, start_s, end_s, score, primary_reason,
+PAGE = """SELECT query_id, position, file_id, asset_id, scene_id, start_s, end_s, score, primary_reason,
       merged_asset_ids
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id,
-      start_s NULLS LAST, asset_id) AS position FROM v_results_scored_asked)
-    WHERE position > {_OF_QUERY['start']} AND position <= {_OF_QUERY['start']} + {_OF_QUERY['page']}""",
-)
-def requested_search(t):
+      start_s NULLS LAST, asset_id) AS position FROM {view})"""
+
+
+def page_columns(results):
+    return results.select(
+        "query_id", "position", "file_id", "asset_id", "scene_id", "start_s", "end_s", "score",
+        "primary_reason", F.array_join("merged_asset_ids", ",").alias("merged_asset_ids"),
+    )
+
+
+def requests_of(t):
     """Every query with libraries, media types, channels and a page of its own."""
     q = F.col("query_id")
     numbers = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda n: n % 3 != q % 3)
@@ -289,21 +291,84 @@ def requested_search(t):
         *[F.when((q % 4 != 3) | F.lit(name == C.CAPTION_CHANNEL), F.lit(name)) for name in C.COLLECTIONS],
         F.when(q % 5 != 4, F.lit(C.TEXT_CHANNEL)),
     ))
-    requests = t.v_queries.select("query_id").distinct().select(
+    return t.v_queries.select("query_id").distinct().select(
         "query_id", F.when(q % 3 != 0, of_third).alias("library_ids"),
         F.when(q % 2 != 0, F.array(F.lit("video"), F.lit("audio"))).alias("media_types"),
         F.when((q % 4 == 3) | (q % 5 == 4), some).alias("channels"),
         (5 + q % 3 * 10).alias("page_limit"), (q % 2 * 3).alias("page_offset"),
     )
-    points = t.v_points.join(t.v_refs.select("collection", "point_id", "library_id"), ["collection", "point_id"])
-    known = replace(catalogue(t), points=points)
-    results = search.requested_search(known, t.v_queries, search_texts(t), requests)
-    return results.select(
-        "query_id", "position", "file_id", "asset_id", "scene_id", "start_s", "end_s", "score",
-        "primary_reason", F.array_join("merged_asset_ids", ",").alias("merged_asset_ids"),
+
+
+@query(
+    "requested_search",
+    f"""{PAGE.format(view='v_results_scored_asked')}
+    WHERE position > {_OF_QUERY['start']} AND position <= {_OF_QUERY['start']} + {_OF_QUERY['page']}""",
+)
+def requested_search(t):
+    return page_columns(search.requested_search(catalogue(t), t.v_queries, search_texts(t), requests_of(t)))
+
+
+@query(
+    "requested_search_rrf",
+    f"""
+    SELECT query_id, rank, candidate_key, score, primary_signal
+    FROM ({FUSED.replace("v_candidates", "v_candidates_asked")})
+    WHERE rank > {_OF_QUERY['start']} AND rank <= {_OF_QUERY['start']} + {_OF_QUERY['page']}""",
+)
+def requested_search_rrf(t):
+    """The same requests by reciprocal rank."""
+    found = search.requested_search_rrf(catalogue(t), t.v_queries, search_texts(t), requests_of(t))
+    return found.select("query_id", "rank", "candidate_key", "score", "primary_signal")
+
+
+# Odd queries are translated: the first variant is the original, the second the translation.
+changed_views("_routed", {
+    "v_scored": [
+        ("q.weight,", "CASE WHEN q.query_id % 2 = 1 AND p.collection <> 'caption_text_vectors' THEN CAST(1 AS DOUBLE) "
+                      "ELSE q.weight END AS weight,"),
+        ("CROSS JOIN v_queries q", "CROSS JOIN v_queries q WHERE q.query_id % 2 = 0 OR "
+                                   "(p.collection = 'caption_text_vectors') = (q.variant_order = 0)"),
+    ],
+})
+
+
+def translated(t):
+    nothing = F.lit(None).cast("array<string>")
+    return t.v_queries.select("query_id").distinct().select(
+        "query_id", nothing.alias("library_ids"), nothing.alias("media_types"), nothing.alias("channels"),
+        F.lit(20).alias("page_limit"), F.lit(0).alias("page_offset"),
+        F.when(F.col("query_id") % 2 == 1, "translate").otherwise("expand").alias("mode"),
     )
 
 
+@query("routed_search", f"{PAGE.format(view='v_results_scored_routed')} WHERE position <= 20")
+def routed_search(t):
+    """Variants routed to the channels whose model reads their language."""
+    return page_columns(search.requested_search(catalogue(t), t.v_queries, search_texts(t), translated(t)))
+
+
+@query(
+    "search_diagnostics",
+    """
+    SELECT h.query_id, h.collection, h.point_id, h.source_rank, e.variant_order,
+      concat('text ', e.variant_order, ' of ', h.query_id) AS variant_text,
+      CASE WHEN e.variant_order = 0 THEN 'original' ELSE 'expansion' END AS source,
+      e.weight, e.score, e.score * e.weight AS weighted_score, e.win AS winning
+    FROM v_hydrated_routed h JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, collection,
+        identity ORDER BY score * weight DESC, variant_order) = 1 AS win FROM v_hits_routed) e
+      USING (query_id, collection, point_id)""",
+)
+def search_diagnostics(t):
+    """The variants behind every hit, with their texts, weights and raw scores."""
+    order = F.col("variant_order")
+    queries = t.v_queries.withColumns({
+        "variant_text": F.concat(F.lit("text "), order.cast("string"), F.lit(" of "), F.col("query_id").cast("string")),
+        "source": F.when(order == 0, "original").otherwise("expansion"),
+    })
+    found = search.diagnostics(catalogue(t), queries, translated(t), DEPTH)
+    return found.select("query_id", "collection", "point_id", "source_rank", F.inline("variant_hits"))
+
+
 VARIANTS = """
     SELECT conv_id AS query_id, turn AS variant_order,
       CASE WHEN turn % 4 = 3 THEN '  ' ELSE concat(' ', role, ' ', turn % 3) END AS variant_text,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ class Catalogue:
     libraries: DataFrame
     scenes: DataFrame
     chunks: DataFrame
-    #: Stored postings of the chunks, if there are any.
+    #: Stored blocks of postings of the chunks (``text_search.block_index``), if there are any.
     index: DataFrame | None = None
 
 
@@ -118,9 +118,13 @@ def hybrid_search(
 def routed(queries: DataFrame, requests: DataFrame) -> DataFrame:
     """Query rows for the channels their request asks for, with its libraries.
 
-    Rows that name a collection are kept if it is asked for; others are repeated for every asked one.
+    Rows that name a collection are kept if it is asked for; others are repeated for every asked one. Requests
+    may have a ``mode``: where it is ``translate``, captions are searched with the original text alone and the
+    visual channels with the translation alone, at weight 1. A row is an original if its ``source`` says so
+    or, without that column, if its variant_order is 0.
     """
-    own = requests.select("query_id", "library_ids", "channels")
+    mode = F.col("mode") if "mode" in requests.columns else F.lit(None).cast("string")
+    own = requests.select("query_id", "library_ids", "channels", mode.alias("_mode"))
     asked = F.coalesce("channels", F.array(*map(F.lit, C.COLLECTIONS)))
     known = queries.join(own, "query_id").withColumn(
         "_asked", F.array_intersect(asked, F.array(*map(F.lit, C.COLLECTIONS)))
@@ -132,18 +136,29 @@ def routed(queries: DataFrame, requests: DataFrame) -> DataFrame:
         ))
     else:
         known = known.withColumn("collection", F.explode("_asked"))
-    return known.drop("_asked", "channels")
+    original = F.col("source") == "original" if "source" in queries.columns else F.col("variant_order") == 0
+    captions, translated = F.col("collection") == C.CAPTION_CHANNEL, F.coalesce(F.col("_mode") == "translate", F.lit(False))
+    known = known.filter(~translated | (captions == F.coalesce(original, F.lit(False)))).withColumn(
+        "weight", F.when(translated & ~captions, F.lit(1.0)).otherwise(F.col("weight"))
+    )
+    return known.drop("_asked", "channels", "_mode")
 
 
-def requested_search(
+def _with_libraries(catalogue: Catalogue, requests: DataFrame) -> Catalogue:
+    """Points with the library of their ref, if requests ask for libraries and points do not name theirs."""
+    if "library_id" in catalogue.points.columns:
+        return catalogue
+    if requests.filter(F.col("library_ids").isNotNull()).isEmpty():
+        return replace(catalogue, points=catalogue.points.withColumn("library_id", F.lit(None).cast("string")))
+    of_point = catalogue.refs.select("collection", "point_id", "library_id")
+    return replace(catalogue, points=catalogue.points.join(of_point, ["collection", "point_id"]))
+
+
+def _requested_rows(
     catalogue: Catalogue, queries: DataFrame, text_queries: DataFrame, requests: DataFrame
 ) -> DataFrame:
-    """Ranked page per request, each with its own filters, channels and page.
-
-    requests: query_id, library_ids, media_types, channels (null: all), page_limit, page_offset.
-    Libraries are filtered before the depth is cut (points carry ``library_id``), media types when facts
-    are joined. Channels are cut at each request's own depth.
-    """
+    """Hits of all channels, each cut at the depth of its request."""
+    catalogue = _with_libraries(catalogue, requests)
     limits = requests.select(
         "query_id", scoring.source_limit(F.col("page_limit"), F.col("page_offset")).alias("own_depth")
     )
@@ -157,13 +172,65 @@ def requested_search(
     )
     texts = text_queries.join(speaks.select("query_id"), "query_id", "left_semi")
     everywhere = requests.withColumn("library_ids", F.lit(None).cast("array<string>"))
-    rows = channel_union(
+    return channel_union(
         hydrated_hits(catalogue, hits, everywhere), cut(text_hits(catalogue, texts, depth, requests))
     )
-    found = checkpointed(hybrid.as_candidates(rows))
+
+
+def requested_search(
+    catalogue: Catalogue, queries: DataFrame, text_queries: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """Ranked page per request, each with its own filters, channels and page.
+
+    requests: query_id, library_ids, media_types, channels (null: all), page_limit, page_offset and,
+    for queries in two languages, mode (see ``routed``). Libraries are filtered before the depth is cut,
+    media types when facts are joined. Channels are cut at each request's own depth.
+    """
+    found = checkpointed(hybrid.as_candidates(_requested_rows(catalogue, queries, text_queries, requests)))
     return hybrid.page(hybrid.hybrid_results(found), requests)
 
 
+def requested_search_rrf(
+    catalogue: Catalogue, queries: DataFrame, text_queries: DataFrame, requests: DataFrame
+) -> DataFrame:
+    """The same requests fused by reciprocal rank, each with its own page."""
+    fused = ranking.rrf_fuse(channel_ranks(_requested_rows(catalogue, queries, text_queries, requests)), large=False)
+    pages = requests.select("query_id", "page_limit", "page_offset")
+    return fused.join(pages, "query_id").filter(
+        (F.col("rank") > F.col("page_offset")) & (F.col("rank") <= F.col("page_offset") + F.col("page_limit"))
+    ).drop("page_limit", "page_offset")
+
+
+def diagnostics(
+    catalogue: Catalogue, queries: DataFrame, requests: DataFrame, depth: int = C.MAX_SOURCE_LIMIT
+) -> DataFrame:
+    """Every vector hit with its rank, its caption and the query variants that found it.
+
+    (query_id, collection, point_id, source_rank, caption_text, prompt_version, variant_hits), the last one a
+    list of (variant_order, variant_text, source, weight, score, weighted_score, winning). queries may carry
+    variant_text and source; only variants really searched in a channel are listed. A list holds at most
+    one entry per variant of a query.
+    """
+    catalogue = _with_libraries(catalogue, requests)
+    searched = routed(queries, requests)
+    hits = checkpointed(vector_search.variant_hits(catalogue.points, searched, depth))
+    told = [
+        (F.col(c) if c in queries.columns else F.lit(None).cast("string")).alias(c) for c in ("variant_text", "source")
+    ]
+    texts = queries.select("query_id", "variant_order", *told).distinct()
+    entry = F.struct("variant_order", "variant_text", "source", "weight", "score", "weighted_score", "winning")
+    evidence = vector_search.variant_evidence(hits).join(texts, ["query_id", "variant_order"], "left").groupBy(
+        "query_id", "collection", "point_id"
+    ).agg(F.sort_array(F.collect_list(entry)).alias("variant_hits"))
+    best = vector_search.channel_top(hits, depth).select(
+        "query_id", "collection", "identity", "point_id", F.col("weighted_score").alias("score"), "channel_rank"
+    )
+    everywhere = requests.withColumn("library_ids", F.lit(None).cast("array<string>"))
+    return hydrated_hits(catalogue, best, everywhere).join(evidence, ["query_id", "collection", "point_id"]).select(
+        "query_id", "collection", "point_id", "source_rank", "caption_text", "prompt_version", "variant_hits"
+    )
+
+
 def channel_ranks(rows: DataFrame) -> DataFrame:
     """Rank of each result key per fusion signal: images by asset, videos by scene, and a
     transcript without a scene by its asset."""
