@@ -8,7 +8,7 @@ the dictionary or of what is around them; random keys have to be stored characte
 candidate is reported if it adds at least ``NOVELTY`` of the bytes that a random string of its length and
 alphabet would add in its place.
 
-Scale: each text is scanned where it is read; no exchange. The costly step runs on candidates only, and
+Scale: each text is scanned where it is read, in time that grows with its length; no exchange. The costly step runs on candidates only, and
 the text around them is bounded (``WINDOW`` characters on both sides).
 """
 
@@ -47,7 +47,9 @@ SENSITIVE = re.compile(
 SENSITIVE_PARTS = (
     "pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "client",
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
+#: Key-like characters, and how many a candidate has at least.
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}", re.ASCII)
 IDENTIFIERS = (
     "import return function class const static public private protected password passwd secret token "
     "api_key apikey access_key client_id client_secret authorization bearer credential username user "
@@ -109,18 +111,21 @@ def novel_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    ends = [b for _, b in runs]
     found: list[Span] = []
     last = 0
     for word in SENSITIVE.finditer(text):
         stop = text.find("\n", word.end(), word.end() + CONTEXT)
         stop = word.end() + CONTEXT if stop < 0 else stop
         at = max(word.end(), last)
-        while match := CANDIDATE.search(text, at):
-            a, b = match.span()
+        # The first run with enough characters behind the word, which may stand in it.
+        for k in range(bisect.bisect_left(ends, at + SHORTEST), len(runs)):
+            a, b = max(runs[k][0], at), ends[k]
             if a > stop:
                 break
-            at = last = b
-            value = match.group()
+            last = b
+            value = text[a:b]
             i = bisect.bisect_left(starts, b)
             if i and taken[i - 1][1] > a:
                 continue
