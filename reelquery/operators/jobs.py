@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +85,41 @@ def job_durations(jobs: DataFrame) -> DataFrame:
     )
 
 
-def approximate_durations(jobs: DataFrame, accuracy: int = 1000) -> DataFrame:
-    """Median and 95th percentile duration per type (sketch: mergeable, bounded state)."""
+#: Size of a quantile sketch, and the share of ranks its answers may be off by (99 % confidence, for this size).
+SKETCH_K = 800
+SKETCH_ERROR = 0.005
+
+
+def duration_sketches(jobs: DataFrame) -> DataFrame:
+    """(job_type, day, n, sketch): a quantile sketch of the durations of the jobs that finished on a day.
+
+    Sketches are of bounded size and merge, so a run adds the days it has seen to those kept from earlier runs.
+    """
     seconds = (F.unix_micros("finished_at") - F.unix_micros("created_at")) / 1_000_000
-    return jobs.filter(F.col("finished_at").isNotNull()).groupBy("job_type").agg(
-        F.percentile_approx(seconds, [0.5, 0.95], accuracy).alias("p50_p95")
+    done = jobs.filter(F.col("finished_at").isNotNull()).select(
+        "job_type", F.to_date("finished_at").alias("day"), seconds.alias("seconds")
+    )
+    return done.groupBy("job_type", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("seconds", SKETCH_K).alias("sketch")
     )
 
 
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, sketch): sketches of the same keys as one."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch")
+    )
+
+
+def duration_quantiles(sketches: DataFrame, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """(job_type, n, share, seconds) over all days of the sketches; ranks are off by ``SKETCH_ERROR`` at most."""
+    told = [
+        F.struct(F.lit(float(s)).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))).alias("seconds"))
+        for s in shares
+    ]
+    return merged_sketches(sketches, "job_type").select("job_type", "n", F.inline(F.array(*told)))
+
+
 CONFIRMED_TOOLS = ["export_clip", "create_index_job"]
 
 

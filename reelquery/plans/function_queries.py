@@ -114,6 +114,23 @@ def mean_pool(t):
     )
 
 
+@query(
+    "mean_pool_values",
+    """
+    SELECT label, pos - 1 AS pos, round(m / n, 6) AS value FROM (SELECT label, pos, avg(x) AS m,
+        sqrt(sum(avg(x) * avg(x)) OVER (PARTITION BY label)) AS n
+      FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1)
+        AS pos FROM embeddings WHERE embedding[1] > 0) GROUP BY label, pos)""",
+)
+def mean_pool_values(t):
+    """Every value of the pooled vectors."""
+    masked = t.embeddings.withColumn("mask", (F.col("embedding")[0] > 0).cast("int"))
+    pooled = vector_search.masked_mean_pool(masked, "label", "embedding", "mask")
+    return pooled.select("label", F.posexplode("embedding").alias("pos", "value")).select(
+        "label", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value")
+    )
+
+
 @query(
     "sample_times",
     """

@@ -8,6 +8,7 @@ from reelquery.operators import jobs as J
 from reelquery.operators import relations
 from reelquery.plans.join_queries import PATHS
 from reelquery.plans.registry import query
+from reelquery.session import checkpointed
 
 # The clock the log is looked at: the newest event.
 AS_OF = "(SELECT max(ts) FROM events)"
@@ -86,6 +87,31 @@ def job_durations(t):
     return J.job_durations(timed_jobs(t))
 
 
+@query(
+    "job_duration_percentiles",
+    """SELECT job_type, share, count(finished_at) AS n, true AS within_bound
+    FROM v_jobs, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) s(share)
+    WHERE finished_at IS NOT NULL GROUP BY job_type, share""",
+)
+def job_duration_percentiles(t):
+    """Percentiles from daily sketches kept between two runs, held against the exact ranks."""
+    jobs = timed_jobs(t)
+    even = F.pmod(F.xxhash64("job_id"), F.lit(2)) == 0
+    kept = checkpointed(J.duration_sketches(jobs.filter(even)))  # an earlier run
+    both = kept.unionByName(J.duration_sketches(jobs.filter(~even)))
+    told = J.duration_quantiles(J.merged_sketches(both, "job_type", "day"))
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("created_at")) / 1_000_000
+    done = jobs.filter(F.col("finished_at").isNotNull()).select("job_type", seconds.alias("exact"))
+    ranked = done.join(told, "job_type").groupBy("job_type", "share", "n").agg(
+        F.avg((F.col("exact") < F.col("seconds")).cast("double")).alias("below"),
+        F.avg((F.col("exact") <= F.col("seconds")).cast("double")).alias("up_to"),
+        (1 / F.count(F.lit(1))).alias("one"),
+    )
+    slack = J.SKETCH_ERROR + F.col("one")
+    within = (F.col("below") <= F.col("share") + slack) & (F.col("up_to") >= F.col("share") - slack)
+    return ranked.select("job_type", "share", "n", within.alias("within_bound"))
+
+
 @query(
     "tool_call_audit",
     """SELECT tool_name, status, count(*) AS n_calls, count(*) FILTER (tool_name IN ('export_clip',

@@ -15,7 +15,7 @@ LATENESS = "10 minutes"
 
 def _stamped_events(t):
     folder = f"{t.folder}/events[.]parquet"  # a pattern: a stream reads folders
-    return streams.file_stream(t.spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.file_stream(t.spark, folder, schema=t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(
@@ -38,7 +38,7 @@ def stream_dispatch(t):
     both.write.mode("overwrite").parquet(f"{base}/refs")
     pending.repartition(2).write.mode("append").parquet(f"{base}/refs")
     jobs = t.v_jobs.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    source = streams.file_stream(t.spark, f"{base}/refs", files_per_trigger=2)
+    source = streams.file_stream(t.spark, f"{base}/refs", files_per_trigger=2, schema=pending.schema)
     streams.dispatch_jobs(source, jobs, f"{base}/jobs", f"{base}/progress").awaitTermination()
     sent = t.spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/jobs")
     return sent.select("asset_id", "collection", "model_name", "model_version", "file_id")

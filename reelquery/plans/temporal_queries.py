@@ -103,6 +103,20 @@ def index_video_refs(t):
     )
 
 
+@query(
+    "indexed_run_counts",
+    f"""
+    SELECT file_id, count(DISTINCT scene_key) AS scenes_detected, count(*) AS assets_created,
+      count(*) AS vector_refs_created, count(*) AS frames_created
+    FROM (SELECT s.*, unnest(range(0, CAST(ceil((end_s - start_s) / 2.5::DOUBLE) AS BIGINT))) AS i
+      FROM ({INDEXED_SCENES}) s) GROUP BY file_id""",
+)
+def indexed_run_counts(t):
+    """Scenes, frames and vector refs that an indexing run made, each counted in its own table."""
+    built = temporal.index_video(t.v_cuts, t.v_cut_files)
+    return temporal.index_run_counts(built["assets"], built["refs"], built["scenes"])
+
+
 @query(
     "index_image",
     f"""

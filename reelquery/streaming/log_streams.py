@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelquery.operators.relations import REF_KEY, unattempted
+from reelquery.operators.relations import REF_KEY, last_attempts
 from reelquery.sources.files import scan_files_stream
 
 
-def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files as a stream, with the declared schema of what is there now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def file_stream(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """Parquet files as a stream with a declared ``schema``; without one, that of what is there now."""
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
@@ -34,47 +41,57 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+_NEVER = -(1 << 62)
+
+
+def _send(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One ref: sent if its first change in the batch came after the last attempt and after it was last sent."""
+    rows = pd.concat(list(frames))
+    first = rows.loc[rows["updated_us"].idxmin()]
+    sent_us = state.get[0] if state.exists else _NEVER
+    if max(int(first["attempt_us"]), sent_us) >= int(first["updated_us"]):
+        return
+    state.update((int(first["stamp_us"]),))
+    told = {name: [value] for name, value in zip(REF_KEY, key, strict=True)}
+    yield pd.DataFrame({**told, "file_id": pd.array([first["file_id"]], "Int64"), "stamp_us": [int(first["stamp_us"])]})
+
+
 def dispatch_jobs(
     refs: DataFrame, jobs: DataFrame, out: str, checkpoint: str, as_of: Column | None = None
 ) -> StreamingQuery:
     """New pending refs become embedding jobs once.
 
-    Each micro-batch keeps refs with no attempt since their last change, neither in the job log nor
-    in what earlier batches wrote. A batch writes its own folder and overwrites it when it is run
-    again, so a restart adds nothing twice.
+    Each micro-batch keeps refs with no attempt since their last change, neither in the job log nor sent
+    by this stream. When a ref was last sent is state under its key, kept with the stream's progress, so a batch
+    costs what it holds, however much was sent before. A batch writes its own folder and overwrites it when
+    it is run again, so a restart adds nothing twice.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
+    last = last_attempts(jobs)
+    keyed = refs.withColumn("_asset", F.col("asset_id").cast("string"))
+    same = keyed["_asset"] == last["asset_id"]
+    for name in REF_KEY[1:]:
+        same = same & (keyed[name] == last[name])
+    known = keyed.join(last.select(*REF_KEY, "last_attempt"), same, "left").select(
+        *[keyed[c] for c in REF_KEY], keyed["file_id"], F.unix_micros(keyed["updated_at"]).alias("updated_us"),
+        F.coalesce(F.unix_micros("last_attempt"), F.lit(_NEVER)).alias("attempt_us"), F.unix_micros(stamp).alias("stamp_us"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in refs.schema}
+    columns = ", ".join(f"{name} {kinds[name]}" for name in REF_KEY)
+    due = known.groupBy(*REF_KEY).applyInPandasWithState(
+        _send, f"{columns}, file_id bigint, stamp_us bigint", "sent_us bigint", "append", GroupStateTimeout.NoTimeout
+    )
 
     def dispatch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [*REF_KEY, "file_id", "updated_at"]
-        fresh = batch.select(*columns).groupBy(*REF_KEY).agg(
-            F.min_by("file_id", "updated_at").alias("file_id"),
-            F.min("updated_at").alias("updated_at"),
-        )
-        due = unattempted(fresh, jobs)
-        # Batches are numbered from 0, so earlier output exists from the second one on.
-        if batch_id > 0:
-            before = (
-                spark.read.option("recursiveFileLookup", "true")
-                .schema("batch_no bigint, asset_id bigint, collection string, model_name string, "
-                        "model_version string, file_id bigint, created_at timestamp")
-                .parquet(out)
-                .filter(F.col("batch_no") < batch_id)
-                .groupBy(*REF_KEY)
-                .agg(F.max("created_at").alias("sent_at"))
-            )
-            due = due.join(before, REF_KEY, "left").filter(
-                F.col("sent_at").isNull() | (F.col("sent_at") < F.col("updated_at"))
-            )
-        rows = due.select(
+        rows = batch.select(
             F.lit(batch_id).cast("bigint").alias("batch_no"), *REF_KEY, "file_id",
-            stamp.alias("created_at"),
+            F.timestamp_micros("stamp_us").alias("created_at"),
         )
         rows.write.mode("overwrite").parquet(f"{out}/batch-{batch_id:08d}")
 
     return (
-        refs.writeStream.foreachBatch(dispatch)
+        due.writeStream.foreachBatch(dispatch)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
