@@ -247,33 +247,75 @@ def agent_run_report(runs: DataFrame, events: DataFrame, calls: DataFrame) -> Da
     return runs.join(nested.unionByName(calls_nested), "run_id", "left")
 
 
+#: Windows in one node of the time tree before the node is split.
+HOT_NODE = 20_000
+
+
+def _tree_nodes(low: Column, high: Column) -> Column:
+    """(level, node) of the fewest nodes of a binary tree over whole numbers that cover low to high: at most two a level.
+
+    At level k a node is 2 ** k leaves. From the leaves up, a range that begins at an odd node gives that node
+    away, one that ends at an even node gives that one away, and the rest goes on at the next level.
+    """
+    def step(state: Column, k: Column) -> Column:
+        a, b = state["a"], state["b"]
+        first, last = (a <= b) & (F.pmod(a, F.lit(2)) == 1), (a <= b) & (F.pmod(b, F.lit(2)) == 0)
+        given = F.array_compact(F.array(
+            F.when(first, F.struct(k.alias("level"), a.alias("node"))),
+            F.when(last & ~(first & (a == b)), F.struct(k.alias("level"), b.alias("node"))),
+        ))
+        up = F.struct(
+            F.floor((a + first.cast("bigint")) / 2).cast("bigint").alias("a"),
+            F.floor((b - last.cast("bigint")) / 2).cast("bigint").alias("b"),
+            F.concat(state["nodes"], given).alias("nodes"),
+        )
+        return F.when(a <= b, up).otherwise(state)
+
+    empty = F.array().cast("array<struct<level:int,node:bigint>>")
+    start = F.struct(low.cast("bigint").alias("a"), high.cast("bigint").alias("b"), empty.alias("nodes"))
+    # As many levels as the length has binary digits, and one for ranges across a border.
+    levels = F.length(F.bin(high - low + 1)) + 1
+    return F.aggregate(F.sequence(F.lit(0), levels.cast("int")), start, step)["nodes"]
+
+
 def window_overlaps(
     left: DataFrame, right: DataFrame, width: float, left_id: str, right_id: str
 ) -> DataFrame:
     """Pairs of windows of one file that overlap for a positive time.
 
-    Each window goes into every bin of ``width`` seconds it touches, so the join key is
-    (file, bin) and a long or crowded file spreads over many keys; a pair is kept only in the bin
-    where its overlap starts.
+    Two windows overlap where the later one starts inside the other, so a pair is found once, by that start.
+    Time is a binary tree over leaves of ``width`` seconds: a window stands at the nodes that cover it, at
+    most two a level, however long it is, and its start is looked up at the nodes above its leaf, of the
+    levels that are in use. A node with more than ``HOT_NODE`` windows is split by salt, and the starts
+    looked up there are copied to each part.
     """
-    def binned(df: DataFrame, key: str, prefix: str) -> DataFrame:
-        valid = df.filter(F.col("end_s") > F.col("start_s"))
-        bins = F.sequence(
-            F.floor(F.col("start_s") / width), F.floor(F.col("end_s") / width)
-        )
-        return valid.select(
-            "file_id", F.col(key).alias(f"{prefix}_id"), F.col("start_s").alias(f"{prefix}_start"),
-            F.col("end_s").alias(f"{prefix}_end"), F.explode(bins).alias("bin"),
+    def windows(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        return df.filter(F.col("end_s") > F.col("start_s")).select(
+            "file_id", F.col(key).alias(f"{prefix}_id"), F.col("start_s").alias(f"{prefix}_start"), F.col("end_s").alias(f"{prefix}_end")
         )
 
-    a, b = binned(left, left_id, "left"), binned(right, right_id, "right")
-    start = F.greatest("left_start", "right_start")
-    end = F.least("left_end", "right_end")
-    return (
-        a.join(b, ["file_id", "bin"])
-        .filter((start < end) & (F.col("bin") == F.floor(start / width)))
-        .drop("bin")
-    )
+    leaf = lambda name: F.floor(F.col(name) / width).cast("bigint")
+
+    def stabbed(outer: DataFrame, o: str, inner: DataFrame, i: str, strict: bool) -> DataFrame:
+        """Pairs in which the ``inner`` window starts inside the ``outer`` one (``strict``: after its start)."""
+        nodes = F.explode(_tree_nodes(leaf(f"{o}_start"), leaf(f"{o}_end"))).alias("n")
+        standing = outer.select("*", nodes).select("*", "n.level", "n.node").drop("n")
+        top = standing.agg(F.coalesce(F.max("level"), F.lit(0)).alias("top")).scalar()
+        hot = standing.groupBy("file_id", "level", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_NODE).select(
+            "file_id", "level", "node", F.ceil(F.col("n") / HOT_NODE).cast("int").alias("parts")
+        )
+        place = ["file_id", "level", "node"]
+        parts = F.coalesce("parts", F.lit(1))
+        standing = standing.join(hot, place, "left").withColumn("part", F.pmod(F.xxhash64(f"{o}_id"), parts).cast("int"))
+        starts = inner.withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn(
+            "node", F.floor(leaf(f"{i}_start") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+        ).join(hot, place, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        after = F.col(f"{i}_start") > F.col(f"{o}_start") if strict else F.col(f"{i}_start") >= F.col(f"{o}_start")
+        met = standing.drop("parts").join(starts.drop("parts"), [*place, "part"])
+        return met.filter(after & (F.col(f"{i}_start") < F.col(f"{o}_end"))).drop("level", "node", "part")
+
+    a, b = windows(left, left_id, "left"), windows(right, right_id, "right")
+    return stabbed(a, "left", b, "right", False).unionByName(stabbed(b, "right", a, "left", True))
 
 
 def point_lookup(ids: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import json
 
 import pytest
@@ -190,3 +192,33 @@ def test_range_join_equals_direct_comparison(spark):
     expected = sorted((a[1], b[1]) for a in left for b in right
                       if a[0] == b[0] and max(a[2], b[2]) < min(a[3], b[3]))
     assert sorted((r.left_id, r.right_id) for r in pairs.collect()) == expected
+
+
+def test_window_overlaps_in_a_time_tree(spark, monkeypatch):
+    """Long, short and crowded windows against all pairs; nodes a window stands at grow with the logarithm."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(relations, "HOT_NODE", 5)
+    rng = random.Random(6)
+
+    def made(n):
+        rows = []
+        for i in range(n):
+            start = rng.choice([0.0, 8.0, -16.0, rng.uniform(-50, 4000)])
+            rows.append((i, rng.choice([1, 1, 2]), start, start + rng.choice([-1.0, 0.0, 0.5, 8.0, 40.0, 3000.0, rng.uniform(0, 90)])))
+        return rows
+
+    left, right = made(120), made(140)
+    schema = "id long, file_id long, start_s double, end_s double"
+    pairs = relations.window_overlaps(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 8.0, "id", "id")
+    want = sorted(
+        (a[0], b[0]) for a in left for b in right
+        if a[1] == b[1] and max(a[2], b[2]) < min(a[3], b[3]) and a[3] > a[2] and b[3] > b[2]
+    )
+    assert sorted((r.left_id, r.right_id) for r in pairs.collect()) == want and len(want) > 1000
+    spans = [(a, a + n) for a in (-7, 0, 1, 5, 1023, 1024) for n in (0, 1, 2, 30, 1000, 100_000)]
+    told = spark.createDataFrame(spans, "a long, b long").select("a", "b", relations._tree_nodes(F.col("a"), F.col("b")).alias("n"))
+    for r in told.collect():
+        leaves = sorted(x for n in r.n for x in (n["node"] << n["level"], ((n["node"] + 1) << n["level"]) - 1))
+        assert leaves[0] == r.a and leaves[-1] == r.b and sum(1 << n["level"] for n in r.n) == r.b - r.a + 1
+        assert len(r.n) <= 2 * (r.b - r.a + 1).bit_length()
