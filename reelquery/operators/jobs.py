@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelquery import constants as C
 from reelquery.operators.ordered import numbered
 
 
@@ -129,20 +128,3 @@ def tool_call_audit(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool_name", "status").agg(
         F.count(F.lit(1)).alias("n_calls"), F.count_if(needs).alias("n_need_confirmation")
     )
-
-
-def tool_call_rows(calls: DataFrame) -> DataFrame:
-    """Audit rows for model tool calls: side-effect tools wait, the others succeed."""
-    needs = F.col("tool_name").isin(CONFIRMED_TOOLS)
-    return calls.withColumns(
-        {
-            "status": F.when(needs, "waiting_for_confirmation").otherwise("succeeded"),
-            "requires_confirmation": needs,
-        }
-    )
-
-
-def embedding_backlog(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(
-        F.col("job_type").isin(C.EMBEDDING_JOB_TYPES) & F.col("status").isin("queued", "running")
-    )

@@ -71,7 +71,9 @@ class OrderedScan:
     """What to compute along the order of each group.
 
     ``number``    name of the 1-based row number
-    ``sums``      output name -> column summed up to and including the row (exact, see above)
+    ``sums``      output name -> column summed up to and including the row (exact, see above; a fraction that
+                  is NaN, infinite or of more than 20 digits before the point does not count, and steps
+                  below 1e-9 are rounded away)
     ``maxima``    output name -> largest value up to and including the row
     ``previous``  output name -> value of the row before
     ``following`` output name -> value of the row after
