@@ -335,3 +335,26 @@ def test_search_plan_has_no_cross_join(spark, folder):
     source = plan[plan.rindex("FileScan"):]
     assert "ReadSchema: struct<vec_id" in source or "embedding" in source
     assert F is not None
+
+
+def test_translated_requests_send_each_channel_its_variant(spark):
+    from reelquery.plans import search
+
+    queries = spark.createDataFrame(
+        [(q, v, w, [1.0, 0.0], s) for q in (1, 2) for v, w, s in ((0, 1.0, "original"), (1, 0.85, "expansion"))],
+        "query_id long, variant_order int, weight double, query_embedding array<double>, source string",
+    )
+    requests = spark.createDataFrame(
+        [(1, None, None, "translate"), (2, None, ["image_vectors"], "expand")],
+        "query_id long, library_ids array<string>, channels array<string>, mode string",
+    )
+    found = sorted((r.query_id, r.collection, r.variant_order, r.weight) for r in search.routed(queries, requests).collect())
+    assert found == [
+        (1, "caption_text_vectors", 0, 1.0), (1, "image_vectors", 1, 1.0), (1, "video_frame_vectors", 1, 1.0),
+        (2, "image_vectors", 0, 1.0), (2, "image_vectors", 1, 0.85),
+    ]
+    plain = search.routed(queries.drop("source"), requests.drop("mode"))
+    assert plain.count() == 8
+    with pytest.raises(ValueError):
+        points = spark.createDataFrame([(1, "a", "s", [1.0, 0.0])], "point_id long, collection string, scene_id string, embedding array<double>")
+        vector_search.variant_hits(points, search.routed(queries, requests), 5)
