@@ -163,6 +163,30 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(places) == table[-1][-1] and all(a[i] in rest for i in places)
 
 
+@pytest.mark.parametrize("markup, want", [
+    ('<div class="main-content has-sidebar"><p>Text one</p><p>Two</p></div>', "Text one\nTwo"),
+    ('<div class="content no-sidebar"><article><p>Inside</p></article></div>', "Inside"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\nBody"),
+    ('<article><header><h1>Title</h1></header><p class="notice">Mind this</p><p class="side-by-side">Both</p></article>', "Title\nMind this\nBoth"),
+    ('<div class="sidebar"><p>Menu</p><main><p>Main</p></main></div><div class="comments"><article>Reader</article></div>', "Main"),
+    ('<article><p>Text</p><div class="ad">Buy</div><div class="x comments">Says</div><span class="ad">now</span></article>', "Text"),
+    ('<div class="header">Top</div><p>Only text</p><aside><article>Teaser</article></aside><p hidden>No</p>', "Only text"),
+    ('<div data-hidden-count="3" title="hidden"><p>Seen</p></div>', "Seen"),
+])
+def test_furniture_is_told_by_whole_names(markup, want):
+    page = html_text.Page(1, "u", "h", *html_text.page_lines(markup))
+    assert html_text.main_text(page, None) == want
+
+
+def test_copies_without_an_article_stay_whole_and_long_pages_end():
+    lines = [f"line {i}" for i in range(10)]
+    page = html_text.Page(1, "u", "h", lines, [html_text.BODY] * 10)
+    assert html_text.main_text(page, html_text.Page(2, "v", "h", lines, [html_text.BODY] * 10)) == "\n".join(lines)
+    rnd = random.Random(3)
+    a, b = ([f"x{rnd.randrange(5000)}" for _ in range(12_000)] for _ in range(2))
+    assert len(html_text.shared(a, b)) > 100
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=200))
 def test_any_markup_is_read(text):
@@ -234,6 +258,34 @@ def test_novel_strings_are_reported_and_identifiers_are_not(spark):
     assert secret_scan.secrets(frame(spark, [])).count() == 0
 
 
+def test_secret_scan_of_long_texts_is_linear():
+    """Candidates are the first runs behind a sensitive word, as a search from each word finds them."""
+    import time
+
+    def searched(text):
+        found, last = [], 0
+        for word in secret_scan.SENSITIVE.finditer(text):
+            stop = text.find("\n", word.end(), word.end() + secret_scan.CONTEXT)
+            stop = word.end() + secret_scan.CONTEXT if stop < 0 else stop
+            at = max(word.end(), last)
+            while (m := secret_scan.CANDIDATE.search(text, at)) and m.start() <= stop:
+                at = last = m.end()
+                before, after = text[max(0, m.start() - secret_scan.WINDOW) : m.start()], text[m.end() : m.end() + secret_scan.WINDOW]
+                if secret_scan.novelty(m.group(), before, after) >= secret_scan.NOVELTY * secret_scan.random_novelty(m.group(), before, after):
+                    found.append(("novel", *m.span()))
+        return found
+
+    rnd = random.Random(17)
+    for _ in range(25):
+        parts = ["token", "secret=", "a word", "\n", "x" * 15, "bearer ", "client_id_and_more_of_it", ". "]
+        text = "".join(rnd.choice([*parts, "".join(rnd.choices("abcXYZ019+/", k=rnd.randint(10, 40)))]) for _ in range(40))
+        assert secret_scan.novel_spans(text, []) == searched(text)
+    start = time.perf_counter()
+    assert secret_scan.scan("the token is a word here. " * 200_000)[3] == 0
+    assert time.perf_counter() - start < 20
+    assert secret_scan.scan("the token is a word here. " * 1000 + "bearer q7Z+x2Lk9/Wm4Tr8Vb1N")[5] == "novel:26007:26027"
+
+
 @pytest.mark.parametrize("letters", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789"])
 @pytest.mark.parametrize("length", [16, 64, 128, 300])
 def test_random_keys_of_any_alphabet_and_length_are_reported_whole(letters, length):
