@@ -215,6 +215,13 @@ def test_every_item_is_found_verbatim(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found} == {(i, i, "verbatim") for i in range(4)}
 
 
+def test_many_rows_without_an_id_do_not_meet(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(None, " ".join(words + [f"x{i}"])) for i in range(1500)] + [(7, " ".join(words + [f"y{i}"])) for i in range(1500)]
+    found = resemblance.near_copies(frame(spark, rows)).collect()
+    assert len(found) == 3000 and {r["component_id"] for r in found} == {7}
+
+
 def test_rows_without_an_id_and_repeated_items(spark):
     text = "If Alice has 12 apples and gives 5 of them to her brother Robert, how many apples does Alice keep then?"
     items = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "item_id long, text string")
