@@ -254,10 +254,11 @@ def text_search(
             [F.desc("score"), F.asc_nulls_last("start_s"), F.asc("asset_id")], depth, "channel_rank", SALTS,
         )
 
-    ranges = checkpointed(search.ranges())
-    first = checkpointed(top_per_group(ranges, ["query_id"], [F.desc("bound"), F.asc("doc_range")], FIRST_RANGES, salts=SALTS))
-    top = best(first)
-    rest = ranges.join(first, ["query_id", "doc_range"], "left_anti")
+    # A narrow row per range that has all terms of a query.
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("doc_range"))
+    ranges = checkpointed(search.ranges().withColumn("place", F.row_number().over(by_bound)))
+    top = best(ranges.filter(F.col("place") <= FIRST_RANGES))
+    rest = ranges.filter(F.col("place") > FIRST_RANGES)
     if not rest.isEmpty():
         top = checkpointed(top)
         reached = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= depth)
