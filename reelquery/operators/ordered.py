@@ -3,7 +3,8 @@
 A plain window holds a whole group in one task. These helpers look at the largest group first:
 groups of a checked size use a window; beyond that the rows are range-partitioned on (keys, order)
 so one group spans many slices, each slice is scanned on its own and the per-slice totals are
-carried over. Fractions are summed as decimals of ``SUM_DECIMALS`` places, which is exact however
+carried over. A window holds its rows sorted, so beyond what the cores take in shares of ``ROWS_PER_TASK`` rows are
+dealt into as many parts as they need: the memory of a task does not grow with the table. Fractions are summed as decimals of ``SUM_DECIMALS`` places, which is exact however
 the rows are sliced, so the plan never shows in the result.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from reelquery.session import checkpointed
 
 MAX_GROUP_ROWS = 1_000_000
+ROWS_PER_TASK = 250_000
 SUM_DECIMALS = 9
 
 
@@ -33,16 +35,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (map-side combined count of the key columns only)."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows in the largest group and in all (map-side combined count of the key columns only)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+    most, rows = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return most or 0, rows or 0
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    return group_sizes(df, keys)[0]
 
 
 def has_large_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
     return largest_group(df, keys) > (MAX_GROUP_ROWS if limit is None else limit)
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows by hash of ``keys``, ``ROWS_PER_TASK`` rows a part; few rows stay as they are.
+
+    Windows, groupings and joins on the keys that follow stay in these parts, which Spark does not put together.
+    """
+    if rows <= ROWS_PER_TASK * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // ROWS_PER_TASK), *keys)
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None,
     salts: int = 0,
@@ -66,6 +83,13 @@ def top_per_group(
     return kept.withColumn(name, F.col(name).cast("bigint")) if rank else kept.drop(name)
 
 
+def measured(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool, int]:
+    """``df`` dealt for windows over ``keys``, whether a group is too large for one, and the number of rows."""
+    most, rows = group_sizes(df, keys)
+    large = most > MAX_GROUP_ROWS
+    return (df if large else dealt(df, keys, rows)), large, rows
+
+
 @dataclass
 class OrderedScan:
     """What to compute along the order of each group.
@@ -90,7 +114,7 @@ class OrderedScan:
     def run(self, df: DataFrame, large: bool | None = None) -> DataFrame:
         """``large`` tells a size already checked; None checks it here."""
         if large is None:
-            large = has_large_groups(df, self.keys)
+            df, large, _ = measured(df, self.keys)
         sums = df.select([c.alias(name) for name, c in self.sums.items()]).schema
         fractions = [f.name for f in sums if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
         exact = T.DecimalType(38 - SUM_DECIMALS - 1, SUM_DECIMALS)

@@ -16,7 +16,7 @@ from reelquery import constants as C
 from reelquery.functions import identifiers as ids
 from reelquery.functions.formatting import fmt_g
 from reelquery.operators import chunk_tasks
-from reelquery.operators.ordered import OrderedScan, has_large_groups, numbered
+from reelquery.operators.ordered import OrderedScan, dealt, measured, numbered
 from reelquery.session import checkpointed
 
 FOLD_BLOCK = 512
@@ -76,7 +76,7 @@ def merge_short_scenes(
         "file_id", "seq", "start_s", "end_s"
     )
     if large is None:
-        large = has_large_groups(valid, ["file_id"])
+        valid, large, _ = measured(valid, ["file_id"])
     long_one = (F.col("end_s") - F.col("start_s") >= min_seconds).cast("bigint")
     islands = (
         OrderedScan(["file_id"], ["seq"], sums={"island": long_one})
@@ -180,13 +180,14 @@ def index_video(
     """Scenes, frame assets and pending refs of video files, all with deterministic ids.
 
     Files whose scenes break a boundary rule, or that have too many, are reported in ``rejects``
-    and produce nothing. cuts: file_id, seq, start_s, end_s; files: file_id, library_id,
-    duration_seconds, index_generation.
+    and produce nothing. A ref names its asset and that one's scene. cuts: file_id, seq, start_s, end_s;
+    files: file_id, library_id, duration_seconds, index_generation.
     """
     known = files.filter(F.col("duration_seconds").isNotNull())
     cut_scenes = whole_file_scene(cuts, known).join(known.select("file_id"), "file_id", "left_semi")
+    rows = 0
     if large is None:
-        large = has_large_groups(cut_scenes, ["file_id"])
+        cut_scenes, large, rows = measured(cut_scenes, ["file_id"])
     # Scenes are few next to cuts and are read by every check below: computed once.
     merged = checkpointed(merge_short_scenes(cut_scenes, large=large))
     checked = boundary_problems(merged.withColumnRenamed("scene_no", "seq"), files, large=large)
@@ -216,6 +217,9 @@ def index_video(
         .unionByName(missing)
     )
     good = merged.join(rejects.select("file_id"), "file_id", "left_anti")
+    if not large:
+        # Scenes are dealt by file before they become frames: counts per file or scene move no frame.
+        good = dealt(good, ["file_id"], rows)
     fingerprint = ids.strategy_fingerprint(
         F.lit(C.SCENE_THRESHOLD), F.lit(C.SCENE_MIN_SECONDS), F.lit(C.SCENE_MAX_SECONDS),
         F.lit(C.FRAME_INTERVAL_SECONDS),
@@ -253,7 +257,7 @@ def index_video(
         F.lit(name).alias("model_name"), F.lit(version).alias("model_version"),
         F.lit(kind).alias("vector_kind"), F.lit(dim).alias("vector_dim"),
         F.lit(C.DISTANCE).alias("distance"), "content_hash", F.lit(profile).alias("index_profile"),
-        F.lit("pending").alias("status"),
+        F.lit("pending").alias("status"), "scene_id", "scene_key",
     )
     return {"scenes": scenes, "assets": assets, "refs": refs, "rejects": rejects}
 

@@ -67,3 +67,15 @@ def test_pages_hold_everything_in_order(spark):
     found = pages.orderBy("page").collect()
     assert [len(p["items"]) for p in found] == [25, 25, 25, 25, 25, 9]
     assert [int(i["id"]) for p in found for i in p["items"]] == list(range(0, 400, 3))
+
+
+def test_rows_are_dealt_so_that_a_task_holds_few(spark, monkeypatch):
+    """More rows make more parts, not larger ones, and the windows on the keys stay in them."""
+    from reelquery.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 50)
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("o"))
+    scanned = ordered.OrderedScan(["k"], ["o"], number="n").run(df)
+    parts = [r[0] for r in scanned.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1))).select("count(1)").collect()]
+    assert sum(parts) == 3000 and max(parts) < 150
+    assert scanned.filter("n <> floor(o / 700) + 1").isEmpty()
