@@ -114,10 +114,31 @@ def fmt_g(value: Column) -> Column:
             .otherwise(plain)
         )
 
+    def quick(x: Column) -> tuple[Column, Column]:
+        """Text of a number from 1e-4 up to 1e6, and whether it is sure.
+
+        The six digits as a number are off by less than 1e-9 here, so only one that near to a tie can
+        round either way.
+        """
+        power, factor = F.lit(_DIGITS - 1), F.lit(1.0)
+        for p in range(_DIGITS - 2, -5, -1):
+            power = F.when(x < 10.0 ** (p + 1), F.lit(p)).otherwise(power)
+            factor = F.when(x < 10.0 ** (p + 1), F.lit(10.0 ** (_DIGITS - 1 - p))).otherwise(factor)
+        size = x * factor
+        digits = F.rint(size).cast("bigint")
+        sure = (F.abs(size - F.floor(size) - 0.5) > 1e-6) & (digits < 10**_DIGITS) & (digits >= 10 ** (_DIGITS - 1))
+        return F.when(
+            power >= 0, dotted(F.substring(digits.cast("string"), F.lit(1), power + 1),
+                               F.substring(digits.cast("string"), power + 2, F.lit(_DIGITS)))
+        ).otherwise(
+            F.concat(F.lit("0."), F.repeat(nought, -power - 1), F.rtrim(digits.cast("string"), nought))
+        ), sure
+
     number = value.cast("double")
+    fast, is_sure = quick(F.when((number >= 1e-4) & (number < 1e6), number))
     plain, is_short = short_form(number)
     usual = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < 1e6) & is_short
-    return F.when(usual, plain).otherwise(_let(number, render))
+    return F.when(F.coalesce(is_sure, F.lit(False)), fast).when(usual, plain).otherwise(_let(number, render))
 
 
 def playback_time(seconds: Column) -> Column:

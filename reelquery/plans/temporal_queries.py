@@ -96,8 +96,7 @@ def index_video(t):
 )
 def index_video_refs(t):
     """Pending refs per scene; point ids are all different."""
-    built = temporal.index_video(t.v_cuts, t.v_cut_files)
-    refs = built["refs"].join(built["assets"].select("asset_id", "scene_key"), "asset_id")
+    refs = temporal.index_video(t.v_cuts, t.v_cut_files)["refs"]
     return refs.groupBy("file_id", "scene_key").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count_distinct("point_id").alias("n_points")
     )

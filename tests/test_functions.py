@@ -97,3 +97,15 @@ def test_labels_fall_back(spark):
     show = lambda kind: lambda c: formatting.label(kind, c)
     assert column(spark, ["running", "odd"], "string", show("status")) == ["运行中", "odd"]
     assert column(spark, ["odd"], "string", show("media_type")) == ["未知"]
+
+
+def test_fmt_g_near_ties_and_powers(spark):
+    """Six digits of numbers of every size, those next to a tie or to a power of ten among them."""
+    rng = random.Random(3)
+    given = [0.0, -0.0, None, float("nan"), float("inf"), 1e-4, 9.9999999e-5, 999999.5, 999999.4999, 0.0001000005, 12.6953125]
+    for p in range(-7, 9):
+        for _ in range(40):
+            given += [rng.uniform(1, 10) * 10**p, (rng.randrange(10**5, 10**6) + 0.5) * 10.0 ** (p - 5),
+                      9.999995 * 10**p, 10.0**p * (1 - 1e-16), rng.randrange(1, 10**6) / 128]
+    rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", formatting.fmt_g(F.col("x")).alias("text")).collect()
+    assert [r.text for r in rows] == [None if r.x is None else "%g" % r.x for r in rows]

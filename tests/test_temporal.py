@@ -135,3 +135,14 @@ def test_uniform_pick(spark):
     numbered = rows.withColumn("frame_no", (F.col("asset_id") + 1).cast("bigint"))
     assert sorted(r.frame_no for r in temporal.pick_frames(numbered).collect()) == [1, 3, 5, 8, 10, 12]
     assert [r.frame_no for r in temporal.pick_frames(numbered, 1).collect()] == [7]
+
+
+def test_refs_name_the_scene_of_their_asset(spark, monkeypatch):
+    from reelquery.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 4)
+    files = spark.createDataFrame([(f, "l", 60.0, 0) for f in range(30)],
+                                  "file_id int, library_id string, duration_seconds double, index_generation int")
+    built = temporal.index_video(cuts(spark, [(f, i, 20.0 * i, 20.0 * i + 20) for f in range(25) for i in range(3)]), files)
+    told = lambda name: sorted(map(tuple, built[name].select("asset_id", "file_id", "scene_id", "scene_key").collect()))
+    assert told("refs") == told("assets") and len(told("refs")) == 30 * 24
