@@ -104,15 +104,42 @@ def decoded(blocks: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids, tfs, _summed(unpacked(_bytes(blocks["positions"])), np.cumsum(tfs) - tfs, tfs)
 
 
-def occurrences(doc_range: int, docs: bytes, tfs: bytes, positions: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(document, position) of every occurrence in a block, in order."""
-    ids = np.cumsum(unpacked(docs)) + (doc_range << RANGE_BITS)
+def documents_of(doc_range: int, docs: bytes) -> np.ndarray:
+    """The documents of a block, in order."""
+    return np.cumsum(unpacked(docs)) + (doc_range << RANGE_BITS)
+
+
+def occurrences(
+    doc_range: int, docs: bytes, tfs: bytes, positions: bytes, common: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(document, position) of every occurrence in a block, or of those in ``common`` documents, in order."""
     counts = unpacked(tfs)
-    return np.repeat(ids, counts), _summed(unpacked(positions), np.cumsum(counts) - counts, counts)
+    ids = documents_of(doc_range, docs)
+    pos = _summed(unpacked(positions), np.cumsum(counts) - counts, counts)
+    if common is None:
+        return np.repeat(ids, counts), pos
+    kept = np.isin(ids, common, assume_unique=True)
+    return np.repeat(ids[kept], counts[kept]), pos[np.repeat(kept, counts)]
+
+
+#: Occurrences a task holds, packed or unpacked; a single text or block may hold more.
+HELD_TOKENS = 1_000_000
+
 
+def _shares(rows: pa.RecordBatch, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch that have at most ``HELD_TOKENS`` tokens, or one row."""
+    start, total = 0, np.cumsum(tokens)
+    while start < len(rows):
+        before = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + HELD_TOKENS, "right")))
+        yield rows.slice(start, stop - start)
+        start = stop
 
-#: Occurrences a task holds before it packs them.
-HELD_TOKENS = 4_000_000
+
+def _block_shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Shares of blocks: a position takes a byte at least."""
+    rows = batch.select(BLOCK_ARROW.names)
+    return _shares(rows, pc.binary_length(rows["positions"]).to_numpy().astype(np.int64))
 
 
 def pack_tokens(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
@@ -129,21 +156,23 @@ def pack_tokens(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> I
         )
 
     for batch in batches:
-        lists = batch["tokens"]
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        words = lists.flatten()
-        doc = np.repeat(batch["key"].to_numpy(), counts)
-        pos = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
-        if keep is not None:
-            at = pc.is_in(words, value_set=keep)
-            words, mask = words.filter(at), at.to_numpy(zero_copy_only=False)
-            doc, pos = doc[mask], pos[mask]
-        if len(words):
-            held.append((words, doc, pos))
-            rows += len(words)
-        if rows > HELD_TOKENS:
-            yield close()
-            held, rows = [], 0
+        lengths = batch["tokens"].value_lengths().to_numpy(zero_copy_only=False)
+        for share in _shares(batch, lengths):
+            lists = share["tokens"]
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            words = lists.flatten()
+            doc = np.repeat(share["key"].to_numpy(), counts)
+            pos = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+            if keep is not None:
+                at = pc.is_in(words, value_set=keep)
+                words, mask = words.filter(at), at.to_numpy(zero_copy_only=False)
+                doc, pos = doc[mask], pos[mask]
+            if rows and rows + len(words) > HELD_TOKENS:
+                yield close()
+                held, rows = [], 0
+            if len(words):
+                held.append((words, doc, pos))
+                rows += len(words)
     if held:
         yield close()
 
@@ -176,8 +205,8 @@ def _merged_groups(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.Reco
 def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block per term and range, from blocks in order of both."""
     carried: list[pa.RecordBatch] = []  # the last group, which may go on
-    for batch in batches:
-        table = pa.Table.from_batches([*carried, batch.select(BLOCK_ARROW.names)]).combine_chunks()
+    for share in (share for batch in batches for share in _block_shares(batch)):
+        table = pa.Table.from_batches([*carried, share]).combine_chunks()
         if not len(table):
             continue
         rows = table.to_batches()[0]
@@ -195,8 +224,7 @@ def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, key, positions, tf) from whole blocks."""
-    for batch in batches:
-        rows = batch.select(BLOCK_ARROW.names)
+    for rows in (share for batch in batches for share in _block_shares(batch)):
         doc, tfs, pos = decoded(rows)
         number = np.repeat(np.arange(len(rows)), rows["n_docs"].to_numpy())
         bounds = np.concatenate(([0], np.cumsum(tfs)))
@@ -208,27 +236,39 @@ def posting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matched(hits: list[dict], n_terms: int, doc_range: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(terms, term, document, position) of the documents that hold all terms, by document and position."""
-    by_term: dict[str, list] = {}
+    by_term: dict[str, list[dict]] = {}
     for hit in hits:
-        by_term.setdefault(hit["term"], []).append(occurrences(doc_range, hit["docs"], hit["tfs"], hit["positions"]))
+        by_term.setdefault(hit["term"], []).append(hit)
     terms = sorted(by_term)
     none = np.zeros(0, np.int64)
     if len(terms) < n_terms:
         return terms, none, none, none
-    parts = [[np.concatenate(c) for c in zip(*by_term[t], strict=True)] for t in terms]
-    # From the shortest list up, as few documents as possible are looked for in the next.
+    # From the shortest list up, as few documents as possible are looked for in the next. Only then are
+    # positions unpacked, one block at a time.
     common = None
-    for doc, _ in sorted(parts, key=lambda p: len(p[0])):
-        own = np.unique(doc)
+    for name in sorted(terms, key=lambda t: sum(len(h["docs"]) for h in by_term[t])):
+        own = np.unique(np.concatenate([documents_of(doc_range, h["docs"]) for h in by_term[name]]))
         common = own if common is None else common[np.isin(common, own, assume_unique=True)]
-    kept = [np.isin(doc, common) for doc, _ in parts]
-    term = np.concatenate([np.full(int(k.sum()), i) for i, k in enumerate(kept)])
-    doc = np.concatenate([p[0][k] for p, k in zip(parts, kept, strict=True)])
-    pos = np.concatenate([p[1][k] for p, k in zip(parts, kept, strict=True)])
+        if not len(common):
+            return terms, none, none, none
+    found = [
+        (i, *occurrences(doc_range, h["docs"], h["tfs"], h["positions"], common))
+        for i, name in enumerate(terms) for h in by_term[name]
+    ]
+    term = np.concatenate([np.full(len(d), i) for i, d, _ in found])
+    doc = np.concatenate([d for _, d, _ in found])
+    pos = np.concatenate([p for _, _, p in found])
     order = np.lexsort((pos, doc))
     return terms, term[order], doc[order], pos[order]
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one: a row may hold many blocks, so a batch of them is not unpacked at once."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def cover_scores(term: np.ndarray, doc: np.ndarray, pos: np.ndarray, weight: float):
     """(documents, covers, scores): minimal covers of all terms, from occurrences by document and position.
 
@@ -260,15 +300,14 @@ RANK_SCHEMA = "query_id bigint, key bigint, n_covers bigint, score double"
 
 def rank_rows(batches: Iterator[pa.RecordBatch], weight: float) -> Iterator[pa.RecordBatch]:
     """Cover-density scores from rows (query_id, doc_range, n_terms, hits)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, term, doc, pos = _matched(row["hits"], row["n_terms"], row["doc_range"])
-            if len(doc):
-                ids, covers, scores = cover_scores(term, doc, pos, weight)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), row["query_id"], np.int64)), pa.array(ids), pa.array(covers), pa.array(scores)],
-                    ["query_id", "key", "n_covers", "score"],
-                )
+    for row in _each(batches):
+        _, term, doc, pos = _matched(row["hits"], row["n_terms"], row["doc_range"])
+        if len(doc):
+            ids, covers, scores = cover_scores(term, doc, pos, weight)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), row["query_id"], np.int64)), pa.array(ids), pa.array(covers), pa.array(scores)],
+                ["query_id", "key", "n_covers", "score"],
+            )
 
 
 MATCH_SCHEMA = "query_id bigint, key bigint, hits array<struct<term:string,positions:array<bigint>>>"
@@ -276,16 +315,20 @@ MATCH_SCHEMA = "query_id bigint, key bigint, hits array<struct<term:string,posit
 
 def match_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with all terms and their positions, from rows (query_id, doc_range, n_terms, hits)."""
-    kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int64()))]))
-    for batch in batches:
-        for row in batch.to_pylist():
-            terms, term, doc, pos = _matched(row["hits"], row["n_terms"], row["doc_range"])
-            starts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
-            told = [
-                [{"term": name, "positions": p[t == i].tolist()} for i, name in enumerate(terms)]
-                for p, t in zip(np.split(pos, starts[1:]), np.split(term, starts[1:]), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(starts), row["query_id"], np.int64)), pa.array(doc[starts]),
-                 pa.array(told if len(starts) else [], kind)], ["query_id", "key", "hits"],
-            )
+    for row in _each(batches):
+        terms, term, doc, pos = _matched(row["hits"], row["n_terms"], row["doc_range"])
+        if not len(doc):
+            continue
+        order = np.lexsort((pos, term, doc))
+        term, doc, pos = term[order], doc[order], pos[order]
+        entries = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(doc, prepend=doc[0] - 1) != 0))
+        places = pa.ListArray.from_arrays(pa.array(np.append(entries, len(pos)), pa.int32()), pa.array(pos))
+        names = pa.array(terms, pa.string()).take(pa.array(term[entries]))
+        ids = doc[entries[:: len(terms)]]  # every document has an entry of each term
+        hits = pa.ListArray.from_arrays(
+            pa.array(np.arange(len(ids) + 1) * len(terms), pa.int32()),
+            pa.StructArray.from_arrays([names, places], ["term", "positions"]),
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ids), row["query_id"], np.int64)), pa.array(ids), hits], ["query_id", "key", "hits"]
+        )

@@ -358,3 +358,27 @@ def test_translated_requests_send_each_channel_its_variant(spark):
     with pytest.raises(ValueError):
         points = spark.createDataFrame([(1, "a", "s", [1.0, 0.0])], "point_id long, collection string, scene_id string, embedding array<double>")
         vector_search.variant_hits(points, search.routed(queries, requests), 5)
+
+
+def test_tasks_hold_a_bounded_number_of_occurrences(monkeypatch):
+    """However many rows a batch has, blocks are packed, merged and unpacked in shares."""
+    import pyarrow as pa
+
+    tasks = text_search.tasks
+    monkeypatch.setattr(tasks, "HELD_TOKENS", 300)
+    rng = random.Random(8)
+    texts = {key: [rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))] for key in range(400)}
+    held = []
+    whole = tasks.blocks_of
+    monkeypatch.setattr(tasks, "blocks_of", lambda names, term, doc, pos: held.append(len(pos)) or whole(names, term, doc, pos))
+    given = pa.RecordBatch.from_arrays(
+        [pa.array(texts, pa.int64()), pa.array(list(texts.values()), pa.list_(pa.string()))], ["key", "tokens"]
+    )
+    packed = pa.Table.from_batches(tasks.pack_tokens(iter([given]), None)).sort_by([("term", "ascending"), ("doc_range", "ascending")])
+    assert max(held) <= 300 and sum(held) == sum(map(len, texts.values()))
+    merged = list(tasks.merge_blocks(iter(packed.combine_chunks().to_batches())))
+    assert sum(map(len, merged)) == 8
+    rows = list(tasks.posting_rows(iter(pa.Table.from_batches(merged).combine_chunks().to_batches())))
+    assert len(rows) > 1
+    found = {(r["key"], r["term"]): r["positions"] for batch in rows for r in batch.to_pylist()}
+    assert found == {(k, w): [i + 1 for i, x in enumerate(t) if x == w] for k, t in texts.items() for w in t}
