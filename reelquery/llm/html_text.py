@@ -3,9 +3,10 @@
 A page becomes a list of lines, one per text block, each with the kind of container it stands in (markup
 says whether that is an article, page furniture, or neither). Pages of a host are put in URL path order,
 and neighbours are paired: their lines are aligned by longest common subsequence, and what they share is
-the host's template. Shared lines are deleted, unless they stand inside an article element or one page is
-a copy of the other: two neighbouring articles may quote the same passage or be copies of one text, and the
-extraction has to return both whole. So on a page that marks its article, markup decides alone. Lines inside furniture (menus, footers, sidebars, notices, adverts, forms, reader
+the host's template. Shared lines are deleted, unless one page is a copy of the other or they stand in an
+article element with lines of its own: two neighbouring articles may quote the same passage, and the extraction
+has to return both whole. An article element (a teaser, say) of which the neighbour has every line is template
+like any other, if another one on the page has lines of its own; else they all are copies and stay. Lines inside furniture (menus, footers, sidebars, notices, adverts, forms, reader
 comments) are never main text, shared or not; on pages that mark an article, neither is what stands
 outside it.
 
@@ -68,6 +69,7 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 #: Inside LAID_OUT furniture, which only its class name tells, an article element is still an article.
+#: Article elements after a page's first have the numbers from LAID_OUT + 1 up.
 BODY, ARTICLE, FURNISHED, LAID_OUT = 0, 1, 2, 3
 #: A page that shares so much of its lines with its neighbour is a copy of it, of which nothing is template.
 COPY = 0.9
@@ -84,9 +86,13 @@ class Page:
     kinds: list[int]
 
 
+def in_article(kind: int) -> bool:
+    return kind == ARTICLE or kind > LAID_OUT
+
+
 def _kind(name: str, attributes: str, inside: int) -> int:
     """The kind of what an element holds, from its own markup and what it stands in."""
-    if inside == FURNISHED or name in FURNITURE or (name == "header" and inside != ARTICLE):
+    if inside == FURNISHED or name in FURNITURE or (name == "header" and not in_article(inside)):
         return FURNISHED
     laid_out = False
     if attributes.strip() and name not in ("html", "body"):
@@ -96,7 +102,7 @@ def _kind(name: str, attributes: str, inside: int) -> int:
                 names = set(value.split())
                 if names & FOREIGN:
                     return FURNISHED
-                laid_out |= inside != ARTICLE and name not in ARTICLE_TAGS and bool(names & LAYOUT)
+                laid_out |= not in_article(inside) and name not in ARTICLE_TAGS and bool(names & LAYOUT)
             elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
                 return FURNISHED
             elif key == "style" and "display:none" in value.replace(" ", ""):
@@ -104,17 +110,21 @@ def _kind(name: str, attributes: str, inside: int) -> int:
         if HIDDEN.search(ATTRIBUTE.sub(lambda m: f" {m[1]} ", attributes)):
             return FURNISHED
     if name in ARTICLE_TAGS:
-        return ARTICLE
+        return inside if in_article(inside) else ARTICLE
     return LAID_OUT if laid_out else inside
 
 
 def page_lines(markup: str) -> tuple[list[str], list[int]]:
-    """Text blocks of a page in order, white space folded, with the kind of their container."""
+    """Text blocks of a page in order, white space folded, with the kind of their container.
+
+    Each article element that stands in no other has a kind of its own, also inside ``main``.
+    """
     lines: list[str] = []
     kinds: list[int] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements with the kind inside them
     kind, at, size = BODY, 0, len(markup)
+    marked, articles = 0, set()  # elements that mark an article; the kinds of those named so
 
     def close_block() -> None:
         if parts:
@@ -179,6 +189,11 @@ def page_lines(markup: str) -> tuple[list[str], list[int]]:
                 close(CLOSES[name], frozenset(["ul", "ol", "dl", "table", "select"]))
             close_block()
         inside = _kind(name, attributes, kind)  # what was closed may have changed what it stands in
+        if in_article(inside) and name in ARTICLE_TAGS and kind not in articles and (name == "article" or inside != kind):
+            marked += 1
+            inside = ARTICLE if marked == 1 else LAID_OUT + marked - 1
+            if name == "article":
+                articles.add(inside)
         if name in BLOCKS:
             stack.append((name, inside))
             kind = inside
@@ -248,15 +263,16 @@ def _subsequence(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(page: Page, neighbour: Page | None) -> str:
     """Lines of the page that are neither template nor furniture, joined by line breaks."""
-    marked = ARTICLE in page.kinds
     same: set[int] = set()
-    if not marked and neighbour and neighbour.host == page.host:
+    if neighbour and neighbour.host == page.host:
         same = shared(page.lines, neighbour.lines)
         if len(same) >= COPY * len(page.lines):
             same = set()
+    marked = {kind for kind in page.kinds if in_article(kind)}
+    own = {kind for i, kind in enumerate(page.kinds) if kind in marked and i not in same} or marked
     kept = [
         line for i, (line, kind) in enumerate(zip(page.lines, page.kinds, strict=True))
-        if kind == ARTICLE or (kind == BODY and not marked and i not in same)
+        if kind in own or (kind == BODY and not marked and i not in same)
     ]
     return "\n".join(kept)
 

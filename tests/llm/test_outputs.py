@@ -187,6 +187,22 @@ def test_copies_without_an_article_stay_whole_and_long_pages_end():
     assert len(html_text.shared(a, b)) > 100
 
 
+def test_differencing_tells_the_own_article_of_a_page():
+    """A teaser that the neighbour has too goes; a quotation in an own article and copies of articles stay."""
+    def page(key, *articles, inside="main"):
+        parts = "".join(f"<article>{''.join(f'<p>{line}</p>' for line in a)}</article>" for a in articles)
+        return html_text.Page(key, "u", "h", *html_text.page_lines(f"<{inside}>{parts}</{inside}><p>Foot {key}</p>"))
+
+    for inside in ("main", "div"):
+        one, two = (page(k, ["Read this", "too"], [f"Text {k}", "Quoted"], inside=inside) for k in (1, 2))
+        assert html_text.main_text(one, two) == "Text 1\nQuoted" and html_text.main_text(two, one) == "Text 2\nQuoted"
+        assert html_text.main_text(one, None) == "Read this\ntoo\nText 1\nQuoted"
+        copies = [page(k, ["Same", "text"], ["Again"], inside=inside) for k in (1, 2)]
+        assert html_text.main_text(*copies) == "Same\ntext\nAgain"
+    nested = html_text.Page(1, "u", "h", *html_text.page_lines("<article><p>A</p><article><p>B</p></article><p>C</p></article>"))
+    assert nested.kinds == [html_text.ARTICLE] * 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=200))
 def test_any_markup_is_read(text):
