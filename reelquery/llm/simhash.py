@@ -59,10 +59,11 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
 def fingerprint(text: str) -> int:
     """Bit i is 1 if it is set in over half of the hashes of the word shingles, repeats included."""
     hashes = shingle_hashes(text)
-    return _majority(hashes) if len(hashes) else 0
+    return majority(hashes) if len(hashes) else 0
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -166,6 +166,53 @@ def test_near_copies_match_brute_force_at_four_fifths(spark):
     assert resemblance.keep_one(frame(spark, [])).count() == 0
 
 
+def test_near_copies_meet_on_the_ring_first(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(400)]
+    rows = []
+    for i in range(60):  # one changed word each: close fingerprints, all linked
+        changed = list(base)
+        changed[rnd.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(changed)))
+    shared = [f"s{i}" for i in range(5)]  # and texts that have one rare shingle in common
+    rows += [(100 + i, " ".join([f"v{rnd.randrange(9000)}" for _ in range(90)] + shared)) for i in range(20)]
+    sets = {resemblance.set_mark(resemblance.shingle_set(t)): t for _, t in rows}
+    marks = {node: simhash.majority(simhash.shingle_hashes(t, 5)) for node, t in sets.items()}
+    calls, compared = [], resemblance._compared
+
+    def seen(pairs, *rest):
+        calls.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(resemblance, "_compared", seen)
+    found = {r["doc_id"]: r["component_id"] for r in resemblance.near_copies(frame(spark, rows)).collect()}
+    assert found == {i: 0 if i < 100 else i for i, _ in rows}
+    near = {(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 2}
+    assert calls[0] and calls[0] <= near
+    assert sum(map(len, calls)) < 5 * len(rows) and not any(calls[0] & later for later in calls[1:])
+
+
+def test_blocks_over_batches_list_every_pair_once():
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    most = resemblance.SMALL
+    blocks = {key: sorted(rnd.sample(range(10**6), size)) for key, size in enumerate([1, 2, most, most + 1, 3 * most, 1, 2, 40, 5])}
+    flat = [(key, node, 0, 9) for key, nodes in blocks.items() for node in nodes for _ in range(1 + node % 2)]  # repeated sets
+    for step in (1, 7, most, len(flat)):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat[at : at + step], strict=True)], ["key", "node", "place", "n"])
+            for at in range(0, len(flat), step)
+        ]
+        out = [r for batch in resemblance._block_batches((4, 5))(iter(batches)) for r in batch.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in out if r["key"] is None) == sorted(
+            (a, b) for nodes in blocks.values() if len(nodes) <= most for a in nodes for b in nodes if a < b
+        )
+        assert sorted((r["key"], r["a"], r["b"]) for r in out if r["key"] is not None) == [
+            (key, node, nodes[0]) for key, nodes in blocks.items() if len(nodes) > most for node in nodes
+        ]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     labels = components.components(edges).collect()
