@@ -37,7 +37,7 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 CACHE_WORDS = 800_000
 CACHE_WORD = 64
-LINE_WORDS = 2000
+LINE_WORDS = 200
 
 _BLOCKS = "shard int, block int, first long, n_ids long, doc_ids array<long>, ends array<long>, words binary"
 _PLACED = "shard int, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -140,10 +140,7 @@ def _tokenizer(path: str):
     encoder = Tokenizer.from_file(path)
     encoder.no_truncation()
     encoder.no_padding()
-    content, id_ = next(
-        (t.content, i) for i, t in encoder.get_added_tokens_decoder().items() if t.content.startswith("<|")
-    )
-    return encoder, {}, (content, id_)
+    return encoder, {}
 
 
 def _words(raw: bytes) -> list[bytes]:
@@ -157,7 +154,7 @@ def encode_batch(path: str, batch: list[str]) -> list[bytes]:
     The vocabulary drops white space and never joins letters over it, so a text's ids are those of its
     words in turn, and a word's ids are kept.
     """
-    encoder, known, special = _tokenizer(path)
+    encoder, known = _tokenizer(path)
     split = [_words(text.encode()) for text in batch]
     fresh = {w for words in split for w in words if w not in known}
     coded: dict[bytes, bytes] = {}
@@ -166,14 +163,15 @@ def encode_batch(path: str, batch: list[str]) -> list[bytes]:
     stems = {w[:-1] for w in tailed}.union((b".", b",") if tailed else ())
     plain = [w for w in (fresh - tailed) | {s for s in stems if s not in known} if b"<|" not in w]
     for at in range(0, len(plain), LINE_WORDS):
-        # Special tokens are cut out first, so one between two words keeps them apart and marks the cut.
-        part = plain[at : at + LINE_WORDS]
-        line = special[0].join([w.decode() for w in part])
-        ids = np.array(encoder.encode(line, add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == special[1])
-        begins, ends = [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), ids.nbytes]
+        # A token belongs to the word that its first letter lies in; no token lies over a space.
+        part = [w.decode() for w in plain[at : at + LINE_WORDS]]
+        line = encoder.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(line.ids, "<u4")
+        starts = np.fromiter((offset[0] for offset in line.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+        cuts = (np.searchsorted(starts, ends) * 4).tolist()
         raw = ids.tobytes()
-        coded.update((w, raw[a:b]) for w, a, b in zip(part, begins, ends, strict=True))
+        coded.update((w, raw[a:b]) for w, a, b in zip(plain[at : at + LINE_WORDS], [0, *cuts[:-1]], cuts, strict=True))
     get = known.get
     for word in tailed:
         stem, tail = word[:-1], word[-1:]

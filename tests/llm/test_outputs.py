@@ -73,6 +73,22 @@ def test_word_ids_equal_the_library(text):
     assert np.frombuffer(token_output.encode_batch(WORDS, [text])[0], "<u4").tolist() == want
 
 
+def test_words_of_a_line_end_where_the_library_ends_them():
+    """New words are encoded many to a line; marks that reorder or vanish must not move a cut."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(12)
+    library = Tokenizer.from_file(WORDS)
+    library.no_truncation()
+    library.no_padding()
+    parts = ["a", "Be", "ing", "7", "'s", "'", ".", ",", "\u0301", "e\u0323\u0302", "e\u0302\u0323", "\u1100\u1161", "\u212b", "\u0130", "\u03a3",
+             "\u00a0", "\u2028", "\x85", "\x00", "\ufeff", "\u200b", "\U0001f600", "\ufb01", "<|", "<|endoftext|>", "|>", "\u4f60"]
+    texts = [" ".join("".join(rnd.choices(parts, k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 300))) for _ in range(60)]
+    coded = token_output.encode_batch(WORDS, texts)
+    for text, ids in zip(texts, coded, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_table(spark, monkeypatch):
     monkeypatch.setattr(token_output, "BLOCK_IDS", 50)
     rows = [(i, t) for i, t in ODD if i != 4] + [(i, f"some words, number {i} here") for i in range(10, 60)]
